@@ -66,11 +66,11 @@ def digest(data: bytes) -> str:
     return nodes[0].astype("<u4").tobytes().hex()
 
 
-@F.pandas_udf("string")
-def _hashed(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else digest(bytes(v)))
-
-
 def blake3(c: Column | str) -> Column:
     """The BLAKE3 digest of a text or binary column; NULL for NULL."""
-    return _hashed((F.col(c) if isinstance(c, str) else c).cast("binary"))
+
+    @F.pandas_udf("string")
+    def hashed(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else digest(bytes(v)))
+
+    return hashed((F.col(c) if isinstance(c, str) else c).cast("binary"))
