@@ -104,8 +104,9 @@ def measures(text: str | None, ordinary: frozenset[str], listy: frozenset[str],
     """The features of a page, ``listed`` first: the share of words outside sentences.
 
     A stretch of text is a sentence if half of its words are ordinary; else it is none if it holds mostly
-    links, tags, repeated keywords, list items or listy words. Keywords dressed as a sentence are none either: a
-    listy keyword that recurs, and recurring words for two fifths of it. Single links in a stretch count for
+    links, tags, repeated keywords, list items or listy words. Keywords dressed as a sentence are none either (a
+    listy keyword that recurs, recurring words for two fifths of it, few usual words), nor are links with short labels,
+    once there are three of them. Single links in a stretch count for
     themselves, once a page has three.
     """
     cut = _cut(text)
@@ -116,12 +117,14 @@ def measures(text: str | None, ordinary: frozenset[str], listy: frozenset[str],
     many = {w for w, n in counts.items() if n >= 3 and w not in ordinary}
     keyed = {w for w, n in counts.items() if n >= 4 and w not in usual}
     links, tags = sum(n for _, n, *_ in cut), sum(t for *_, t, _ in cut)
+    anchored = sum(n > 0 and len(ws) <= 6 for _, n, ws, _, _ in cut) >= 3
     listed = repeated = plain = odd = stops = marks = 0
     for p, n, ws, t, m in cut:
         size = n + len(ws)
         again, good, bad = (sum(w in x for w in ws) for x in (many, ordinary, listy))
         repeated, plain, odd, marks, stops = repeated + again, plain + good, odd + bad, marks + m, stops + bool(re.search(r"[.!?…。！？]\s*$", p))
-        stuffed = sum(w in keyed for w in ws) >= 0.4 * size and any(w in listy and w in keyed for w in ws)
+        stuffed = sum(w in keyed for w in ws) >= 0.4 * size and sum(w in usual for w in ws) < 0.3 * size and any(w in listy and w in keyed for w in ws)
+        stuffed = stuffed or (anchored and n > 0 and len(ws) <= 6)
         if stuffed or good < 0.5 * len(ws) or not ws:
             some = n + t >= 0.3 * size and links + tags >= 3
             if stuffed or some or again >= 0.4 * size or bad >= 0.5 * len(ws) or m >= 4:
