@@ -103,7 +103,8 @@ def _counted(cut: list) -> tuple[Counter, dict]:
 def measures(text: str | None, ordinary: frozenset[str], listy: frozenset[str], usual: frozenset[str]) -> list[float]:
     """The features of a page, ``listed`` first: the share of words outside sentences.
 
-    A stretch of text is a sentence if half of its words are ordinary; else it is none if it holds mostly
+    A stretch of text is a sentence if half of its words are ordinary (a word that makes up a tenth of the page is
+    not, whatever it is elsewhere); else it is none if it holds mostly
     links, tags, repeated keywords, list items or listy words. Keywords dressed as a sentence are none either (a
     listy keyword that recurs, recurring words for two fifths of it, few usual words), nor are links with short labels,
     once there are three of them. Single links in a stretch count for
@@ -114,6 +115,8 @@ def measures(text: str | None, ordinary: frozenset[str], listy: frozenset[str],
     if not total:
         return [0.0] * len(FEATURES)
     counts, once = _counted(cut)
+    over = {w for w, n in counts.items() if n >= 6 and n > 0.1 * total}
+    ordinary, usual = (x if over.isdisjoint(x) else x - over for x in (ordinary, usual))
     many = {w for w, n in counts.items() if n >= 3 and w not in ordinary}
     keyed = {w for w, n in counts.items() if n >= 4 and w not in usual}
     links, tags = sum(n for _, n, *_ in cut), sum(t for *_, t, _ in cut)
