@@ -13,7 +13,9 @@ from foldstone.llm.words import words
 from foldstone.session import broadcast_if_small, materialise
 
 #: Distinct terms of all test items for which the vocabulary goes to the tasks; beyond, every word is indexed.
-MOST_TERMS = 2_000_000
+MOST_TERMS = 500_000
+#: Positions that a task holds before it hands them on.
+FLUSH = 500_000
 
 
 def postings(docs: DataFrame, vocabulary: frozenset[str] | None = None) -> DataFrame:
@@ -27,17 +29,25 @@ def postings(docs: DataFrame, vocabulary: frozenset[str] | None = None) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value if shared is not None else None
+        terms, ids, places, held = [], [], [], 0
+
+        def listed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["term", "doc_id", "positions"])
+
         for batch in batches:
-            terms, ids, places = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 at: dict[str, list[int]] = {}
-                for n, w in enumerate(words(text)):
+                for n, w in enumerate(words(text.as_py())):
                     if wanted is None or w in wanted:
                         at.setdefault(w, []).append(n)
+                        held += 1
                 terms += at
-                ids += [doc] * len(at)
+                ids += [doc.as_py()] * len(at)
                 places += at.values()
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["term", "doc_id", "positions"])
+                if held > FLUSH:
+                    yield listed()
+                    terms, ids, places, held = [], [], [], 0
+        yield listed()
 
     return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, "term string, doc_id bigint, positions array<int>").sortWithinPartitions("term")
 

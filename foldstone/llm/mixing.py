@@ -33,7 +33,7 @@ def count_tokens(docs: DataFrame, text: str, out: str, tokenizer: str = TOKENIZE
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         coder = tiktoken.Encoding("counting", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
-            sizes = [len(coder.encode_ordinary(t)) if t else 0 for t in batch.column(text).to_pylist()]
+            sizes = [len(coder.encode_ordinary(t)) if (t := x.as_py()) else 0 for x in batch.column(text)]
             yield batch.append_column(out, pa.array(sizes, pa.int64()))
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))

@@ -149,8 +149,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds: dict[int, Counter] = {1: Counter(), -1: Counter(), 0: Counter()}
-            for text in batch.column("text").to_pylist():
-                cut = _cut(text)
+            for text in batch.column("text"):
+                cut = _cut(text.as_py())
                 found: dict[int, set] = {1: set(), -1: set(), 0: set()}
                 for ws, kind in _shape(cut):
                     found[kind].update(["", *ws])
@@ -201,7 +201,7 @@ def spam_scores(docs: DataFrame, host: str, trees: int = 24, seed: int = 11, sam
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordinary, listy, usual = known.value
         for batch in batches:
-            rows = [measures(t, ordinary, listy, usual) for t in batch.column("text").to_pylist()]
+            rows = [measures(t.as_py(), ordinary, listy, usual) for t in batch.column("text")]
             cols = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FEATURES))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *cols], ["doc_id", "host", *FEATURES])
 

@@ -78,3 +78,41 @@ def test_empty_tables_and_clashing_columns(spark):
 def test_a_full_index_has_every_word(spark):
     got = postings(spark.createDataFrame([(1, "b a b")], D))
     assert rows(got) == [("a", 1, [1]), ("b", 1, [0, 2])]
+
+
+def near_brute(docs, items, least, window, slack):
+    """A window of an item, and a shift at which one of its rarest words stands in the document exactly."""
+    said = {d: words(x) for d, x in docs}
+    df = {}
+    for ws in said.values():
+        for w in set(ws):
+            df[w] = df.get(w, 0) + 1
+    out = set()
+    for i, t in items:
+        ws = words(t)
+        for s in range(len(ws) - window + 1):
+            span = range(s, s + window)
+            rare = sorted((df.get(ws[o], 0), o, ws[o]) for o in span)[: window - least + 1]
+            for d, wd in said.items():
+                shifts = {p - o for _, o, w in rare for p, x in enumerate(wd) if x == w}
+                at = lambda p, wd=wd: wd[p] if 0 <= p < len(wd) else None
+                if any(sum(any(at(sh + o + k) == ws[o] for k in range(-slack, slack + 1)) for o in span) >= least for sh in shifts):
+                    out.add((d, i))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_near_equals_brute_force(spark, seed):
+    r = random.Random(seed)
+    say = lambda n: [f"w{r.randrange(30)}" for _ in range(n)]
+    items = [(i, say(20)) for i in range(5)]
+    docs = []
+    for d in range(30):
+        ws = list(r.choice(items)[1])
+        for _ in range(r.randrange(6)):
+            k = r.randrange(len(ws))
+            ws[k : k + r.randrange(2)] = say(r.randrange(2))
+        docs.append((d, " ".join(say(3) + ws + say(3))))
+    items = [(i, " ".join(ws)) for i, ws in items]
+    found = Leaks(spark.createDataFrame(docs, D), spark.createDataFrame(items, I)).near(7, 9, 1)
+    assert rows(found.select("doc_id", "item_id")) == near_brute(docs, items, 7, 9, 1)
