@@ -10,15 +10,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def batch_results(ops: DataFrame, base: DataFrame | None = None) -> DataFrame:
+def batch_results(ops: DataFrame, base: DataFrame | None = None, width: int = 65_536) -> DataFrame:
     """``ord, key, ok, value, error`` of each operation.
 
     Errors: a put without value, a get that finds nothing, an unknown operation. Deleting an absent key
-    succeeds. The look-back is a running last value in one pass over a key's operations, without holding them.
+    succeeds. An empty batch gives no rows. Ordinals are cut into stretches of ``width``: the look-back runs within a stretch, and
+    each stretch takes over the last effect of those before it, so one hot key is spread over tasks.
     """
     effect = F.when((F.col("op") == "put") & F.col("value").isNotNull(), F.struct(F.col("value").alias("v"))).when(F.col("op") == "delete", F.struct(F.lit(None).cast("string").alias("v")))
-    before = Window.partitionBy("key").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    seen = ops.select("ord", "op", "key", "value").withColumn("__seen", F.last(effect, ignorenulls=True).over(before))
+    cut = ops.select("ord", "op", "key", "value", F.floor(F.col("ord") / F.lit(width)).alias("__cut")).withColumn("__effect", effect)
+    ends = cut.where("__effect is not null").groupBy("key", "__cut").agg(F.max_by("__effect", "ord").alias("__end"))
+    takes = cut.select("key", "__cut").distinct().join(ends, ["key", "__cut"], "left")
+    earlier = Window.partitionBy("key").orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
+    takes = takes.select("key", "__cut", F.last("__end", ignorenulls=True).over(earlier).alias("__carried")).where("__carried is not null")
+    before = Window.partitionBy("key", "__cut").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    seen = cut.withColumn("__near", F.last("__effect", ignorenulls=True).over(before)).join(takes, ["key", "__cut"], "left")
+    seen = seen.withColumn("__seen", F.coalesce("__near", "__carried"))
     if base is not None:
         seen = seen.join(base.select("key", F.col("value").alias("__base")), "key", "left")
     else:

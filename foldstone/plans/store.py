@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from foldstone.functions import crypto
 from foldstone.functions import scalars as S
 from foldstone.operators import batch, fold, integrity, metering, placement, reads
+from foldstone.operators.changes import apply_changes
+from foldstone.plans.problems import change_feed
 from foldstone.plans.views import NOW_MS, ctes, view
 from foldstone.sources.tables import table
 
@@ -560,3 +562,33 @@ select user_id, min(ts) as started, count(*) as n from s group by user_id, sessi
 def events_session(spark, d):
     e = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
     return e.groupBy("user_id", F.session_window("t", "2 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), "n")
+
+
+@query("apikeys_state", """with c as (select change_no, lower(trim(event)) as op, url_decode(key) as key, tenant from key_changes),
+g as (select key, max(change_no) filter (where op not in ('put', 'revoke')) as gone, max(change_no) filter (where op in ('put', 'revoke')) as last_no from c group by key),
+l as (select c.*, last_no from c join g using (key) where op in ('put', 'revoke') and (gone is null or change_no > gone))
+select key, not (arg_max(op, change_no) = 'revoke') as active, any_value(last_no) as last_no from l group by key""")
+def apikeys_state(spark, d):
+    """The lifecycle of keys: a put creates or renews, a revoke switches off, a delete removes."""
+    c = change_feed(spark, d).withColumn("active", F.col("event") == "put")
+    return apply_changes(c, ["key"], "change_no", "event", ["active"], replace_ops=["put"], patch_ops=["revoke"]).select("key", "active", "last_no")
+
+
+@query("vote_tally", ctes("volumes") + "select count(*) as voters, count(*) filter (where state = 'alive') as granted, count(*) filter (where state = 'alive') >= count(*) // 2 + 1 as won from volumes")
+def vote_tally(spark, d):
+    v = view(spark, d, "volumes").agg(F.count("*").alias("voters"), F.count_if(F.col("state") == "alive").alias("granted"))
+    return v.withColumn("won", F.col("granted") >= F.floor(F.col("voters") / 2) + 1)
+
+
+@query("raft_commit_index", ctes("volumes") + ", r as (select total_keys, row_number() over (order by total_keys desc) as rk, count(*) over () as n from volumes) select cast(total_keys as bigint) as commit_index from r where rk = n // 2 + 1")
+def raft_commit_index(spark, d):
+    """The greatest index that a majority of replicas has reached."""
+    reached = F.sort_array(F.collect_list(F.col("total_keys").cast("bigint")), asc=False)
+    return view(spark, d, "volumes").agg(reached.alias("r")).select(F.get("r", F.floor(F.size("r") / 2).cast("int")).alias("commit_index"))
+
+
+@query("raft_append_check", "select o_orderkey, o_orderkey % 2000 <= 1000 as accepted, case when o_orderkey % 2000 > 1000 then 1000 end as conflict_index from orders")
+def raft_append_check(spark, d):
+    """An append after an index that a follower with 1000 entries does not have is refused with its length."""
+    before = F.col("o_orderkey") % 2000
+    return table(spark, d, "orders").select("o_orderkey", (before <= 1000).alias("accepted"), F.when(before > 1000, 1000).alias("conflict_index"))

@@ -141,6 +141,8 @@ def test_batch_reads_its_own_writes(spark):
     base = spark.createDataFrame([("b", "old")], "key string, value string")
     got = {r["ord"]: (r["ok"], r["value"], r["error"]) for r in batch.batch_results(ops, base).collect()}
     assert got == {1: (False, None, "Not found"), 2: (True, None, None), 3: (True, "1", None), 4: (True, None, None), 5: (False, None, "Not found"), 6: (False, None, "Missing value for put"), 7: (False, None, "Unknown op"), 8: (True, "old", None), 9: (False, None, "Unknown op")}
+    cut = {r["ord"]: (r["ok"], r["value"], r["error"]) for r in batch.batch_results(ops, base, width=1).collect()}
+    assert cut == got
     assert batch.txn_log(ops, 100).count() == 2 and batch.txn_log(ops, 100, atomic=True).count() == 0
 
 
