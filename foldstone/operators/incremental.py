@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldstone.session import broadcast_if_small
+from foldstone.session import broadcast_if_small, materialise
 
 #: A scope's marks are cut into about this many pieces, so that one hot scope is spread over many tasks.
 PIECES = 256
@@ -55,7 +55,7 @@ def done_ranges(runs: DataFrame) -> DataFrame:
     ranges = edges.withColumn("low", F.lag("edge").over(Window.partitionBy("scope").orderBy("edge"))).where("low is not null")
     looked = ranges.select("scope", "low", F.col("edge").alias("high"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda n: F.call_function("shiftright", F.col("edge"), n))).alias("level", "block"))
     done = looked.join(cover, ["scope", "level", "block"]).groupBy("scope", "low", "high").agg(F.max("started_at").alias("done_at"))
-    return done.select("scope", F.when(F.col("low") > 0, F.col("low") + F.lit(least)).alias("low"), (F.col("high") + F.lit(least)).alias("high"), "done_at")
+    return materialise(done.select("scope", F.when(F.col("low") > 0, F.col("low") + F.lit(least)).alias("low"), (F.col("high") + F.lit(least)).alias("high"), "done_at"), "done")
 
 
 def pending_marks(feed: DataFrame, ledger: DataFrame) -> DataFrame:

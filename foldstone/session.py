@@ -78,3 +78,13 @@ def broadcast_if_small(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) ->
     """
     written = materialise(df, name)
     return F.broadcast(written) if written.count() <= limit else written
+
+
+def spread(df: DataFrame, least: int = 1_000_000) -> DataFrame:
+    """Before costly work on each row: give every core a part of an input that is too small to be split by files.
+
+    An input of more than ``least`` bytes a core keeps the partitions of its scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * least else df
