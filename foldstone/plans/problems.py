@@ -47,14 +47,14 @@ def p3_orphans(spark: SparkSession, d: str) -> DataFrame:
     latest = registered.where("volume_id is not null").groupBy("volume_id").agg(F.min("registered_at").alias("since"), F.max_by(F.struct("removed_at", "shards"), F.struct("registered_at", "removed_at")).alias("x"))
     live = latest.where("x.removed_at is null")
     scope, number = numbered(F.col("volume_id"))
-    parents = live.select(scope.alias("scope"), number.alias("key"), "since")
+    parents = live.select(F.concat(F.lit("volume "), scope).alias("scope"), number.alias("key"), "since")
     named = meta.select("meta_id", "updated_at", F.explode(F.array_distinct(F.transform("replicas", N.volume))).alias("volume_id"))
-    refs = named.select(scope.alias("scope"), number.alias("key"), F.col("updated_at").alias("at"), F.lit("key_metadata").alias("src_table"), F.col("meta_id").alias("src_id"), F.col("volume_id").alias("ref_value"))
-    shards = live.select(F.col("volume_id").alias("scope"), F.explode("x.shards").alias("key"), F.lit(None).cast("bigint").alias("since"))
+    refs = named.select(F.concat(F.lit("volume "), scope).alias("scope"), number.alias("key"), F.col("updated_at").alias("at"), F.lit("key_metadata").alias("src_table"), F.col("meta_id").alias("src_id"), F.col("volume_id").alias("ref_value"))
+    shards = live.select(F.concat(F.lit("shard "), "volume_id").alias("scope"), F.explode("x.shards").alias("key"), F.lit(None).cast("bigint").alias("since"))
     located = blobs.select(
-        F.coalesce(N.volume("volume_id"), F.lit("")).alias("scope"), F.col("shard").alias("key"), F.col("written_at").alias("at"), F.lit("blob_locations").alias("src_table"), F.col("location_id").alias("src_id"), F.col("shard").cast("string").alias("ref_value")
+        F.concat(F.lit("shard "), F.coalesce(N.volume("volume_id"), F.lit(""))).alias("scope"), F.col("shard").alias("key"), F.col("written_at").alias("at"), F.lit("blob_locations").alias("src_table"), F.col("location_id").alias("src_id"), F.col("shard").cast("string").alias("ref_value")
     )
-    found = orphans(refs, parents).unionByName(orphans(located, shards))
+    found = orphans(refs.unionByName(located), parents.unionByName(shards))  # scopes of two kinds, one pass
     return found.select("src_table", N.month_of_millis("at").alias("period"), "src_id", "ref_value")
 
 

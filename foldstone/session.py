@@ -86,5 +86,5 @@ def spread(df: DataFrame, least: int = 1_000_000) -> DataFrame:
     An input of more than ``least`` bytes a core keeps the partitions of its scan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * least else df
