@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldstone.llm.words import words
-from foldstone.session import broadcast_if_small, materialise
+from foldstone.session import broadcast_if_small, materialise, spread
 
 #: Distinct terms of all test items for which the vocabulary goes to the tasks; beyond, every word is indexed.
 MOST_TERMS = 500_000
@@ -49,7 +49,8 @@ def postings(docs: DataFrame, vocabulary: frozenset[str] | None = None) -> DataF
                     terms, ids, places, held = [], [], [], 0
         yield listed()
 
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, "term string, doc_id bigint, positions array<int>").sortWithinPartitions("term")
+    whole = spread(docs.select("doc_id", "text").where("doc_id is not null and text is not null"))
+    return whole.mapInArrow(run, "term string, doc_id bigint, positions array<int>").sortWithinPartitions("term")
 
 
 def item_terms(items: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldstone.functions.normalise import word
-from foldstone.session import materialise
+from foldstone.session import materialise, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct sets of sources that hold one text; at most 2**targets exist, far fewer occur.
@@ -162,7 +162,8 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, total: int | None =
     spark = docs.sparkSession
     wanted = targets.select(word("source").alias("source"), "target_share", F.col("max_repeats").cast("bigint").alias("max_repeats")).where("source is not null")
     goals = {r["source"]: r for r in wanted.limit(10_000).collect()}
-    sized = count_tokens(docs.select("doc_id", "text", word("source").alias("source")).where(F.col("source").isin(*goals) if goals else F.lit(False)), "text", "tokens", tokenizer)
+    aimed = docs.select("doc_id", "text", word("source").alias("source")).where(F.col("source").isin(*goals) if goals else F.lit(False))
+    sized = count_tokens(spread(aimed), "text", "tokens", tokenizer)
     held = sized.where("tokens > 0").groupBy(F.unhex(F.sha2("text", 256)).alias("same"), "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
     units = held.groupBy("same").agg(F.sort_array(F.collect_list(F.struct("source", "doc_id"))).alias("copies"), F.max("tokens").alias("tokens"))
     units = units.select(F.concat_ws("\t", F.transform("copies", lambda c: c["source"])).alias("pattern"), "copies", "tokens", F.xxhash64("same", F.lit(seed)).alias("at"), F.hex("same").alias("same"))

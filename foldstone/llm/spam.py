@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldstone.llm.words import folded, visible
-from foldstone.session import broadcast_if_small, materialise
+from foldstone.session import broadcast_if_small, materialise, spread
 
 FEATURES = ["listed", "links", "tags", "repeats", "ordinary", "listy", "variety", "top", "marks", "stops", "pace", "size"]
 #: Weakly labelled pages of each class that the trees are fitted to, the first in a hashed order.
@@ -195,7 +195,7 @@ def spam_scores(docs: DataFrame, host: str, trees: int = 24, seed: int = 11, sam
     from pyspark.ml.functions import vector_to_array
 
     spark = docs.sparkSession
-    pages = docs.select("doc_id", "text", F.col(host).cast("string").alias("host"))
+    pages = spread(docs.select("doc_id", "text", F.col(host).cast("string").alias("host")))
     known = spark.sparkContext.broadcast(vocabulary(pages, pages.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
