@@ -17,6 +17,8 @@ from foldstone.session import materialise, spread
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct sets of sources that hold one text; at most 2**targets exist, far fewer occur.
 MOST_PATTERNS = 100_000
+#: Targets of one mix.
+MOST_TARGETS = 1_000
 #: Documents that one prefix-sum bucket holds, about.
 BUCKET = 5_000
 
@@ -161,7 +163,9 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, total: int | None =
     """
     spark = docs.sparkSession
     wanted = targets.select(word("source").alias("source"), "target_share", F.col("max_repeats").cast("bigint").alias("max_repeats")).where("source is not null")
-    goals = {r["source"]: r for r in wanted.limit(10_000).collect()}
+    goals = {r["source"]: r for r in wanted.limit(MOST_TARGETS + 1).collect()}
+    if len(goals) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
     aimed = docs.select("doc_id", "text", word("source").alias("source")).where(F.col("source").isin(*goals) if goals else F.lit(False))
     sized = count_tokens(spread(aimed), "text", "tokens", tokenizer)
     held = sized.where("tokens > 0").groupBy(F.unhex(F.sha2("text", 256)).alias("same"), "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))

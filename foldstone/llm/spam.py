@@ -23,7 +23,7 @@ USUAL = 0.05
 #: Words outside sentences below which a page has no list at all.
 FEW = 6
 
-_LINK = re.compile(r"(?:h(?:tt|xx)ps?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:[a-z]{2,15})(?:/\S*)?(?=[\s|,;<>\")\]!?.]|$)", re.I)
+_LINK = re.compile(r"(?:h(?:tt|xx)ps?://|www\.)\S+|(?<![\w.-])[\w-]{1,63}(?:\.[\w-]{1,63}){0,8}\.[a-z]{2,15}(?:/\S*)?(?=[\s|,;<>\")\]!?.]|$)", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _STOP = re.compile(r"[.!?…。！？]+(?=\s|$)|\n+|[。！？]")
 _ITEM = re.compile(r"[|;•·,#\\]|=>|->|\s[-–—*+/]\s|:\s")

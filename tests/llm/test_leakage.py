@@ -22,6 +22,7 @@ D, I = "doc_id bigint, text string", "item_id bigint, text string"
         ("don't_stop,it's", ["don", "t", "stop", "it", "s"]),
         ("Straße", ["strasse"]),
         ("2 < 3 > 1", ["2", "3", "1"]),
+        ("a<!-- x <b> y -->b<!-- open", ["a", "b", "open"]),
         ("&lt;b&gt;bold&lt;/b&gt;", ["bold"]),
     ],
 )

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from conftest import rows
@@ -14,6 +15,13 @@ def listed(text, ordinary=NONE, listy=NONE, usual=NONE):
     return spam.measures(text, ordinary, listy, usual)[0]
 
 
+@pytest.mark.parametrize("text", ["a-" * 200_000, "a." * 200_000, "<!--" * 100_000, "x@" * 100_000, "." * 300_000, "www." * 100_000])
+def test_long_odd_texts_take_linear_time(text):
+    began = time.process_time()
+    listed(text)
+    assert time.process_time() - began < 20
+
+
 @pytest.mark.parametrize(
     "text",
     [
