@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import TaskContext
@@ -41,21 +41,18 @@ def stream_limiter(spark, d):
     return feeds.run_append(feeds.stream_limiter(requests, "user_id", 3, 86_400_000_000), "limiter")
 
 
-def _bytes_round(spark: SparkSession, rows: DataFrame, write, name: str, fmt: str) -> DataFrame:
-    """Write one file a partition with ``write``, then read the folder as ``fmt``."""
+def _bytes_round(spark: SparkSession, rows: DataFrame, encode: Callable[[Iterator], bytes], name: str, fmt: str) -> DataFrame:
+    """Write the rows with ``encode``, a file for each Arrow batch of a partition, then read the folder as ``fmt``."""
     formats.register(spark)
     path = scratch(spark, name)
 
     def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, folder = formats.located(path)
         store.create_dir(folder, recursive=True)
-        n = 0
-        with store.open_output_stream(f"{folder}/part-{TaskContext.get().partitionId():05d}") as f:  # a retry writes the same file
-            for frame in frames:
-                for row in frame.itertuples(index=False):
-                    f.write(write(row))
-                    n += 1
-        yield pd.DataFrame({"n": [n]})
+        for n, frame in enumerate(frames):
+            with store.open_output_stream(f"{folder}/part-{TaskContext.get().partitionId():05d}-{n:05d}") as f:  # a retry writes the same file
+                f.write(encode(frame.itertuples(index=False)))
+            yield pd.DataFrame({"n": [len(frame)]})
 
     rows.mapInPandas(save, "n bigint").agg(F.sum("n")).collect()
     return spark.read.format(fmt).load(path)
@@ -64,17 +61,24 @@ def _bytes_round(spark: SparkSession, rows: DataFrame, write, name: str, fmt: st
 def fmt_wal(spark, d):
     """The whole log written as binary records and read back."""
     w = table(spark, d, "wal_entries").select(F.col("entry_id").alias("seq"), F.when(F.lower(F.trim("op")).isin("put", "1"), "put").otherwise("delete").alias("op"), "key", "value_bytes")
-    got = _bytes_round(spark, w, lambda r: formats.wal_record(int(r.seq), r.op, r.key, bytes(r.value_bytes or b"")), "wal", "wal")
+    got = _bytes_round(spark, w, lambda rows: b"".join(formats.wal_record(int(r.seq), r.op, r.key, bytes(r.value_bytes or b"")) for r in rows), "wal", "wal")
     return got.select("seq", "op", "key", F.lower(F.hex("value")).alias("value_hex"))
 
 
 def fmt_segment(spark, d):
     docs = table(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("key"), F.col("text"))
-    got = _bytes_round(spark, docs, lambda r: formats.blob_frame(r.key, (r.text or "").encode()), "segment", "segment")
+    got = _bytes_round(spark, docs, lambda rows: b"".join(formats.blob_frame(r.key, (r.text or "").encode()) for r in rows), "segment", "segment")
     return got.select("key", "size", "ok", F.decode("value", "UTF-8").alias("text"))
 
 
-QUERIES = {"watch_events": watch_events, "watch_filtered": watch_filtered, "stream_state": stream_state, "stream_limiter": stream_limiter, "fmt_wal": fmt_wal, "fmt_segment": fmt_segment}
+def fmt_index(spark, d):
+    """Blob locations as index snapshots and back; a missing shard, size or digest is written as 0 or ''."""
+    b = table(spark, d, "blob_locations")
+    rows = b.select("key", F.coalesce("shard", F.lit(0)).alias("shard"), "blob_offset", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("blake3", F.lit("")).alias("hash"), F.coalesce("expires_at", F.lit(0)).alias("expires_at"))
+    return _bytes_round(spark, rows, lambda rows: formats.index_snapshot((r.key, int(r.shard), int(r.blob_offset), int(r.size), r.hash, int(r.expires_at)) for r in rows), "index", "kvindex")
+
+
+QUERIES = {"watch_events": watch_events, "watch_filtered": watch_filtered, "stream_state": stream_state, "stream_limiter": stream_limiter, "fmt_wal": fmt_wal, "fmt_segment": fmt_segment, "fmt_index": fmt_index}
 
 _EVENTS = ctes("kv_log") + "select seq, op as event, key, tenant, ts_ms // 1000 as event_ts from kv_log"
 ORACLES = {
@@ -83,5 +87,6 @@ ORACLES = {
     "stream_state": STORE["wal_fold_state"],
     "stream_limiter": STORE["sliding_limit"],
     "fmt_wal": "select entry_id as seq, case when lower(trim(op)) in ('put', '1') then 'put' else 'delete' end as op, key, case when lower(trim(op)) in ('put', '1') then lower(hex(coalesce(value_bytes, ''::blob))) end as value_hex from wal_entries",
+    "fmt_index": "select key, coalesce(shard, 0) as shard, blob_offset, coalesce(size, 0) as size, coalesce(blake3, '') as hash, nullif(expires_at, 0) as expires_at from blob_locations",
     "fmt_segment": "select 'doc/' || doc_id as key, cast(strlen(text) as bigint) as size, true as ok, text from documents",
 }

@@ -46,7 +46,7 @@ select n_name as tenant_id, cast(case when n_nationkey % 5 = 0 then 0 else (n_na
   cast(case when n_nationkey % 6 = 0 then 0 else (n_nationkey + 1) * 30 end as bigint) as object_limit, cast(3 as bigint) as rate_limit, n_nationkey % 7 <> 6 as enabled
 from [nation] where n_nationkey < 20""",
     "api_keys": """
-select concat('key-', cast(c_custkey as {text})) as id, c_name as name, {sha}(concat('mkv_', cast(c_custkey as {text})){bits}) as key_hash, n_name as tenant,
+select concat('key-', cast(c_custkey as {text})) as id, c_name as name, {sha}(concat('secret-', cast(c_custkey as {text})){bits}) as key_hash, n_name as tenant,
   case c_mktsegment when 'BUILDING' then 'Admin' when 'AUTOMOBILE' then 'ReadWrite' else 'ReadOnly' end as role, 1704067200000 as created_at,
   case when c_custkey % 4 = 0 then 1704067200000 + (c_custkey % 60) * 86400000 end as expires_at, c_acctbal >= 0 as active
 from [customer] join [nation] on c_nationkey = n_nationkey""",

@@ -80,3 +80,22 @@ def tumbling(events: DataFrame, width: str, late: str) -> DataFrame:
     """Watermarked window counts of a stream; windows are given out once they are closed."""
     timed = events.withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", late)
     return timed.groupBy(F.window("t", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("started"), "event_type", "n")
+
+
+def deduplicated(stream: DataFrame, keys: list[str], at: str, late: str) -> DataFrame:
+    """Repeated deliveries dropped, as long as they come within ``late`` of one another in event time."""
+    return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+
+
+def fan_out(stream: DataFrame, name: str, sinks: list[str]) -> list[str]:
+    """Append each batch to several places; a batch that is retried overwrites what it had written."""
+    out = scratch(stream.sparkSession, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        for sink in sinks:
+            kept.write.mode("overwrite").parquet(f"{out}/{sink}/batch={number}")
+        kept.unpersist()
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return [f"{out}/{sink}" for sink in sinks]
