@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldstone.functions.scalars import little_endian
+from foldstone.session import spread
 
 #: Volumes that one placement ranks; each key is hashed once with each of them.
 MOST_VOLUMES = 10_000
@@ -22,26 +26,38 @@ def alive(volumes: DataFrame) -> list[str]:
 def ranked(key: Column, nodes: list[str], n: int) -> Column:
     """The ``n`` nodes of greatest weight for ``key``, heaviest first; ties keep the nodes' order.
 
-    The weight is the little-endian number in the first 8 bytes of SHA-256(key, node), compared as text. A list
-    in the plan instead of a join: no pairs leave a row, nothing is shuffled.
+    The weight is the little-endian number in the first 8 bytes of SHA-256(key, node). The nodes come with the
+    function instead of by a join: no pairs leave a row, nothing is shuffled. A NULL key has no weights.
     """
     if not nodes:
         return F.array().cast("array<string>")
-    hashed = F.transform(F.lit(nodes), lambda v, i: F.struct(F.sha2(F.concat(key, v), 256).alias("h"), (-i).alias("i"), v.alias("v")))
-    weighed = F.transform(hashed, lambda x: F.struct(little_endian(x["h"]).alias("w"), x["i"].alias("i"), x["v"].alias("v")))
-    return F.slice(F.transform(F.sort_array(weighed, asc=False), lambda x: x["v"]), 1, n)
+    named = [v.encode() for v in nodes]
+
+    def run(keys: pa.Array) -> pa.Array:
+        out = []
+        for k in keys.to_pylist():
+            if k is None:
+                out.append(nodes[:n])
+                continue
+            head = k.encode()
+            weights = np.frombuffer(b"".join(sha256(head + v).digest()[:8] for v in named), "<u8")
+            out.append([nodes[i] for i in np.argsort(~weights, kind="stable")[:n]])
+        return pa.array(out, pa.list_(pa.string()))
+
+    run.__annotations__ = {"keys": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<string>")(key)
 
 
 def replicas(keys: DataFrame, nodes: list[str], n: int) -> DataFrame:
     """``key, volume_id, rank``: up to ``n`` rows a key, rank from 1."""
-    return keys.select("key", F.posexplode(ranked(F.col("key"), nodes, n)).alias("rank", "volume_id")).select("key", "volume_id", (F.col("rank") + 1).cast("bigint").alias("rank"))
+    return spread(keys.select("key")).select("key", F.posexplode(ranked(F.col("key"), nodes, n)).alias("rank", "volume_id")).select("key", "volume_id", (F.col("rank") + 1).cast("bigint").alias("rank"))
 
 
 def placement_status(keys: DataFrame, nodes: list[str], n: int) -> DataFrame:
     """``key, status, volumes``: ok, no_healthy_volumes, or insufficient_replicas where fewer than ``n`` are alive."""
     status = F.lit("no_healthy_volumes" if not nodes else "insufficient_replicas" if len(nodes) < n else "ok")
     chosen = F.array_join(ranked(F.col("key"), nodes, n), ",") if len(nodes) >= n else F.lit("")
-    return keys.select("key", status.alias("status"), chosen.alias("volumes"))
+    return spread(keys.select("key")).select("key", status.alias("status"), chosen.alias("volumes"))
 
 
 def shard_map(spark: SparkSession, shards: int, nodes: list[str], n: int) -> DataFrame:

@@ -11,6 +11,7 @@ from foldstone.operators import batch, fold, integrity, metering, placement, rea
 from foldstone.operators.changes import apply_changes
 from foldstone.plans.problems import change_feed
 from foldstone.plans.views import NOW_MS, ctes, view
+from foldstone.session import materialise, spread
 from foldstone.sources.tables import table
 
 RF = 3
@@ -282,18 +283,24 @@ blobs as (select volume_id, key, size, case when doc_id % 97 = 0 and rank = 1 th
 
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
-    docs, nodes = view(spark, d, "kv_docs"), placement.alive(view(spark, d, "volumes"))
+    docs, nodes = spread(view(spark, d, "kv_docs").select("key", "doc_id", "size", "hash")), placement.alive(view(spark, d, "volumes"))
     chosen = placement.ranked(F.col("key"), nodes, RF)
     return docs.select("key", "doc_id", "size", "hash", F.posexplode(chosen).alias("rank", "volume_id")).withColumn("rank", F.col("rank") + 1)
 
 
-def blobs(spark: SparkSession, d: str) -> DataFrame:
-    held = catalog(spark, d).where("not (doc_id % 50 = 0 and rank = 3)")
+def blobs(spark: SparkSession, d: str, expected: DataFrame) -> DataFrame:
+    held = expected.where("not (doc_id % 50 = 0 and rank = 3)")
     held = held.select("volume_id", "key", "size", F.when((F.col("doc_id") % 97 == 0) & (F.col("rank") == 1), F.sha2(F.concat("hash", F.lit("x")), 256)).otherwise(F.col("hash")).alias("hash"))
     items = table(spark, d, "eval_items")
     return held.unionByName(items.select(F.lit("vol-0000").alias("volume_id"), F.concat(F.lit("orphan/"), F.col("item_id").cast("string")).alias("key"), F.octet_length("text").cast("bigint").alias("size"), F.sha2("text", 256).alias("hash")))
 
 
+def expected_and_held(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The catalogue, ranked once and written, as each key meets every live volume; and the blobs."""
+    expected = materialise(catalog(spark, d), "catalog")
+    return expected, blobs(spark, d, expected)
+
+
 @query("hrw_replicas", _HRW + "select key, volume_id, rank from catalog")
 def hrw_replicas(spark, d):
     return placement.replicas(view(spark, d, "kv_docs"), placement.alive(view(spark, d, "volumes")), RF)
@@ -349,22 +356,22 @@ plan as (select j.key, j.volume_id as target, src.source, j.size from j left joi
 @query("verify_report", _CLASSES + """select 'total_keys' as class, count(*) as n from k union all select 'healthy', count(*) filter (where class = 'healthy') from k union all select 'under_replicated', count(*) filter (where class = 'under_replicated') from k
 union all select 'corrupted', count(*) filter (where class = 'corrupted') from k union all select 'orphaned', count(*) from o""")
 def verify_report(spark, d):
-    return integrity.verify_report(catalog(spark, d), blobs(spark, d), RF)
+    return integrity.verify_report(*expected_and_held(spark, d), RF)
 
 
 @query("orphans", _CLASSES + "select key, volume_id from o")
 def orphans(spark, d):
-    return integrity.orphan_blobs(catalog(spark, d), blobs(spark, d))
+    return integrity.orphan_blobs(*expected_and_held(spark, d))
 
 
 @query("repair_plan", _CLASSES + "select key, target, source, size from plan")
 def repair_plan(spark, d):
-    return integrity.repair_plan(catalog(spark, d), blobs(spark, d))
+    return integrity.repair_plan(*expected_and_held(spark, d))
 
 
 @query("repair_report", _CLASSES + "select (select count(*) from catalog) as checked, count(*) as to_repair, cast(coalesce(sum(size), 0) as bigint) as bytes_to_copy from plan")
 def repair_report(spark, d):
-    return integrity.repair_report(catalog(spark, d), blobs(spark, d))
+    return integrity.repair_report(*expected_and_held(spark, d))
 
 
 @query("range_with_meta", _HRW + ", m as (select key, size as meta_size from catalog where rank = 1 and doc_id % 2 = 0) select k.key, m.meta_size from kv_docs k left join m using (key) where k.key between 'doc/00000100' and 'doc/00000299'")

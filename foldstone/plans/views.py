@@ -24,10 +24,10 @@ select concat('doc/', lpad(cast(doc_id as {text}), 8, '0')) as key, doc_id, text
   {sha}(text{bits}) as hash, coalesce(lower(trim(source)), 'none') as tenant
 from [documents]""",
     "volumes": """
-select concat('vol-', lpad(cast(s_suppkey as {text}), 4, '0')) as volume_id,
+select concat('vol-', lpad(cast(s_suppkey as {text}), cast(greatest(4, length(cast(s_suppkey as {text}))) as integer), '0')) as volume_id,
   case s_suppkey % 10 when 7 then 'suspect' when 8 then 'dead' when 9 then 'draining' else 'alive' end as state,
   s_suppkey * 10 as total_keys, cast(floor(abs(s_acctbal) * 2000000) as bigint) as total_bytes, 1706745600000 - s_suppkey * 1000 as last_heartbeat
-from [supplier] where s_suppkey < 10""",
+from [supplier]""",
     "objects": """
 select {head} as bucket, {tail} as object_key, entry_id as seq, value_bytes as body, cast(coalesce({bytes}(value_bytes), 0) as bigint) as body_bytes, lower(trim(op)) in ('put', '1') as is_put
 from [wal_entries] where key like '%/%'""",

@@ -1,0 +1,16 @@
+from foldstone.plans.store import QUERIES, catalog
+from foldstone.plans.views import view
+
+
+def test_volumes_are_all_suppliers(spark, tmp_path):
+    spark.range(12_345).selectExpr("id as s_suppkey", "1.0D as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    v = view(spark, str(tmp_path), "volumes")
+    assert v.count() == v.select("volume_id").distinct().count() == 12_345
+    assert QUERIES["cluster_totals"](spark, str(tmp_path)).first()["volumes"] == 12_345
+
+
+def test_keys_go_to_volumes_beyond_the_first_ten(spark, tmp_path):
+    spark.range(100).selectExpr("id as s_suppkey", "1.0D as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(200).selectExpr("id as doc_id", "cast(id as string) as text", "'s' as source").write.parquet(f"{tmp_path}/documents.parquet")
+    used = {r["volume_id"] for r in catalog(spark, str(tmp_path)).select("volume_id").distinct().collect()}
+    assert len(used) > 60 and catalog(spark, str(tmp_path)).count() == 600
