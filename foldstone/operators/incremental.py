@@ -81,6 +81,20 @@ def pending_marks(feed: DataFrame, ledger: DataFrame) -> DataFrame:
     return joined.where(F.col("done_at").isNull() | F.col("arrived_at").isNull() | (F.col("done_at") < F.col("arrived_at"))).select("scope", "mark")
 
 
+def run_transitions(runs: DataFrame) -> DataFrame:
+    """What recorded runs did to their items, as the ledger's transitions: each run is one item, its range.
+
+    ``runs``: ``item`` (unique), ``started_at``, ``finished_at``, ``status``. A run adds its item, leases it at its start with token 1,
+    and makes it done if it succeeded; else it gives the item back, or, if it has no such end, its lease is over at its start.
+    """
+    at, end = (F.unix_millis(F.col(c).cast("timestamp")) for c in ("started_at", "finished_at"))
+    word = F.lower(F.trim("status"))
+    kind = F.when(word == "succeeded", "done").when(word.isin("failed", "aborted"), "released")
+    step = lambda token, kind, at_ms, until_ms: F.struct(F.lit(token).cast("bigint").alias("token"), kind.alias("kind"), at_ms.alias("at_ms"), until_ms.cast("bigint").alias("until_ms"))
+    steps = F.array(step(0, F.lit("pending"), at, F.lit(None)), step(1, F.lit("leased"), at, at), step(1, kind, F.coalesce(end, at), F.lit(None)))
+    return runs.select("item", F.inline(steps)).where("kind is not null").withColumn("worker", F.lit("run"))
+
+
 @dataclass(frozen=True)
 class Lease:
     """The right to process one item until ``until_ms``; ``token`` fences every earlier holder."""
@@ -128,6 +142,10 @@ class Ledger:
         for item in items:
             self._append(item, 0, "pending", at_ms, None, "")
 
+    def record(self, transitions: DataFrame) -> None:
+        """Append many transitions of the past at once, as ``run_transitions`` gives them."""
+        transitions.select("item", "token", "kind", "at_ms", "until_ms", "worker").write.mode("append").json(f"{self.root}/transitions")
+
     def states(self, now_ms: int) -> DataFrame:
         """``item, token, state`` at ``now_ms``: pending, leased or done."""
         rank = F.when(F.col("kind") == "done", 2).when(F.col("kind") == "released", 1).otherwise(0)
@@ -148,13 +166,17 @@ class Ledger:
         top = self.transitions().where(F.col("item") == lease.item).agg(F.max("token").alias("t")).first()
         return bool(top) and top["t"] == lease.token
 
+    def _done(self, lease: Lease) -> bool:
+        return self._fs.exists(self._path(f"{self.root}/transitions/{lease.item}.{lease.token:09d}.done.json"))
+
     def commit(self, lease: Lease, df: DataFrame, now_ms: int) -> bool:
         """Write the item's output under its token's path, then record done: that one file makes it visible.
 
         False if the token is stale, before or after the write: such a record is outranked by the later
-        token when the states are folded, so a stale writer's files are never read.
+        token when the states are folded, so a stale writer's files are never read. False, and nothing written,
+        if the token is done already: what it published stays.
         """
-        if not self._current(lease):
+        if not self._current(lease) or self._done(lease):
             return False
         df.write.mode("overwrite").parquet(lease.path)
         return self._current(lease) and self._append(lease.item, lease.token, "done", now_ms, None, "") and self._current(lease)

@@ -9,8 +9,10 @@ from foldstone.functions import normalise as N
 from foldstone.operators.changes import apply_changes
 from foldstone.operators.compare import compare, difference_lines, latest_rows
 from foldstone.operators.features import feature_cells, feature_table
-from foldstone.operators.incremental import done_ranges, pending_marks
+from foldstone.operators.incremental import Ledger, done_ranges, pending_marks, run_transitions
 from foldstone.operators.references import numbered, orphans
+from foldstone.plans.views import NOW_MS
+from foldstone.session import materialise, scratch
 from foldstone.sources.tables import table
 
 #: Bytes in an entry's meta: a whole number, quoted or not, at any depth, also in a text that was cut off after it.
@@ -85,12 +87,21 @@ def p4_state(spark: SparkSession, d: str) -> DataFrame:
     return apply_changes(feed, ["volume_id", "key"], "sequence", "op", ["value_hex", "tenant"], replace_ops=(), patch_ops=("put",)).select("volume_id", "key", "value_hex", "tenant", "last_no")
 
 
+def recorded_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The runs over both feeds with ``item``, the name under which the ledger keeps each."""
+    wal, meta = table(spark, d, "wal_runs"), table(spark, d, "meta_runs")
+    said = lambda df, feed, scope, field: df.select(F.lit(feed).alias("feed"), F.concat(F.lit(f"{feed}-"), F.col("run_id").cast("string")).alias("item"), scope.alias("scope"), F.col(f"from_{field}").alias("low"), F.col(f"to_{field}").alias("high"), "started_at", "finished_at", "status")
+    return said(wal, "wal_entries", N.volume("volume_id"), "sequence").unionByName(said(meta, "key_metadata", F.lit(""), "updated_at"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    wal, meta = table(spark, d, "wal_entries"), table(spark, d, "key_metadata")
-    wal_runs, meta_runs = table(spark, d, "wal_runs"), table(spark, d, "meta_runs")
+    """The runs are replayed into a ledger; the ranges of its done items are handled, every other mark is pending."""
+    wal, meta, runs = table(spark, d, "wal_entries"), table(spark, d, "key_metadata"), recorded_runs(spark, d)
+    ledger = Ledger(spark, scratch(spark, "ledger"))
+    ledger.record(run_transitions(runs))
+    took = materialise(runs.join(ledger.states(NOW_MS).where("state = 'done'").select("item"), "item", "left_semi"), "runs")
+    wal_done, meta_done = (done_ranges(took.where(F.col("feed") == feed)) for feed in ("wal_entries", "key_metadata"))
     volume = N.volume("volume_id")
-    wal_done = done_ranges(wal_runs.select(volume.alias("scope"), F.col("from_sequence").alias("low"), F.col("to_sequence").alias("high"), "started_at", "status"))
-    meta_done = done_ranges(meta_runs.select(F.lit("").alias("scope"), F.col("from_updated_at").alias("low"), F.col("to_updated_at").alias("high"), "started_at", "status"))
     wal_left = pending_marks(wal.select(volume.alias("scope"), F.col("sequence").alias("mark"), "arrived_at", volume.alias("run_scope")), wal_done)
     meta_left = pending_marks(meta.select(N.decoded_key("key").alias("scope"), F.col("updated_at").alias("mark"), F.col("recorded_at").alias("arrived_at"), F.lit("").alias("run_scope")), meta_done)
     return wal_left.select(F.lit("wal_entries").alias("feed"), "scope", "mark").unionByName(meta_left.select(F.lit("key_metadata").alias("feed"), "scope", "mark"))
