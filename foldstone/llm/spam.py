@@ -14,6 +14,8 @@ from foldstone.llm.words import folded, visible
 from foldstone.session import broadcast_if_small, materialise, spread
 
 FEATURES = ["listed", "links", "tags", "repeats", "ordinary", "listy", "variety", "top", "marks", "stops", "pace", "size"]
+#: What the trees see: all but ``listed``, which the weak labels are cut from.
+INPUTS = FEATURES[1:]
 #: Weakly labelled pages of each class that the trees are fitted to, the first in a hashed order.
 SAMPLE = 10_000
 #: A word is ordinary if at least this share of all pages has it in a sentence, and it is no more than LIFT times as likely in lists; else it is listy.
@@ -180,12 +182,18 @@ def vocabulary(docs: DataFrame, pages: int) -> tuple[frozenset[str], frozenset[s
     return ordinary, listy, frozenset(r["word"] for r in rows if r["said"] >= USUAL * pages) & ordinary
 
 
+def class_weight(pages: int, sample: int) -> float:
+    """How many of a label's ``pages`` each of its at most ``sample`` training pages stands for."""
+    return max(1.0, pages / sample)
+
+
 def spam_scores(docs: DataFrame, host: str, trees: int = 24, seed: int = 11, sample: int = SAMPLE, pull: float = 0.15, prior: float = 20.0) -> DataFrame:
     """``doc_id``, the features, ``score`` of the trees and ``smoothed`` by the host.
 
     ``docs``: ``doc_id, text`` and the column ``host``. Pages whose words are for three quarters outside
     sentences are weakly labelled spam, those for less than a quarter good; bagged trees are fitted to at most ``sample``
-    pages of each label and score every page. ``smoothed`` moves the score by ``pull`` towards the host's mean,
+    pages of each label, weighted by how many pages have the label, so that a score means the same at every size, and score every page
+    from INPUTS alone. ``smoothed`` moves the score by ``pull`` towards the host's mean,
     which ``prior`` average pages hold back where a host has few. A NULL host is no host: its pages
     keep to the corpus' mean. Without pages of both labels the trees cannot be fitted, and ``score`` is
     ``listed``. NULL and empty texts have no words and score like good pages. Repeated ids are scored alike.
@@ -209,12 +217,14 @@ def spam_scores(docs: DataFrame, host: str, trees: int = 24, seed: int = 11, sam
     measured = materialise(pages.mapInArrow(run, schema), "measured")
 
     def labelled(where: str, label: float) -> DataFrame:
-        return measured.where(where).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).withColumn("label", F.lit(label))
+        of = measured.where(where)
+        weight = class_weight(of.count(), sample)
+        return of.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).withColumns({"label": F.lit(label), "weight": F.lit(weight)})
 
     weak = materialise(labelled("listed >= 0.75", 1.0).unionByName(labelled("listed < 0.25 and size > 0", 0.0)), "weak")
-    pack = VectorAssembler(inputCols=FEATURES, outputCol="__features")
+    pack = VectorAssembler(inputCols=INPUTS, outputCol="__features")
     if weak.select("label").distinct().count() == 2:
-        forest = RandomForestClassifier(featuresCol="__features", numTrees=trees, maxDepth=6, minInstancesPerNode=3, featureSubsetStrategy="all", bootstrap=True, seed=seed)
+        forest = RandomForestClassifier(featuresCol="__features", weightCol="weight", numTrees=trees, maxDepth=6, minInstancesPerNode=3, featureSubsetStrategy="all", bootstrap=True, seed=seed)
         model = forest.fit(pack.transform(weak))
         scored = model.transform(pack.transform(measured)).withColumn("score", vector_to_array("probability")[1]).select("doc_id", "host", *FEATURES, "score")
     else:
@@ -229,3 +239,10 @@ def spam_scores(docs: DataFrame, host: str, trees: int = 24, seed: int = 11, sam
 def spam_pages(docs: DataFrame, host: str, threshold: float = 0.3, **options) -> DataFrame:
     """``doc_id`` of the pages that the smoothed score suspects and that, checked, have more than half of their words outside sentences."""
     return spam_scores(docs, host, **options).where((F.col("smoothed") >= F.lit(threshold)) & (F.col("listed") > 0.5)).select("doc_id").distinct()
+
+
+def spam_report(scores: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """One row: pages that the rule alone gives, of these those that trees and hosts keep and remove, and ``only_scores``, pages they suspect against the rule (which do not come out)."""
+    rule, suspected = F.col("listed") > 0.5, F.col("smoothed") >= F.lit(threshold)
+    kinds = {"rule": rule, "kept": rule & suspected, "removed": rule & ~suspected, "only_scores": ~rule & suspected}
+    return scores.agg(*(F.count_if(c).alias(name) for name, c in kinds.items()))

@@ -1,0 +1,14 @@
+from foldstone.llm import spam
+
+
+def test_labels_are_not_what_the_trees_see():
+    assert "listed" not in spam.INPUTS and {"listed", *spam.INPUTS} == set(spam.FEATURES)
+
+
+def test_sampled_classes_keep_their_weight():
+    assert spam.class_weight(96_000, 10_000) == 9.6 and spam.class_weight(400, 10_000) == 1.0 and spam.class_weight(0, 10_000) == 1.0
+
+
+def test_report_counts_what_scores_change(spark):
+    scores = spark.createDataFrame([(0.9, 0.8), (0.6, 0.1), (0.4, 0.9), (0.1, 0.1)], "listed double, smoothed double")
+    assert spam.spam_report(scores).first().asDict() == {"rule": 2, "kept": 1, "removed": 1, "only_scores": 1}
