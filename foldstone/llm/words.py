@@ -11,7 +11,7 @@ _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<![A-Za-z][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 #: Characters that show nothing and separate nothing: the format category and those Unicode lets a renderer ignore.
 _INVISIBLE = {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"} | dict.fromkeys([0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)])
-_HIDDEN = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in [(0xAD, 0xAD), (0x300, 0x36F), (0x600, 0x605), (0x61C, 0x61C), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFF9, 0xFFFB), (0x1D173, 0x1D17A), (0xE0000, 0xE01EF)]) + "]")
+_HIDDEN = re.compile("[" + "".join(map(chr, sorted(_INVISIBLE))) + "]")
 
 
 def _untagged(text: str) -> str:
