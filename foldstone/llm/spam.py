@@ -1,185 +1,256 @@
-"""Keyword-stuffed pages, link lists and tag lists: bagged trees on weak labels, smoothed by host."""
+"""Keyword-stuffed pages, link lists and tag lists: bagged trees on weak labels, smoothed by host.
+
+Two views of a page are kept apart. The trees see its *form*: links, tags, stops, separators, repetition. The weak labels come from
+its *words*, by what other pages do with them: a word that others use in lists speaks for a list, one that others use in sentences
+for a sentence. What a page's own form says has no part in its label, and what its words are has none in its features.
+"""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldstone.llm.words import folded, visible
+from foldstone.llm.words import visible
 from foldstone.session import broadcast_if_small, materialise, spread
 
-FEATURES = ["listed", "links", "tags", "repeats", "ordinary", "listy", "variety", "top", "marks", "stops", "pace", "size"]
-#: What the trees see: all but ``listed``, which the weak labels are cut from.
-INPUTS = FEATURES[1:]
+FEATURES = ["links", "tags", "separators", "stops", "unstopped", "itemised", "sentences", "lists", "variety", "top", "recurring", "pairs", "small", "short", "pace", "anchored", "size"]
 #: Weakly labelled pages of each class that the trees are fitted to, the first in a hashed order.
 SAMPLE = 10_000
-#: A word is ordinary if at least this share of all pages has it in a sentence, and it is no more than LIFT times as likely in lists; else it is listy.
-COMMON, LIFT = 0.0005, 3.0
-#: A word that at least this share of all pages says is usual: it may recur in a page without being a keyword.
-USUAL = 0.05
-#: Words outside sentences below which a page has no list at all.
-FEW = 6
-
-_LINK = re.compile(r"(?:h(?:tt|xx)ps?://|www\.)\S+|(?<![\w.-])[\w-]{1,63}(?:\.[\w-]{1,63}){0,8}\.[a-z]{2,15}(?:/\S*)?(?=[\s|,;<>\")\]!?.]|$)", re.I)
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_STOP = re.compile(r"[.!?…。！？]+(?=\s|$)|\n+|[。！？]")
-_ITEM = re.compile(r"[|;•·,#\\]|=>|->|\s[-–—*+/]\s|:\s")
-_HASH = re.compile(r"[#＃][^\W_]")
-
-
-def pieces(text: str) -> list[str]:
-    """Stretches between full stops and line ends, links intact."""
-    out, at = [], 0
-    links = [m.span() for m in _LINK.finditer(text)]
-    k = 0
-    for m in _STOP.finditer(text):
-        while k < len(links) and links[k][1] <= m.start():
-            k += 1
-        if k < len(links) and links[k][0] <= m.start() < links[k][1]:
-            continue
-        out.append(text[at : m.end()])
-        at = m.end()
-    out.append(text[at:])
-    return _lists([p for p in out if p.strip()])
-
-
-def _lists(parts: list[str]) -> list[str]:
-    """Join neighbouring lines of up to four words without a full stop: a list with an item a line is one stretch."""
-    out: list[str] = []
-    run: list[str] = []
-    for p in [*parts, ""]:
-        if p.endswith("\n") and len(p.split()) <= 4 and not _LINK.search(p):
+#: Tokens of the corpus that weak labels know, those on most pages first: this bounds what is sent to the tasks.
+VOCABULARY = 200_000
+#: Other pages on which a token must stand in a clear list or sentence before it says anything.
+LEAST = 3
+#: A token's evidence is that of the tokens up to REACH places around it; a page's label is the share of tokens whose evidence is for a list.
+REACH, LIST_FROM, SENTENCES_TO, KNOWN = 4, 0.7, 0.2, 0.5
+
+_WORDY = r"(?P<word>[^\W_]+(?:['’][^\W_]+)*)|(?P<stop>[.!?…]+(?=\s|$)|[。！？])|(?P<line>\n)|(?P<sep>[|;•·,、，；\\/:=]|->|\s[-–—*+]\s)"
+_TAGS = r"(?P<tag>[#＃][^\W_]+(?:_+[^\W_]+)*)|"
+_LINKS = r"(?P<link>(?:h(?:tt|xx)ps?://|www\.)\S+|(?<![\w.@-])[\w-]{1,63}(?:\.[\w-]{1,63}){0,8}\.[a-z]{2,15}(?:/\S*)?(?=[\s|,;<>\")\]!?.:]|$))|"
+_PLAIN, _TAGGED, _LINKED = re.compile(_WORDY), re.compile(_TAGS + _WORDY), re.compile(_LINKS + _TAGS + _WORDY)
+_DOMAIN = re.compile(r"(?:\w+://)?(?:www\.)?([^/\s?#]+)")
+_DOTTED = re.compile(r"\.[a-z]{2}")
+
+LIST, SENTENCE, UNCLEAR = 1, 2, 0
+
+
+class Stretch:
+    """What stands between two full stops or line ends: its tokens, and the sizes of its parts between separators."""
+
+    __slots__ = ("tokens", "links", "tags", "parts", "stopped", "lined")
+
+    def __init__(self) -> None:
+        self.tokens: list[str] = []
+        self.links = self.tags = 0
+        self.parts = [0]
+        self.stopped = self.lined = False
+
+
+def stretches(text: str | None) -> list[Stretch]:
+    """The text cut once, in linear time. A list with an item a line is one stretch."""
+    text = visible(text or "").lower()
+    text = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    pattern = _LINKED if "://" in text or _DOTTED.search(text) else _TAGGED if "#" in text else _PLAIN
+    out: list[Stretch] = []
+    now = Stretch()
+    for m in pattern.finditer(text):
+        kind = m.lastgroup
+        if kind == "word":
+            now.tokens.append(m.group())
+            now.parts[-1] += 1
+        elif kind == "sep":
+            now.parts.append(0)
+        elif kind == "link":
+            now.tokens.append("@" + _DOMAIN.match(m.group()).group(1))
+            now.links += 1
+            now.parts[-1] += 1
+        elif kind == "tag":
+            now.tokens.append("#" + m.group()[1:])
+            now.tags += 1
+            now.parts[-1] += 1
+        elif now.tokens:
+            now.stopped, now.lined = kind == "stop", kind == "line"
+            out.append(now)
+            now = Stretch()
+    if now.tokens:
+        now.lined = True
+        out.append(now)
+    return _joined(out) if len(out) > 2 else out
+
+
+def _joined(parts: list[Stretch]) -> list[Stretch]:
+    """Three or more neighbouring lines of up to four words without a full stop are the items of one list."""
+    out: list[Stretch] = []
+    run: list[Stretch] = []
+    for p in [*parts, Stretch()]:
+        if p.lined and len(p.tokens) <= 4:
             run.append(p)
             continue
-        if len(run) >= 4:
-            if p and len(p.split()) <= 4 and not re.search(r"[.!?…。！？]\s*$", p):
-                run.append(p)
-                p = ""
-            out.append(" | ".join(x.strip() for x in run))
+        if len(run) >= 3:
+            whole = Stretch()
+            whole.tokens = [t for x in run for t in x.tokens]
+            whole.links, whole.tags, whole.lined = sum(x.links for x in run), sum(x.tags for x in run), True
+            whole.parts = [n for x in run for n in x.parts]
+            out.append(whole)
         else:
             out += run
         run = []
-        if p:
+        if p.tokens:
             out.append(p)
     return out
 
 
-def _items(bare: str) -> int:
-    """The items of a list written in one stretch: 0 unless there are four, nearly all of at most three words."""
-    sizes = [n for n in (len(_WORD.findall(x)) for x in _ITEM.split(bare)) if n]
-    return len(sizes) if len(sizes) >= 4 and sum(n <= 3 for n in sizes) >= 0.8 * len(sizes) else 0
-
-
-def _cut(text: str | None) -> list[tuple[str, int, list[str], int, int]]:
-    """Each stretch with its links, its other words, its tags and its list items."""
-    out = []
-    for p in pieces(visible(text or "")):
-        bare = _LINK.sub(" ", p)
-        out.append((p, len(_LINK.findall(p)), [folded(w) for w in _WORD.findall(bare)], len(_HASH.findall(bare)), _items(bare)))
-    return out
-
-
-def _shape(cut: list) -> Iterator[tuple[list[str], int]]:
-    """Each stretch's words and what its shape says without knowing any word: 1 a sentence, -1 a list, 0 unclear."""
-    for p, links, ws, tags, items in cut:
-        size, spread = links + len(ws), len(set(ws))
-        if size >= 6 and (links + tags >= max(3, 0.4 * size) or (len(ws) >= 10 and spread <= 0.35 * len(ws)) or items >= 6):
-            yield ws, -1
-        elif links or tags or items or len(ws) < 5 or spread < 0.7 * len(ws) or not re.search(r"[.!?…。！？]\s*$", p):
-            yield ws, 0
-        else:
-            yield ws, 1
-
-
-def _counted(cut: list) -> tuple[Counter, dict]:
-    """Word counts over the page, stretches that repeat as a whole counted once; and those stretches."""
-    once = {" ".join(ws): ws for _, _, ws, _, _ in cut}
-    return Counter(w for ws in once.values() for w in ws), once
-
+def shape(s: Stretch) -> int:
+    """What the form of a stretch says without knowing any word."""
+    size, kinds = len(s.tokens), len(set(s.tokens))
+    marked = s.links + s.tags
+    parts = [n for n in s.parts if n] if len(s.parts) > 1 else s.parts
+    if size >= 4 and (marked >= 0.4 * size or (size >= 8 and kinds <= 0.5 * size) or (len(parts) >= 4 and len([n for n in parts if n <= 3]) >= 0.8 * len(parts))):
+        return LIST
+    if s.stopped and not marked and size >= 5 and kinds >= 0.7 * size and size >= 3 * len(parts):
+        return SENTENCE
+    return UNCLEAR
 
-def measures(text: str | None, ordinary: frozenset[str], listy: frozenset[str], usual: frozenset[str]) -> list[float]:
-    """The features of a page, ``listed`` first: the share of words outside sentences.
 
-    A stretch of text is a sentence if half of its words are ordinary (a word that makes up a tenth of the page is
-    not, whatever it is elsewhere); else it is none if it holds mostly
-    links, tags, repeated keywords, list items or listy words. Keywords dressed as a sentence are none either (a
-    listy keyword that recurs, recurring words for two fifths of it, few usual words), nor are links with short labels,
-    once there are three of them. Single links in a stretch count for
-    themselves, once a page has three.
-    """
-    cut = _cut(text)
-    total = sum(n + len(ws) for _, n, ws, _, _ in cut)
+def measures(cut: list[Stretch], shapes: list[int]) -> list[float]:
+    """The features of a page, most of them shares of its tokens. Stretches that repeat as a whole count once where repetition is measured."""
+    total = sum(len(s.tokens) for s in cut)
     if not total:
         return [0.0] * len(FEATURES)
-    counts, once = _counted(cut)
-    over = {w for w, n in counts.items() if n >= 6 and n > 0.1 * total}
-    ordinary, usual = (x if over.isdisjoint(x) else x - over for x in (ordinary, usual))
-    many = {w for w, n in counts.items() if n >= 3 and w not in ordinary}
-    keyed = {w for w, n in counts.items() if n >= 4 and w not in usual}
-    links, tags = sum(n for _, n, *_ in cut), sum(t for *_, t, _ in cut)
-    anchored = sum(n > 0 and len(ws) <= 6 for _, n, ws, _, _ in cut) >= 3
-    listed = repeated = plain = odd = stops = marks = 0
-    for p, n, ws, t, m in cut:
-        size = n + len(ws)
-        again, good, bad = (sum(w in x for w in ws) for x in (many, ordinary, listy))
-        repeated, plain, odd, marks, stops = repeated + again, plain + good, odd + bad, marks + m, stops + bool(re.search(r"[.!?…。！？]\s*$", p))
-        stuffed = sum(w in keyed for w in ws) >= 0.4 * size and sum(w in usual for w in ws) < 0.3 * size and any(w in listy and w in keyed for w in ws)
-        stuffed = stuffed or (anchored and n > 0 and len(ws) <= 6)
-        if stuffed or good < 0.5 * len(ws) or not ws:
-            some = n + t >= 0.3 * size and links + tags >= 3
-            if stuffed or some or again >= 0.4 * size or bad >= 0.5 * len(ws) or m >= 4:
-                listed += size
-                continue
-        listed += n if links >= 3 else 0
-    listed = listed if listed >= FEW else 0
-    variety = len({w for ws in once.values() for w in ws}) / max(1, sum(map(len, once.values())))
-    top = max((n for w, n in counts.items() if w not in ordinary), default=0) / total
-    return [listed / total, links / total, tags / total, repeated / total, plain / total, odd / total, variety, top, marks / total, stops / len(cut), total / len(cut), float(min(total, 5000))]
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``word, said, lists``: pages that have the word in a sentence, and in a list; the word '' counts the pages that have any.
-
-    Summed in each task before the shuffle, over all pages and whole texts.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds: dict[int, Counter] = {1: Counter(), -1: Counter(), 0: Counter()}
-            for text in batch.column("text"):
-                cut = _cut(text.as_py())
-                found: dict[int, set] = {1: set(), -1: set(), 0: set()}
-                for ws, kind in _shape(cut):
-                    found[kind].update(["", *ws])
-                for kind, ws in found.items():
-                    kinds[kind].update(ws)
-            terms = list({*kinds[1], *kinds[-1]})
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([kinds[k][w] for w in terms], pa.int64()) for k in (1, -1))], ["word", "said", "lists"])
-
-    counted = docs.select("text").mapInArrow(run, "word string, said bigint, lists bigint")
-    return counted.groupBy("word").agg(F.sum("said").alias("said"), F.sum("lists").alias("lists"))
-
-
-def vocabulary(docs: DataFrame, pages: int) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
-    """The ordinary, the listy and the usual words of the corpus, in any language, learned from the shape of stretches alone.
-
-    A word must stand in COMMON of all pages, so there are at most (words a page) / COMMON of them, whatever
-    the size of the corpus.
+    links = tags = parts = stops = unstopped = itemised = said = listed = short = anchored = 0
+    for s, kind in zip(cut, shapes, strict=True):
+        n = len(s.tokens)
+        links, tags, parts, stops = links + s.links, tags + s.tags, parts + len(s.parts) - 1, stops + s.stopped
+        unstopped += 0 if s.stopped else n
+        if len(s.parts) >= 4 and n <= 3 * len(s.parts):
+            itemised += n
+        if kind == SENTENCE:
+            said += n
+        elif kind == LIST:
+            listed += n
+        if n <= 3:
+            short += n
+        if s.links and n <= 7 * s.links:
+            anchored += n
+    once = {" ".join(s.tokens): s.tokens for s in cut} if len(cut) > 1 else {"": cut[0].tokens}
+    distinct = sum(map(len, once.values()))
+    counts: Counter = Counter()
+    pairs: set = set()
+    small = 0
+    for ws in once.values():
+        counts.update(ws)
+        pairs.update(zip(ws, ws[1:], strict=False))
+        small += len([w for w in ws if len(w) <= 3])
+    recurring = sum([n for n in counts.values() if n >= 3])
+    follow = max(1, distinct - len(once))
+    return [
+        links / total, tags / total, parts / total, stops / total, unstopped / total, itemised / total, said / total, listed / total,
+        len(counts) / distinct, max(counts.values()) / distinct, recurring / distinct, 1 - min(1.0, len(pairs) / follow), small / distinct, short / total,
+        float(np.log1p(total / len(cut))), anchored / total, float(np.log1p(total)),
+    ]
+
+
+def _generic(token: str) -> str:
+    return token[0] if token[0] in "@#" else ""
+
+
+#: Distinct tokens that a task counts before it hands them on.
+_FLUSH = 300_000
+
+_PAGE = "doc_id bigint, host string, f array<double>, tokens array<string>, kinds array<tinyint>, word string, listed bigint, said bigint"
+
+
+def _cut_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over the texts: a row a page, and the tokens of clear lists and clear sentences counted by pages."""
+    counts = {LIST: Counter(), SENTENCE: Counter()}
+    names = [c.split()[0] for c in _PAGE.split(", ")]
+    lists = lambda values, kind: pa.array(values, pa.list_(kind))
+
+    def counted() -> pa.RecordBatch:
+        words = list(counts[LIST].keys() | counts[SENTENCE].keys())
+        n = len(words)
+        nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.int8()))]
+        return pa.RecordBatch.from_arrays([*nothing, pa.array(words, pa.string()), *(pa.array([counts[k][w] for w in words], pa.int64()) for k in (LIST, SENTENCE))], names)
+
+    for batch in batches:
+        found, tokens, kinds = [], [], []
+        for text in batch.column("text").to_pylist():
+            cut = stretches(text)
+            shapes = [shape(s) for s in cut]
+            found.append(measures(cut, shapes))
+            tokens.append([t for s in cut for t in s.tokens])
+            kinds.append([x for s, k in zip(cut, shapes, strict=True) for x in (k,) * len(s.tokens)])
+            for kind in {*shapes} - {UNCLEAR}:
+                own = {t for s, k in zip(cut, shapes, strict=True) if k == kind for t in s.tokens}
+                if any(s.links or s.tags for s in cut):
+                    own |= {*map(_generic, own)} - {""}
+                counts[kind].update(own)
+                counts[kind]["*"] += 1  # the pages that have any
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), lists(found, pa.float64()), lists(tokens, pa.string()), lists(kinds, pa.int8()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+        if len(counts[LIST]) + len(counts[SENTENCE]) > _FLUSH:
+            yield counted()
+            counts = {LIST: Counter(), SENTENCE: Counter()}
+    yield counted()
+
+
+def evidence(counts: dict[str, tuple[int, int]], least: int = LEAST):
+    """A function over Arrow arrays that gives, of each page, the share of tokens whose surroundings speak for a list, and the share of tokens known.
+
+    ``counts``: pages that have a token in a clear list, and in a clear sentence; ``*`` counts all. A token weighs the log of how
+    much likelier lists are to have it than sentences, from -3 to 3, without the page's own stretch; a link or tag that
+    too few pages have weighs as links or tags do.
     """
-    counts = materialise(word_counts(docs), "words")
-    whole = counts.where("word = ''").agg(F.sum("said").alias("said"), F.sum("lists").alias("lists")).first()
-    said, lists = max(1, whole["said"] or 0), max(1, whole["lists"] or 0)
-    least = F.lit(max(3.0, COMMON * pages))
-    known = counts.where((F.col("said") + F.col("lists") >= least) & F.col("word").rlike(r"\p{L}"))
-    lifted = (F.col("lists") + 0.5) / F.lit(lists) > F.lit(LIFT) * (F.col("said") + 0.5) / F.lit(said)
-    rows = known.select("word", "said", lifted.alias("listy")).collect()
-    ordinary, listy = (frozenset(r["word"] for r in rows if r["listy"] is x) for x in (False, True))
-    return ordinary, listy, frozenset(r["word"] for r in rows if r["said"] >= USUAL * pages) & ordinary
+    words = list(counts)
+    at = pa.array(words, pa.string())
+    table = np.array([counts[w] for w in words] or [(0, 0)], dtype=np.float64).reshape(-1, 2)
+    whole = np.maximum(np.array(counts.get("*", (0, 0)), dtype=np.float64), 1.0)
+
+    def found(values: pa.Array) -> np.ndarray:
+        import pyarrow.compute as pc
+
+        return pc.fill_null(pc.index_in(values, value_set=at), -1).to_numpy(zero_copy_only=False)
+
+    def own_counts(place: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        of = np.where((place >= 0)[:, None], table[place], 0.0)
+        of[:, 0] -= kinds == LIST
+        of[:, 1] -= kinds == SENTENCE
+        return np.maximum(of, 0.0)
+
+    def run(tokens: pa.Array, kinds: pa.Array) -> pa.Array:
+        sizes = np.diff(tokens.offsets.to_numpy())
+        coded = tokens.flatten().dictionary_encode()
+        codes, own = coded.indices.to_numpy(), kinds.flatten().to_numpy()
+        if not len(codes):
+            return pa.StructArray.from_arrays([pa.array(np.zeros(len(sizes))), pa.array(np.zeros(len(sizes)))], ["share", "known"])
+        terms = coded.dictionary
+        place = found(terms)
+        generic = found(pa.array([_generic(t) for t in terms.to_pylist()], pa.string()))
+        of, wide = own_counts(place[codes], own), own_counts(generic[codes], own)
+        rare = of.sum(axis=1) < least
+        of[rare] = wide[rare]
+        known = of.sum(axis=1) >= least
+        rate = (of + 0.5) / (whole + 1.0)
+        weight = np.where(known, np.clip(np.log(rate[:, 0] / rate[:, 1]), -3.0, 3.0), 0.0)
+
+        page = np.repeat(np.arange(len(sizes)), sizes)
+        ends = np.cumsum(sizes)
+        here = np.arange(len(codes))
+        low, high = np.maximum(here - REACH, (ends - sizes)[page]), np.minimum(here + REACH + 1, ends[page])
+        upto = np.concatenate([[0.0], np.cumsum(weight)])
+        around = upto[high] - upto[low]
+        n = np.maximum(sizes, 1)
+        share = np.bincount(page, weights=around > 1e-9, minlength=len(sizes)) / n
+        return pa.StructArray.from_arrays([pa.array(share), pa.array(np.bincount(page, weights=known, minlength=len(sizes)) / n)], ["share", "known"])
+
+    run.__annotations__ = {"tokens": pa.Array, "kinds": pa.Array, "return": pa.Array}
+    return run
 
 
 def class_weight(pages: int, sample: int) -> float:
@@ -187,62 +258,70 @@ def class_weight(pages: int, sample: int) -> float:
     return max(1.0, pages / sample)
 
 
-def spam_scores(docs: DataFrame, host: str, trees: int = 24, seed: int = 11, sample: int = SAMPLE, pull: float = 0.15, prior: float = 20.0) -> DataFrame:
+def odds(p: Column) -> Column:
+    """Log odds of a share kept between a thousandth and 1 less that."""
+    p = F.least(F.greatest(p, F.lit(0.001)), F.lit(0.999))
+    return F.ln(p / (1 - p))
+
+
+def spam_scores(docs: DataFrame, host: str, trees: int = 24, seed: int = 11, sample: int = SAMPLE, pull: float = 0.5, prior: float = 20.0) -> DataFrame:
     """``doc_id``, the features, ``score`` of the trees and ``smoothed`` by the host.
 
-    ``docs``: ``doc_id, text`` and the column ``host``. Pages whose words are for three quarters outside
-    sentences are weakly labelled spam, those for less than a quarter good; bagged trees are fitted to at most ``sample``
-    pages of each label, weighted by how many pages have the label, so that a score means the same at every size, and score every page
-    from INPUTS alone. ``smoothed`` moves the score by ``pull`` towards the host's mean,
-    which ``prior`` average pages hold back where a host has few. A NULL host is no host: its pages
-    keep to the corpus' mean. Without pages of both labels the trees cannot be fitted, and ``score`` is
-    ``listed``. NULL and empty texts have no words and score like good pages. Repeated ids are scored alike.
+    ``docs``: ``doc_id, text`` and the column ``host``. One pass cuts each whole text into stretches, measures its form and counts in
+    how many pages each token stands in a clear list and in a clear sentence. A page of which at least KNOWN of the tokens are
+    known from other pages is weakly labelled spam if at least LIST_FROM of its tokens stand where these speak for a list, and good at SENTENCES_TO or
+    less. Bagged trees are fitted to the features of at most ``sample`` pages of each label, weighted by how many pages
+    have the label, so that a score means the same at every size; they score every page, also of languages too rare for labels.
+
+    ``smoothed`` moves the log odds of the score by ``pull`` times how much the log odds of the host's other pages, eased
+    by ``prior`` average pages, differ from the corpus'. A NULL host is no host: its pages keep their score.
+    Without pages of both labels nothing can be learned, and all scores are 0. NULL and empty texts have no words and score 0.
+    Repeated ids are scored alike.
     """
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     spark = docs.sparkSession
-    pages = spread(docs.select("doc_id", "text", F.col(host).cast("string").alias("host")))
-    known = spark.sparkContext.broadcast(vocabulary(pages, pages.count()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordinary, listy, usual = known.value
-        for batch in batches:
-            rows = [measures(t.as_py(), ordinary, listy, usual) for t in batch.column("text")]
-            cols = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *cols], ["doc_id", "host", *FEATURES])
-
-    schema = "doc_id bigint, host string, " + ", ".join(f"{f} double" for f in FEATURES)
-    measured = materialise(pages.mapInArrow(run, schema), "measured")
-
-    def labelled(where: str, label: float) -> DataFrame:
-        of = measured.where(where)
-        weight = class_weight(of.count(), sample)
-        return of.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).withColumns({"label": F.lit(label), "weight": F.lit(weight)})
-
-    weak = materialise(labelled("listed >= 0.75", 1.0).unionByName(labelled("listed < 0.25 and size > 0", 0.0)), "weak")
-    pack = VectorAssembler(inputCols=INPUTS, outputCol="__features")
-    if weak.select("label").distinct().count() == 2:
-        forest = RandomForestClassifier(featuresCol="__features", weightCol="weight", numTrees=trees, maxDepth=6, minInstancesPerNode=3, featureSubsetStrategy="all", bootstrap=True, seed=seed)
-        model = forest.fit(pack.transform(weak))
-        scored = model.transform(pack.transform(measured)).withColumn("score", vector_to_array("probability")[1]).select("doc_id", "host", *FEATURES, "score")
+    source = spread(docs.select("doc_id", "text", F.col(host).cast("string").alias("host")))
+    cut = materialise(source.mapInArrow(_cut_pages, _PAGE), "cut")
+    pages = cut.where("word is null").select("doc_id", "host", "f", "tokens", "kinds")
+    counted = cut.where("word is not null").groupBy("word").agg(F.sum("listed").alias("listed"), F.sum("said").alias("said"))
+    counted = counted.where(F.col("listed") + F.col("said") > LEAST).orderBy(F.desc(F.col("listed") + F.col("said")), "word").limit(VOCABULARY)
+    known = {r["word"]: (r["listed"], r["said"]) for r in counted.collect()}
+
+    speak = F.arrow_udf(evidence(known), "struct<share double, known double>")
+    judged = pages.where(F.size("tokens") > 0).select("doc_id", "f", speak("tokens", "kinds").alias("e")).where(F.col("e.known") >= KNOWN)
+    label = F.when(F.col("e.share") >= LIST_FROM, 1.0).when(F.col("e.share") <= SENTENCES_TO, 0.0)
+    weak = materialise(judged.select("doc_id", "f", label.alias("label")).where("label is not null"), "weak")
+    sizes = {r["label"]: r["n"] for r in weak.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    shown = [F.element_at("f", i + 1).alias(name) for i, name in enumerate(FEATURES)]
+    if len(sizes) == 2:
+        first = lambda x: weak.where(F.col("label") == x).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).withColumn("weight", F.lit(class_weight(sizes[x], sample)))
+        train = materialise(first(1.0).unionByName(first(0.0)).select(array_to_vector("f").alias("__features"), "label", "weight"), "train")
+        forest = RandomForestClassifier(featuresCol="__features", weightCol="weight", numTrees=trees, maxDepth=7, minInstancesPerNode=3, featureSubsetStrategy="onethird", bootstrap=True, seed=seed)
+        model = forest.fit(train)
+        vectors = pages.select("doc_id", "host", "f", array_to_vector("f").alias("__features"))
+        score = F.when(F.element_at("f", len(FEATURES)) > 0, vector_to_array("probability")[1]).otherwise(F.lit(0.0))
+        scored = model.transform(vectors).select("doc_id", "host", *shown, score.alias("score"))
     else:
-        scored = measured.withColumn("score", F.col("listed"))
+        scored = pages.select("doc_id", "host", *shown, F.lit(0.0).alias("score"))
     scored = materialise(scored, "scored")
     mean = scored.agg(F.coalesce(F.avg("score"), F.lit(0.0))).first()[0]
-    rates = scored.where("host is not null").groupBy("host").agg(((F.sum("score") + F.lit(prior * mean)) / (F.count("*") + F.lit(prior))).alias("rate"))
+    rates = scored.where("host is not null").groupBy("host").agg(F.sum("score").alias("of_host"), F.count("*").alias("in_host"))
     joined = scored.join(broadcast_if_small(rates, "hosts"), "host", "left")
-    return joined.select("doc_id", *FEATURES, "score", (F.col("score") * F.lit(1 - pull) + F.coalesce("rate", F.lit(mean)) * F.lit(pull)).alias("smoothed"))
+    rest = (F.col("of_host") - F.col("score") + F.lit(prior * mean)) / (F.col("in_host") - 1 + F.lit(prior))
+    shift = F.coalesce(F.lit(pull) * (odds(rest) - odds(F.lit(mean))), F.lit(0.0))
+    moved = 1 / (1 + F.exp(-(odds(F.col("score")) + shift)))
+    return joined.select("doc_id", *FEATURES, "score", F.when((F.col("score") > 0) & (F.abs(shift) > 0), moved).otherwise(F.col("score")).alias("smoothed"))
 
 
-def spam_pages(docs: DataFrame, host: str, threshold: float = 0.3, **options) -> DataFrame:
-    """``doc_id`` of the pages that the smoothed score suspects and that, checked, have more than half of their words outside sentences."""
-    return spam_scores(docs, host, **options).where((F.col("smoothed") >= F.lit(threshold)) & (F.col("listed") > 0.5)).select("doc_id").distinct()
+def spam_pages(docs: DataFrame, host: str, threshold: float = 0.5, **options) -> DataFrame:
+    """``doc_id`` of the pages that trees and host rate together hold for spam."""
+    return spam_scores(docs, host, **options).where(F.col("smoothed") >= F.lit(threshold)).select("doc_id").distinct()
 
 
-def spam_report(scores: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """One row: pages that the rule alone gives, of these those that trees and hosts keep and remove, and ``only_scores``, pages they suspect against the rule (which do not come out)."""
-    rule, suspected = F.col("listed") > 0.5, F.col("smoothed") >= F.lit(threshold)
-    kinds = {"rule": rule, "kept": rule & suspected, "removed": rule & ~suspected, "only_scores": ~rule & suspected}
+def spam_report(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row: pages that the trees alone suspect, and those that the hosts' rates add and remove."""
+    alone, both = F.col("score") >= F.lit(threshold), F.col("smoothed") >= F.lit(threshold)
+    kinds = {"trees": alone, "added": ~alone & both, "removed": alone & ~both}
     return scores.agg(*(F.count_if(c).alias(name) for name, c in kinds.items()))

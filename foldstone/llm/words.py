@@ -11,7 +11,7 @@ _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<![A-Za-z][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 #: Characters that show nothing and separate nothing: the format category and those Unicode lets a renderer ignore.
 _INVISIBLE = {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"} | dict.fromkeys([0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)])
-_HIDDEN = re.compile("[" + "".join(map(chr, sorted(_INVISIBLE))) + "]")
+_HIDDEN = frozenset(map(chr, _INVISIBLE))
 
 
 def _untagged(text: str) -> str:
@@ -25,7 +25,7 @@ def _untagged(text: str) -> str:
 def visible(text: str) -> str:
     """The text without markup, entities and invisible characters; a tag separates, an invisible character does not."""
     if not text.isascii():
-        text = text.translate(_INVISIBLE) if _HIDDEN.search(text) else text
+        text = text if _HIDDEN.isdisjoint(text) else text.translate(_INVISIBLE)
     if "<" in text:
         text = _untagged(text)
     if "&" in text:
