@@ -111,7 +111,7 @@ def shape(s: Stretch) -> int:
     size, kinds = len(s.tokens), len(set(s.tokens))
     marked = s.links + s.tags
     parts = [n for n in s.parts if n] if len(s.parts) > 1 else s.parts
-    if size >= 4 and (marked >= 0.4 * size or (size >= 8 and kinds <= 0.5 * size) or (len(parts) >= 4 and len([n for n in parts if n <= 3]) >= 0.8 * len(parts))):
+    if size >= 4 and (marked >= 0.4 * size or (size >= 8 and kinds <= 0.5 * size) or (len(parts) >= 4 and sum([n for n in parts if n <= 3]) >= 0.8 * size)):
         return LIST
     if s.stopped and not marked and size >= 5 and kinds >= 0.7 * size and size >= 3 * len(parts):
         return SENTENCE
@@ -128,8 +128,8 @@ def measures(cut: list[Stretch], shapes: list[int]) -> list[float]:
         n = len(s.tokens)
         links, tags, parts, stops = links + s.links, tags + s.tags, parts + len(s.parts) - 1, stops + s.stopped
         unstopped += 0 if s.stopped else n
-        if len(s.parts) >= 4 and n <= 3 * len(s.parts):
-            itemised += n
+        if len(s.parts) >= 4:
+            itemised += sum([x for x in s.parts if x <= 3])
         if kind == SENTENCE:
             said += n
         elif kind == LIST:
