@@ -4,8 +4,7 @@ import random
 import pytest
 from conftest import rows
 
-from foldstone.operators.incremental import Ledger, done_ranges, pending_marks
-from foldstone.session import scratch
+from foldstone.operators.incremental import done_ranges, pending_marks
 
 T0 = dt.datetime(2024, 1, 1)
 at = lambda h: None if h is None else T0 + dt.timedelta(hours=h)
@@ -30,31 +29,15 @@ def test_nulls_and_empty_tables(spark):
     assert left(spark, [("v", None, 5, 9, "succeeded")], [("v", 1, None)]) == [("v", 1)]
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, many", [(0, 40), (1, 40), (2, 40), (3, 600)])
+def test_equals_brute_force(spark, seed, many):
     r = random.Random(seed)
     scale = r.choice([1, 1000, 10**12])
     runs = []
-    for _ in range(40):
+    for _ in range(many):
         a = r.randrange(50) * scale
         runs.append((r.choice("vw"), r.choice([None, a]), a + r.randrange(1, 20) * scale, r.randrange(100), r.choice(["succeeded", "failed", "aborted"])))
     feed = [(r.choice("vwx"), r.randrange(80) * scale + r.randrange(2), r.randrange(100)) for _ in range(400)]
     ok = lambda s, m, h: any(x == "succeeded" and q == s and (a is None or a < m) and m <= b and g >= h for q, a, b, g, x in runs)
     want = {(s, m) for s, m, _ in feed} - {(s, m) for s, m, h in feed if ok(s, m, h)}
     assert left(spark, runs, feed) == sorted(want, key=repr)
-
-
-def test_ledger_survives_failures(spark):
-    ledger = Ledger(spark, scratch(spark, "ledger"))
-    ledger.add(["a", "b"], 0)
-    ledger.add(["a"], 1)
-    first = ledger.lease(10, 100, "one")[0]
-    assert first.item == "a" and [x.item for x in ledger.lease(10, 100, "two", 5)] == ["b"]
-    assert ledger.lease(50, 100, "three") == []  # both are leased
-    second = ledger.lease(111, 100, "four")[0]  # the first lease ran out
-    assert (second.item, second.token) == ("a", 2)
-    assert not ledger.commit(first, spark.range(1), 112)  # fenced
-    assert ledger.commit(second, spark.range(3), 113)
-    assert not ledger.commit(second, spark.range(9), 114)  # done once
-    assert spark.read.parquet(*ledger.outputs(115)).count() == 9 or spark.read.parquet(*ledger.outputs(115)).count() == 3
-    assert rows(ledger.states(500)) == [("a", 2, "done"), ("b", 1, "pending")]
