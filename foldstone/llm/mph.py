@@ -24,8 +24,16 @@ class _Bits:
     """A bit array with ranks: one packed bit a slot, and a running count a byte."""
 
     def __init__(self, flags: np.ndarray):
-        self.size = flags.size
-        self.packed = np.packbits(flags, bitorder="little")
+        self._rank(np.packbits(flags, bitorder="little"), flags.size)
+
+    @classmethod
+    def of(cls, packed: np.ndarray, size: int) -> _Bits:
+        made = cls.__new__(cls)
+        made._rank(packed, size)
+        return made
+
+    def _rank(self, packed: np.ndarray, size: int) -> None:
+        self.size, self.packed = size, packed
         per_byte = _ONES[self.packed]
         self.before = (np.cumsum(per_byte, dtype=np.int64) - per_byte).astype(np.uint32)
         self.total = int(per_byte.sum(dtype=np.int64))
@@ -58,7 +66,7 @@ class SealedSet:
             met = np.bincount(slots, minlength=max(64, _ROOM * rest.size))
             self.levels.append(_Bits(met == 1))
             rest = rest[met[slots] != 1]
-        self.bases = np.concatenate([[0], np.cumsum([b.total for b in self.levels])]).astype(np.int64)
+        self.bases = self._bases()
         self.prints = np.zeros(self.n, dtype=np.uint16 if bits <= 16 else np.uint32)
         self.prints[self.slot(place)] = self._print(check)
 
@@ -90,6 +98,28 @@ class SealedSet:
         out[there] = self.prints[slots[there]] == self._print(check[there])
         return out
 
+    def to_bytes(self) -> bytes:
+        """Bits and fingerprints alone; ranks are counted again when they are read."""
+        head = np.array([self.bits, self.n, len(self.levels), *(b.size for b in self.levels)], dtype="<i8")
+        return head.tobytes() + b"".join(b.packed.tobytes() for b in self.levels) + self.prints.astype(self.prints.dtype.newbyteorder("<")).tobytes()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> SealedSet:
+        bits, n, count = (int(x) for x in np.frombuffer(data, "<i8", 3))
+        sizes = np.frombuffer(data, "<i8", count, 24)
+        made, at = cls.__new__(cls), 24 + 8 * count
+        made.bits, made.n, made.levels = bits, n, []
+        for size in sizes:
+            packed = np.frombuffer(data, np.uint8, -(-int(size) // 8), at)
+            made.levels.append(_Bits.of(packed, int(size)))
+            at += packed.size
+        made.bases = made._bases()
+        made.prints = np.frombuffer(data, "<u2" if bits <= 16 else "<u4", n, at)
+        return made
+
+    def _bases(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum([b.total for b in self.levels])]).astype(np.int64)
+
     @property
     def nbytes(self) -> int:
         return self.prints.nbytes + sum(b.packed.nbytes + b.before.nbytes for b in self.levels)

@@ -32,6 +32,11 @@ def p2_rate(spark: SparkSession, d: str) -> DataFrame:
     return _seen(spark, d).answers.select(F.col("src").alias("src_table"), "batch", "probes", "yes", "wrong", F.when(new > 0, F.col("wrong") / new).otherwise(0.0).alias("wrong_rate"))
 
 
+def p2_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct keys that each batch asked for, and those among them that an earlier batch had."""
+    return _seen(spark, d).answers.select(F.col("src").alias("src_table"), "batch", "probes", (F.col("yes") - F.col("wrong")).alias("seen"))
+
+
 def _leaks(spark: SparkSession, d: str) -> Leaks:
     return Leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -72,6 +77,7 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_rate": p2_rate,
+    "p2_answers": p2_answers,
     "p7_found": p7_found,
     "p7_near": p7_near,
     "p7_items": p7_items,
@@ -81,11 +87,17 @@ QUERIES = {
     "p9_scores": p9_scores,
 }
 
-ORACLES = {
-    "p2_found": f"""
+_RECORDS = f"""
 with r as (
   select 'wal_entries' as src_table, entry_id as row_id, {N.sql_word("volume_id")} as scope, {N.sql_key("key")} as key from wal_entries
   union all select 'blob_locations', location_id, {N.sql_word("volume_id")}, {N.sql_digest("blake3")} from blob_locations where blake3 is not null),
-f as (select *, min(row_id) over (partition by src_table, scope, key) as first from r)
+"""
+
+ORACLES = {
+    "p2_found": f"""{_RECORDS}f as (select *, min(row_id) over (partition by src_table, scope, key) as first from r)
 select src_table, row_id from f where row_id > first""",
+    "p2_answers": f"""{_RECORDS}s as (select src_table, min(row_id) as a, max(row_id) as b from r group by all),
+k as (select distinct src_table, scope, key, cast((row_id - a) // greatest(1, (b - a + 6) // 6) as integer) as batch from r join s using (src_table)),
+f as (select *, min(batch) over (partition by src_table, scope, key) as first from k)
+select src_table, batch, count(*) as probes, count(*) filter (where batch > first) as seen from f group by all""",
 }
