@@ -74,17 +74,21 @@ def change_feed(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.lit("-").alias("volume_id"), N.decoded_key("key").alias("key"), "change_no", N.log_op("event").alias("event"), "tenant", "event_ts")
 
 
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    """The present state of both feeds, each folded field by field; a put replaces all fields, so one that leaves the tenant open clears it."""
+    keys = ["volume_id", "key"]
+    wal = apply_changes(wal_feed(spark, d), keys, "sequence", "op", ["value_bytes", "tenant"])
+    changes = apply_changes(change_feed(spark, d), keys, "change_no", "event", ["tenant", "event_ts"])
+    return wal.select(F.lit("wal_entries").alias("feed"), "*").unionByName(changes.select(F.lit("key_changes").alias("feed"), "*"), allowMissingColumns=True)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    wal = apply_changes(wal_feed(spark, d), ["volume_id", "key"], "sequence", "op")
-    changes = apply_changes(change_feed(spark, d), ["volume_id", "key"], "change_no", "event")
-    shown = lambda df, feed: df.select(F.lit(feed).alias("feed"), "volume_id", "key", "last_no")
-    return shown(wal, "wal_entries").unionByName(shown(changes, "key_changes"))
+    return _states(spark, d).select("feed", "volume_id", "key", "last_no")
 
 
 def p4_state(spark: SparkSession, d: str) -> DataFrame:
-    """The whole present state of the log with its fields, a put that leaves the tenant open keeping the former one."""
-    feed = wal_feed(spark, d).withColumn("value_hex", F.lower(F.hex("value_bytes")))
-    return apply_changes(feed, ["volume_id", "key"], "sequence", "op", ["value_hex", "tenant"], replace_ops=(), patch_ops=("put",)).select("volume_id", "key", "value_hex", "tenant", "last_no")
+    """The whole present state of both feeds with its fields."""
+    return _states(spark, d).select("feed", "volume_id", "key", F.lower(F.hex("value_bytes")).alias("value_hex"), "tenant", "event_ts", "last_no")
 
 
 def recorded_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -189,10 +193,11 @@ f as (select 'wal_entries' as feed, * from w union all select 'key_changes', * f
 r as (select *, row_number() over (partition by feed, volume_id, key order by no desc, (op = 'put')) as rk from f)
 select feed, volume_id, key, no as last_no from r where rk = 1 and op = 'put'""",
     "p4_state": f"""
-with w as (select {_VOL} as volume_id, {_KEY} as key, sequence as no, {N.sql_op("op")} as op, lower(hex(value_bytes)) as value_hex, tenant from wal_entries),
-g as (select volume_id, key, max(no) filter (where op <> 'put') as gone, max(no) filter (where op = 'put') as last_no from w group by all)
-select volume_id, key, arg_max(value_hex, no) filter (where value_hex is not null) as value_hex, arg_max(tenant, no) filter (where tenant is not null) as tenant, any_value(last_no) as last_no
-from w join g using (volume_id, key) where op = 'put' and (gone is null or no > gone) group by volume_id, key""",
+with w as (select {_VOL} as volume_id, {_KEY} as key, sequence as no, {N.sql_op("op")} as op, lower(hex(value_bytes)) as value_hex, tenant, cast(null as bigint) as event_ts from wal_entries),
+c as (select '-' as volume_id, {_KEY} as key, change_no as no, {N.sql_op("event")} as op, cast(null as varchar) as value_hex, tenant, event_ts from key_changes),
+f as (select 'wal_entries' as feed, * from w union all select 'key_changes', * from c),
+r as (select *, rank() over (partition by feed, volume_id, key order by no desc) as rk from f)
+select feed, volume_id, key, max(value_hex) as value_hex, max(tenant) as tenant, max(event_ts) as event_ts, max(no) as last_no from r where rk = 1 group by feed, volume_id, key having bool_and(op = 'put')""",
     "p5_found": f"""
 with w as (select distinct {_VOL} as scope, sequence as mark, arrived_at as t from wal_entries),
 m as (select distinct {_KEY} as scope, updated_at as mark, recorded_at as t from key_metadata),

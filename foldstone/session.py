@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return qualified(spark, named)
     own = spark.conf.get("foldstone.shared.dir", None)
     if not own:
         if not spark.sparkContext.master.startswith("local"):
@@ -52,6 +52,12 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, that of the default file system where it has none: workers see the same place as Spark."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return str(p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p)).rstrip("/")
+
+
 def _delete_on_exit(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)

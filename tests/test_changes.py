@@ -38,6 +38,21 @@ def test_ties_unknown_operations_and_nulls(spark):
     assert fold(spark, changes) == []  # a delete wins a tie; an unknown operation deletes; without place or key nothing counts
 
 
+def test_a_patch_that_sets_nothing_changes_nothing(spark):
+    changes = [("x", 1, "put", "1", None), ("x", 2, "patch", None, None), ("y", 1, "patch", None, None)]
+    assert fold(spark, changes, patch_ops=["patch"]) == [("x", "1", None, 1)]
+
+
+def test_repeated_deliveries_that_differ(spark):
+    assert fold(spark, [("x", 1, "put", None, "1"), ("x", 1, "put", "1", None)]) == [("x", "1", "1", 1)]
+    assert len({tuple(fold(spark, r)) for r in ([("x", 1, "put", a, "1") for a in order] for order in ("ab", "ba"))}) == 1
+
+
+def test_without_fields_being_there_is_the_field(spark):
+    df = spark.createDataFrame([("x", 1, "put", None, None), ("x", 2, "patch", None, None), ("y", 1, "put", "1", None), ("y", 2, "delete", None, None)], SCHEMA)
+    assert rows(apply_changes(df, ["k"], "n", "op", patch_ops=["patch"])) == [("x", 2, 1)]
+
+
 def test_empty_feed(spark):
     assert fold(spark, []) == []
 
@@ -55,6 +70,8 @@ def test_equals_replay(spark, seed):
     for k, n, op, a, b in changes:
         if op == "delete":
             state.pop(k, None)
+        elif op == "patch" and a is None and b is None:
+            pass  # sets nothing, so changes nothing
         elif op == "put" or k not in state:
             state[k] = [a, b, n]
         else:
