@@ -6,13 +6,14 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldstone.functions.normalise import word
-from foldstone.session import materialise, spread
+from foldstone.session import broadcast_if_small, materialise, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct sets of sources that hold one text; at most 2**targets exist, far fewer occur.
@@ -41,50 +42,98 @@ def count_tokens(docs: DataFrame, text: str, out: str, tokenizer: str = TOKENIZE
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
 
 
-class Flow:
-    """Min-cost flow on a small graph, by successive shortest paths."""
-
-    def __init__(self, nodes: int):
-        self.to: list[int] = []
-        self.room: list[int] = []
-        self.cost: list[int] = []
-        self.out: list[list[int]] = [[] for _ in range(nodes)]
-
-    def arc(self, a: int, b: int, room: int, cost: int = 0) -> int:
-        for u, v, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            self.out[u].append(len(self.to))
-            self.to.append(v)
-            self.room.append(r)
-            self.cost.append(c)
-        return len(self.to) - 2
-
-    def run(self, s: int, t: int) -> tuple[int, int]:
-        """Send all that goes from ``s`` to ``t`` at least cost; (amount, cost)."""
-        sent = paid = 0
-        while True:
-            far = [None] * len(self.out)
-            far[s], via, queue, queued = 0, [-1] * len(self.out), deque([s]), {s}
-            while queue:
-                u = queue.popleft()
-                queued.discard(u)
-                for e in self.out[u]:
-                    v = self.to[e]
-                    if self.room[e] > 0 and (far[v] is None or far[u] + self.cost[e] < far[v]):
-                        far[v], via[v] = far[u] + self.cost[e], e
-                        if v not in queued:
-                            queue.append(v)
-                            queued.add(v)
-            if far[t] is None:
-                return sent, paid
-            path, v = [], t
-            while v != s:
-                path.append(via[v])
-                v = self.to[via[v] ^ 1]
-            push = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= push
-                self.room[e ^ 1] += push
-            sent, paid = sent + push, paid + push * far[t]
+class Routing:
+    """Min-cost flow from texts to sources: pattern -> source arcs with room, quotas of sources, and a convex cost of using a pattern.
+
+    The n-th use of a pattern's texts costs n - 1. Costs stand on the way into a pattern alone, and a shortest augmenting path enters
+    only one, so successive shortest paths fall into rounds of plain maximum flow: in round n each pattern lends its texts n
+    times, and what earlier rounds sent is rerouted, never taken back. The search runs over sources, of which there are few: a step from one
+    source to another moves what any of their shared patterns can move, in one vector operation over the arcs.
+    """
+
+    def __init__(self, held: np.ndarray, arc_pattern: np.ndarray, arc_source: np.ndarray, room: np.ndarray, quota: np.ndarray):
+        self.held, self.p, self.s, self.room = held, arc_pattern, arc_source, room
+        self.sent = np.zeros(len(room), dtype=np.int64)
+        self.open = quota.astype(np.int64).copy()
+        self.spare = np.zeros(len(held), dtype=np.int64)
+        self.of = [np.flatnonzero(arc_source == i) for i in range(len(quota))]
+        served = np.bincount(arc_pattern, minlength=len(held))
+        self.of = [arcs[np.argsort(served[arc_pattern[arcs]], kind="stable")] for arcs in self.of]  # texts that few can use go first
+
+    def _fill(self, rooms: np.ndarray, amount: int) -> np.ndarray:
+        """``amount`` laid into ``rooms`` in order."""
+        before = np.cumsum(rooms) - rooms
+        return np.clip(amount - before, 0, rooms)
+
+    def _enter(self, s: int, amount: int) -> int:
+        """Send from spare texts straight to ``s``."""
+        arcs = self.of[s]
+        moved = self._fill(np.minimum(self.spare[self.p[arcs]], self.room[arcs] - self.sent[arcs]), amount)
+        self.sent[arcs] += moved
+        self.spare[self.p[arcs]] -= moved
+        return int(moved.sum())
+
+    def _lent(self, s: int) -> np.ndarray:
+        """What ``s`` takes of each pattern."""
+        out = np.zeros(len(self.held), dtype=np.int64)
+        out[self.p[self.of[s]]] = self.sent[self.of[s]]
+        return out
+
+    def _shift(self, a: int, b: int, amount: int) -> None:
+        """Hand ``amount`` from ``a`` to ``b`` within patterns that both may use."""
+        arcs = self.of[b]
+        moved = self._fill(np.minimum(self._lent(a)[self.p[arcs]], self.room[arcs] - self.sent[arcs]), amount)
+        self.sent[arcs] += moved
+        back = np.zeros(len(self.held), dtype=np.int64)
+        back[self.p[arcs]] = moved
+        self.sent[self.of[a]] -= back[self.p[self.of[a]]]
+
+    def _path(self) -> tuple[list[int], int] | None:
+        """Sources from one that spare texts reach to one whose quota is open, and how much can go that way."""
+        free = np.minimum(self.spare[self.p], self.room - self.sent)
+        into = np.bincount(self.s, weights=free, minlength=len(self.open)).astype(np.int64)
+        amount = {int(i): int(into[i]) for i in np.flatnonzero(into)}
+        via: dict[int, int | None] = dict.fromkeys(amount)
+        queue = deque(amount)
+        while queue:
+            a = queue.popleft()
+            if self.open[a] > 0:
+                path, at = [a], a
+                while via[at] is not None:
+                    at = via[at]
+                    path.append(at)
+                return path[::-1], min(amount[a], int(self.open[a]))
+            lent = self._lent(a)
+            step = np.bincount(self.s, weights=np.minimum(lent[self.p], self.room - self.sent), minlength=len(self.open)).astype(np.int64)
+            for b in map(int, np.flatnonzero(step)):
+                if b not in via:
+                    via[b], amount[b] = a, min(amount[a], int(step[b]))
+                    queue.append(b)
+        return None
+
+    def run(self) -> bool:
+        """Route until every quota is full; False if the arcs have no room for them."""
+        for _ in range(int((self.room.sum() // max(1, self.held.min(initial=1))) + 1) if len(self.held) else 0):
+            if not self.open.any():
+                break
+            self.spare = self.spare + self.held
+            for s in np.flatnonzero(self.open):
+                self.open[s] -= self._enter(int(s), int(self.open[s]))
+            while self.open.any() and (found := self._path()):
+                path, amount = found
+                for a, b in reversed(list(zip(path, path[1:], strict=False))):
+                    self._shift(a, b, amount)
+                self._enter(path[0], amount)
+                self.open[path[-1]] -= amount
+            full = np.bincount(self.s, weights=self.room - self.sent, minlength=len(self.open)) == 0
+            if full[self.open > 0].any():
+                break
+        return not self.open.any()
+
+    def cost(self) -> int:
+        used = np.bincount(self.p, weights=self.sent, minlength=len(self.held)).astype(np.int64)
+        rounds, rest = np.divmod(used, np.maximum(1, self.held))
+        return int((self.held * (rounds * (rounds - 1) // 2) + rest * rounds).sum())
 
 
 @dataclass(frozen=True)
@@ -97,22 +146,6 @@ class Plan:
     cost: int
 
 
-def _routed(held: dict[tuple[str, ...], int], repeats: dict[str, int], quota: dict[str, int]) -> tuple[int, dict, int]:
-    patterns, sources = list(held), list(quota)
-    flow = Flow(2 + len(patterns) + len(sources))
-    places, at = {}, {s: 2 + len(patterns) + i for i, s in enumerate(sources)}
-    for i, p in enumerate(patterns):
-        for use in range(sum(repeats[s] for s in p if s in quota)):
-            flow.arc(0, 2 + i, held[p], use)
-        for s in p:
-            if s in quota:
-                places[p, s] = flow.arc(2 + i, at[s], repeats[s] * held[p])
-    for s in sources:
-        flow.arc(at[s], 1, quota[s])
-    sent, cost = flow.run(0, 1)
-    return sent, {k: flow.room[e ^ 1] for k, e in places.items() if flow.room[e ^ 1]}, cost
-
-
 def plan_mix(held: dict[tuple[str, ...], int], shares: dict[str, float], repeats: dict[str, int], total: int | None = None) -> Plan:
     """Quotas and routes for the greatest feasible total, or for ``total`` if that is less.
 
@@ -120,22 +153,23 @@ def plan_mix(held: dict[tuple[str, ...], int], shares: dict[str, float], repeats
     none; the others' shares are scaled up to sum to 1. The n-th use of a text costs n - 1, so repetition is
     spread before it is deepened; no source uses a text more than its ``repeats``.
     """
-    able = {s for p in held for s in p if held[p] > 0 and repeats.get(s, 0) > 0 and shares.get(s, 0) > 0}
+    able = sorted({s for p in held for s in p if held[p] > 0 and repeats.get(s, 0) > 0 and shares.get(s, 0) > 0})
     weight = sum(shares[s] for s in able)
-    quotas = lambda t: {s: int(t * shares[s] / weight) for s in sorted(able)}
-    low, high = 0, min((int(sum(repeats[s] * n for p, n in held.items() if s in p) * weight / shares[s]) for s in able), default=0)
-    if total is not None:
-        high = min(high, total)
-    while low < high:
-        mid = (low + high + 1) // 2
-        q = quotas(mid)
-        if _routed(held, repeats, q)[0] == sum(q.values()):
-            low = mid
-        else:
-            high = mid - 1
-    quota = quotas(low)
-    _, route, cost = _routed(held, repeats, quota)
-    return Plan(low, quota, route, cost)
+    number = {s: i for i, s in enumerate(able)}
+    patterns = [p for p in sorted(held) if held[p] > 0 and any(s in number for s in p)]
+    arcs = [(i, number[s], repeats[s] * held[p]) for i, p in enumerate(patterns) for s in p if s in number]
+    p, s, room = (np.array([a[k] for a in arcs], dtype=np.int64) for k in range(3))
+    most = np.zeros(len(able), dtype=np.int64)
+    np.add.at(most, s, room)
+    # a pattern lends its texts to each source as often as that may use them, whoever else does: only the sources' own rooms bound the total
+    best = min((int(most[number[x]] * weight / shares[x]) for x in able), default=0)
+    best = best if total is None else min(best, total)
+    quota = {x: min(int(best * shares[x] / weight), int(most[number[x]])) for x in able}
+    flow = Routing(np.array([held[x] for x in patterns], dtype=np.int64), p, s, room, np.array([quota[x] for x in able], dtype=np.int64))
+    if not flow.run():
+        raise AssertionError("quotas within every source's room were not routed")
+    route = {(patterns[p[e]], able[s[e]]): int(flow.sent[e]) for e in np.flatnonzero(flow.sent)}
+    return Plan(best, quota, route, flow.cost())
 
 
 @dataclass(frozen=True)
@@ -194,7 +228,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, total: int | None =
     lined = placed.withColumn("inside", F.coalesce(inside, F.lit(0))).join(starts, ["pattern", "bucket"]).withColumn("pos", F.col("start") + F.col("inside"))
     turns = lambda edge: F.floor((edge - 1 - F.col("pos")) / F.col("round"))
     uses = (turns(F.col("begin") + F.col("length")) - turns(F.col("begin"))).cast("bigint")
-    taken = lined.join(F.broadcast(routes), "pattern").withColumn("uses", uses).where("uses > 0")
+    taken = lined.join(broadcast_if_small(routes, "routes"), "pattern").withColumn("uses", uses).where("uses > 0")
     copy = F.filter("copies", lambda c: c["source"] == F.col("source"))[0]
     chosen = materialise(taken.select("source", copy["doc_id"].alias("doc_id"), "tokens", "uses"), "chosen")
 

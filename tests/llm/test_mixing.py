@@ -1,3 +1,5 @@
+import random
+import time
 from itertools import product
 
 import pytest
@@ -21,6 +23,48 @@ def test_plan_is_the_greatest_and_the_cheapest():
     assert plan.cost == cheapest
 
 
+def cheapest(held, repeats, quota):
+    """Least cost by brute force: every way to fill the quotas, token by token."""
+    patterns, sources = list(held), list(quota)
+    arcs = [(i, j) for j, s in enumerate(sources) for i, p in enumerate(patterns) if s in p]
+    ways = {tuple([0] * len(patterns))}
+    for j, s in enumerate(sources):
+        mine = [i for i, jj in arcs if jj == j]
+        splits = [x for x in product(*(range(min(quota[s], repeats[s] * held[patterns[i]]) + 1) for i in mine)) if sum(x) == quota[s]]
+        ways = {tuple(w[i] + dict(zip(mine, x, strict=True)).get(i, 0) for i in range(len(patterns))) for w in ways for x in splits}
+    cost = lambda w: sum(max(0, w[i] - k * held[p]) for i, p in enumerate(patterns) for k in range(1, 99))
+    return min(map(cost, ways))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plans_are_the_cheapest(seed):
+    r = random.Random(seed)
+    held = {p: r.randrange(1, 5) for p in r.sample([("a",), ("b",), ("c",), ("a", "b"), ("b", "c"), ("a", "b", "c")], 4)}
+    repeats = {s: r.randrange(1, 4) for s in "abc"}
+    shares = {s: r.randrange(1, 4) / 6 for s in "abc"}
+    plan = plan_mix(held, shares, repeats)
+    got = {s: sum(n for (_, x), n in plan.route.items() if x == s) for s in plan.quota}
+    assert got == plan.quota and all(0 < n <= repeats[s] * held[p] for (p, s), n in plan.route.items())
+    assert plan.cost == cheapest(held, repeats, plan.quota)
+    # no greater total fits: one more, shared out, is beyond what some source may use
+    weight = sum(shares[s] for s in plan.quota)
+    most = {s: repeats[s] * sum(n for p, n in held.items() if s in p) for s in plan.quota}
+    assert any(int((plan.total + 1) * shares[s] / weight) >= most[s] for s in plan.quota)
+
+
+def test_many_patterns_in_seconds():
+    r = random.Random(5)
+    sources = [f"s{i:02d}" for i in range(50)]
+    held = {}
+    while len(held) < 5000:
+        held[tuple(sorted(r.sample(sources, r.randrange(1, 9))))] = r.randrange(1, 10**9)
+    shares = {s: r.random() for s in sources}
+    began = time.process_time()
+    plan = plan_mix(held, {s: x / sum(shares.values()) for s, x in shares.items()}, {s: r.randrange(1, 9) for s in sources})
+    assert time.process_time() - began < 30
+    assert {s: sum(n for (_, x), n in plan.route.items() if x == s) for s in plan.quota} == plan.quota
+
+
 def test_a_source_without_texts_gets_nothing_and_the_rest_share_its_weight():
     plan = plan_mix({("a",): 10, ("b",): 10}, {"a": 0.3, "b": 0.3, "c": 0.4}, {"a": 1, "b": 1, "c": 9})
     assert plan.total == 20 and plan.quota == {"a": 10, "b": 10}
