@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,6 +17,8 @@ from foldstone.session import broadcast_if_small, materialise, spread
 MOST_TERMS = 500_000
 #: Positions that a task holds before it hands them on.
 FLUSH = 500_000
+#: Of the rarest words of a near match, so many must stand about their places before the other words' lists are read.
+SUPPORT = 3
 
 
 def postings(docs: DataFrame, vocabulary: frozenset[str] | None = None) -> DataFrame:
@@ -60,14 +63,14 @@ def item_terms(items: DataFrame) -> DataFrame:
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(words)
 
-    return items.where("item_id is not null").select("item_id", F.posexplode(split("text")).alias("off", "term")).distinct()
+    return items.where("item_id is not null").select("item_id", F.posexplode(split("text")).alias("off", "term"))
 
 
-def anchors(terms: DataFrame, index: DataFrame, window: int, spare: int = 0) -> DataFrame:
-    """``item_id, off, term``: the ``spare + 1`` rarest terms of every window of ``window`` words of an item.
+def anchors(terms: DataFrame, index: DataFrame, window: int, strong: int, support: int = 0) -> DataFrame:
+    """``item_id, off, term, strong``: the ``strong + support`` rarest terms of every window of ``window`` words of an item.
 
-    Rarity is the number of corpus documents with the term, over all documents. A window that holds a term
-    which no document has cannot be found whole; with ``spare`` such terms may be missing.
+    Rarity is the number of corpus documents with the term, over all documents. ``strong`` are those among the first
+    ``strong`` of some window: of a match that lacks fewer words than that, at least one stands there.
     """
     counts = index.groupBy("term").agg(F.count("*").alias("df"))
     counted = terms.join(broadcast_if_small(counts.join(terms.select("term").distinct(), "term", "left_semi"), "frequencies"), "term", "left")
@@ -75,8 +78,86 @@ def anchors(terms: DataFrame, index: DataFrame, window: int, spare: int = 0) ->
     # an item's own words: a test text, never the corpus
     ahead = Window.partitionBy("item_id").orderBy("off").rowsBetween(0, window - 1)
     windows = counted.withColumn("__in", F.sort_array(F.collect_list(here).over(ahead))).where(F.size("__in") == window)
-    rare = windows.select("item_id", F.explode(F.slice("__in", 1, spare + 1)).alias("x"))
-    return rare.select("item_id", F.col("x.off").alias("off"), F.col("x.term").alias("term")).distinct()
+    rare = windows.select("item_id", F.posexplode(F.slice("__in", 1, strong + support)).alias("rank", "x"))
+    return rare.groupBy("item_id", F.col("x.off").alias("off"), F.col("x.term").alias("term")).agg(F.max(F.col("rank") < strong).alias("strong"))
+
+
+def longest_run(hit: np.ndarray) -> np.ndarray:
+    """The longest run of hits in each row."""
+    run = best = np.zeros(len(hit), dtype=np.int32)
+    for column in hit.T:
+        run = (run + 1) * column
+        best = np.maximum(best, run)
+    return best
+
+
+def fullest(hit: np.ndarray, window: int) -> np.ndarray:
+    """The most hits in any ``window`` neighbouring places of each row."""
+    upto = np.concatenate([np.zeros((len(hit), 1), dtype=np.int32), np.cumsum(hit, axis=1, dtype=np.int32)], axis=1)
+    return (upto[:, window:] - upto[:, :-window]).max(axis=1) if hit.shape[1] > window else upto[:, -1]
+
+
+def _offsets(array: pa.Array) -> np.ndarray:
+    """Where each list begins and ends in the flattened array."""
+    at = array.offsets.to_numpy().astype(np.int64)
+    return at - at[0]
+
+
+def _verify(reach: int, slack: int, window: int | None):
+    """An Arrow function: of a document's postings, an item's words and the places (shift, anchor) where they may meet, the words that do.
+
+    The lists are laid out by position, and the item's words within ``reach`` of the anchor are compared with what stands at their offset-adjusted
+    places, up to ``slack`` beside, for all places of many pairs at once. With ``window``, the most words in one; without, the longest run: a
+    run that fills the reach is followed to its ends.
+    """
+    wide = 2 * reach + 1
+
+    def run(lists: pa.Array, words: pa.Array, places: pa.Array) -> pa.Array:
+        out = np.zeros(len(lists), dtype=np.int32)
+        inner = lists.flatten()
+        of_list = _offsets(inner.field("positions"))
+        positions = inner.field("positions").flatten().to_numpy()
+        terms = np.repeat(inner.field("t").to_numpy(), np.diff(of_list))
+        of_doc = of_list[_offsets(lists)]
+        said, of_item = words.flatten().to_numpy(), _offsets(words)
+        met, of_pair = places.flatten(), _offsets(places)
+        shift, anchor = met.field("shift").to_numpy().astype(np.int64), met.field("anchor").to_numpy().astype(np.int64)
+        sizes = np.array([positions[a:b].max(initial=-1) + 1 for a, b in zip(of_doc, of_doc[1:], strict=False)], dtype=np.int64)
+        room_to = np.concatenate([[0], np.cumsum(sizes + np.diff(of_pair) * wide)])
+        start = 0
+        while start < len(out):  # so many pairs as fit the room of one layout
+            stop = max(start + 1, int(np.searchsorted(room_to, room_to[start] + FLUSH, side="right")) - 1)
+            base = np.concatenate([[0], np.cumsum(sizes[start:stop])])
+            room = np.zeros(base[-1] + 1, dtype=np.int64)
+            which = np.repeat(np.arange(stop - start), np.diff(of_doc[start : stop + 1]))
+            inside = slice(of_doc[start], of_doc[stop])
+            room[base[which] + positions[inside]] = terms[inside]
+            for lo in range(of_pair[start], of_pair[stop], max(1, FLUSH // wide)):
+                hi = min(of_pair[stop], lo + max(1, FLUSH // wide))
+                pair = np.searchsorted(of_pair, np.arange(lo, hi), side="right") - 1
+                off = anchor[lo:hi, None] + np.arange(-reach, reach + 1)
+                known = (off >= 0) & (off < (of_item[pair + 1] - of_item[pair])[:, None])
+                word = said[np.where(known, of_item[pair][:, None] + off, 0)]
+                hit = np.zeros(off.shape, dtype=bool)
+                for drift in range(-slack, slack + 1):
+                    pos = shift[lo:hi, None] + off + drift
+                    there = known & (pos >= 0) & (pos < sizes[pair][:, None])
+                    hit |= there & (room[np.where(there, base[pair - start][:, None] + pos, -1)] == word)
+                if window is not None:
+                    np.maximum.at(out, pair, fullest(hit, window))
+                    continue
+                runs = longest_run(hit)
+                np.maximum.at(out, pair, runs)
+                long = np.flatnonzero(runs > reach)
+                for p, sh in {*zip(pair[long].tolist(), shift[lo:hi][long].tolist(), strict=True)}:
+                    text, item = room[base[p - start] : base[p - start + 1]], said[of_item[p] : of_item[p + 1]]
+                    first, last = max(0, -sh), min(len(item), len(text) - sh)
+                    out[p] = max(out[p], longest_run((text[first + sh : last + sh] == item[first:last])[None, :])[0])
+            start = stop
+        return pa.array(out)
+
+    run.__annotations__ = {"lists": pa.Array, "words": pa.Array, "places": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "int")
 
 
 class Leaks:
@@ -88,52 +169,58 @@ class Leaks:
     """
 
     def __init__(self, docs: DataFrame, items: DataFrame):
-        self.terms = materialise(item_terms(items), "items")
+        texts = materialise(items.where("item_id is not null and text is not null").select("item_id", "text", F.xxhash64("item_id", "text").alias("unit")).distinct(), "texts")
+        self.units = texts.select("unit", "item_id")  # an id with several texts is searched for each
+        self.terms = materialise(item_terms(texts.select(F.col("unit").alias("item_id"), "text")), "items")
         distinct = self.terms.select("term").distinct().limit(MOST_TERMS + 1).collect()
         vocabulary = frozenset(r["term"] for r in distinct) if len(distinct) <= MOST_TERMS else None
         self.index = materialise(postings(docs, vocabulary), "postings")
 
-    def _candidates(self, window: int, spare: int) -> DataFrame:
-        start = broadcast_if_small(anchors(self.terms, self.index, window, spare), "anchors")
-        met = self.index.join(start, "term").select("doc_id", "item_id", F.col("off").alias("anchor"), F.explode("positions").alias("pos"))
-        return met.select("doc_id", "item_id", "anchor", (F.col("pos") - F.col("anchor")).alias("shift"))
+    def _met(self, window: int, strong: int, support: int = 0) -> DataFrame:
+        """``doc_id, item_id, off, strong, shift``: where the postings of anchors put an item in a document."""
+        start = broadcast_if_small(anchors(self.terms, self.index, window, strong, support), "anchors")
+        met = self.index.join(start, "term").select("doc_id", "item_id", "off", "strong", F.explode("positions").alias("pos"))
+        return met.select("doc_id", "item_id", "off", "strong", (F.col("pos") - F.col("off")).alias("shift"))
+
+    def _verified(self, pairs: DataFrame, name: str, reach: int, slack: int, window: int | None, least: int) -> DataFrame:
+        """``doc_id, item_id, words`` of ``pairs`` (``doc_id, item_id, places``): both lists are fetched once and intersected in one place.
 
-    def _lists(self, docs: DataFrame) -> DataFrame:
-        """The postings of the candidate documents, a row a position."""
-        ids = broadcast_if_small(docs.select("doc_id").distinct(), "documents")
-        return self.index.join(ids, "doc_id", "left_semi").select("doc_id", "term", F.explode("positions").alias("pos"))
+        A document's postings are one row, as its text was; so are an item's words.
+        """
+        pairs = materialise(pairs, name)
+        ids = broadcast_if_small(pairs.select("doc_id").distinct(), "documents")
+        lists = self.index.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "positions")).alias("lists"))
+        items = self.terms.groupBy("item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("off", F.xxhash64("term").alias("t")))), lambda x: x["t"]).alias("words"))
+        both = pairs.join(broadcast_if_small(items, "items"), "item_id").join(lists, "doc_id")
+        found = both.select("doc_id", "item_id", _verify(reach, slack, window)("lists", "words", "places").alias("words")).where(F.col("words") >= least)
+        named = found.withColumnRenamed("item_id", "unit").join(broadcast_if_small(self.units, "units"), "unit")
+        return named.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
 
     def exact(self, least: int = 12) -> DataFrame:
         """``doc_id, item_id, words``: documents with ``least`` or more consecutive words of an item; ``words`` is the longest such run.
 
         Postings of the rarest term of every window give (document, item, shift); there, the lists of the
-        other terms around are intersected at the same shift, and runs of matching offsets are measured.
+        other terms around are intersected at the same shift, and the longest run of matching offsets is measured.
         Rare terms keep the candidates near the true matches however large the corpus; only their
-        documents' lists are read for the intersection.
+        documents' lists are read for the intersection. Terms are compared by 64-bit hashes: a false run would need ``least`` collisions in a row.
         """
-        found = materialise(self._candidates(least, 0), "candidates")
-        places = found.select("doc_id", "item_id", "shift", F.explode(F.sequence(F.col("anchor") - (least - 1), F.col("anchor") + (least - 1))).alias("off")).distinct()
-        asked = places.join(broadcast_if_small(self.terms, "terms"), ["item_id", "off"]).withColumn("pos", F.col("shift") + F.col("off"))
-        hits = asked.join(self._lists(found), ["doc_id", "term", "pos"], "left_semi")
-        # a diagonal of one document and one item: at most as long as the item
-        order = Window.partitionBy("doc_id", "item_id", "shift").orderBy("off")
-        runs = hits.select("doc_id", "item_id", "shift", (F.col("off") - F.row_number().over(order)).alias("run")).groupBy("doc_id", "item_id", "shift", "run").agg(F.count("*").alias("words"))
-        return runs.where(F.col("words") >= least).groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
+        place = F.struct("shift", F.col("off").alias("anchor"))
+        pairs = self._met(least, 1).groupBy("doc_id", "item_id").agg(F.collect_set(place).alias("places"))
+        return self._verified(pairs, "candidates", least - 1, 0, None, least)
 
     def near(self, least: int = 12, window: int = 16, slack: int = 2) -> DataFrame:
         """``doc_id, item_id, words``: documents with ``least`` of ``window`` consecutive words of an item, in
         order up to ``slack`` words added or dropped; ``words`` is the greatest number found in a window.
 
-        As up to ``window - least`` words may be missing, each window's ``window - least + 1`` rarest terms
-        start the search.
+        As up to ``window - least`` words may be missing, one of each window's ``window - least + 1`` rarest terms
+        starts the search. Of these and the SUPPORT - 1 next rarest, SUPPORT must stand within ``slack`` of its shift, else the document's lists are
+        not read: a match cannot lack more of them than the rest of the window.
         """
-        found = materialise(self._candidates(window, window - least).distinct(), "near-candidates")
-        drift = F.explode(F.sequence(F.lit(-slack), F.lit(slack)))
-        reach = F.explode(F.sequence(F.col("anchor") - (window - 1), F.col("anchor") + (window - 1)))
-        places = found.select("doc_id", "item_id", "shift", reach.alias("off")).distinct()
-        asked = places.join(broadcast_if_small(self.terms, "terms"), ["item_id", "off"])
-        asked = asked.select("*", drift.alias("drift")).withColumn("pos", F.col("shift") + F.col("off") + F.col("drift"))
-        hits = asked.join(self._lists(found), ["doc_id", "term", "pos"], "left_semi").select("doc_id", "item_id", "shift", "off").distinct()
-        span = Window.partitionBy("doc_id", "item_id", "shift").orderBy("off").rangeBetween(0, window - 1)
-        counted = hits.select("doc_id", "item_id", F.count("*").over(span).alias("words"))
-        return counted.where(F.col("words") >= least).groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
+        support = min(SUPPORT, least)
+        here = F.struct("shift", F.col("off").alias("anchor"), "strong")
+        pairs = self._met(window, window - least + 1, support - 1).groupBy("doc_id", "item_id").agg(F.collect_set(here).alias("met")).where(F.size("met") >= support)
+        beside = lambda x: F.array_distinct(F.transform(F.filter("met", lambda y: F.abs(y["shift"] - x["shift"]) <= slack), lambda y: y["anchor"]))
+        kept = F.filter("met", lambda x: x["strong"] & (F.size(beside(x)) >= support))
+        places = F.transform(kept, lambda x: F.struct(x["shift"].alias("shift"), x["anchor"].alias("anchor")))
+        pairs = pairs.select("doc_id", "item_id", places.alias("places")).where(F.size("places") > 0)
+        return self._verified(pairs, "near-candidates", window - 1, slack, window, least)

@@ -3,6 +3,7 @@ import random
 import pytest
 from conftest import rows
 
+from foldstone.llm import leakage
 from foldstone.llm.leakage import Leaks, postings
 from foldstone.llm.words import words
 
@@ -117,3 +118,22 @@ def test_near_equals_brute_force(spark, seed):
     items = [(i, " ".join(ws)) for i, ws in items]
     found = Leaks(spark.createDataFrame(docs, D), spark.createDataFrame(items, I)).near(7, 9, 1)
     assert rows(found.select("doc_id", "item_id")) == near_brute(docs, items, 7, 9, 1)
+
+
+@pytest.mark.parametrize("limit, value", [("MOST_TERMS", 5), ("FLUSH", 7)])
+def test_limits_of_memory_change_no_row(spark, monkeypatch, limit, value):
+    """Beyond MOST_TERMS every word is indexed; with a small FLUSH every list and layout is cut."""
+    r = random.Random(3)
+    say = lambda n: " ".join(f"w{r.randrange(20)}" for _ in range(n))
+    items = [(i, say(30)) for i in range(4)]
+    docs = [(d, say(10) + " " + r.choice(items)[1][20:] + " " + say(10)) for d in range(20)]
+    leaks = lambda: Leaks(spark.createDataFrame(docs, D), spark.createDataFrame(items, I))
+    want = rows(leaks().exact(6)), rows(leaks().near(7, 9, 1))
+    monkeypatch.setattr(leakage, limit, value)
+    assert (rows(leaks().exact(6)), rows(leaks().near(7, 9, 1))) == want and want[0]
+
+
+def test_an_id_with_several_texts_is_searched_for_each(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "w x y z"), (3, "a x c z")], D)
+    found = Leaks(docs, spark.createDataFrame([(7, "a b c d"), (7, "w x y z q")], I)).exact(3)
+    assert rows(found) == [(1, 7, 4), (2, 7, 4)]
