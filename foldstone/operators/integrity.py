@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldstone.operators.placement import ranked
+from foldstone.session import spread
+
 
 def _held(catalog: DataFrame, blobs: DataFrame) -> DataFrame:
     held = blobs.select("key", "volume_id", F.col("hash").alias("held_hash"), F.lit(True).alias("held"))
@@ -34,17 +37,24 @@ def verify_report(catalog: DataFrame, blobs: DataFrame, replicas: int) -> DataFr
     return lines.unionByName(orphan_blobs(catalog, blobs).agg(F.count("*").alias("n")).select(F.lit("orphaned").alias("class"), "n"))
 
 
-def repair_plan(catalog: DataFrame, blobs: DataFrame) -> DataFrame:
-    """``key, target, source, size``: a copy for each expected replica that is missing or corrupted, from the first sound holder (NULL if none is left)."""
-    held = _held(catalog, blobs).withColumn("sound", F.col("held") & F.col("hash").eqNullSafe(F.col("held_hash")))
-    source = held.where("sound").groupBy("key").agg(F.min("volume_id").alias("source"))
-    lost = held.where(~F.coalesce(F.col("sound"), F.lit(False)))
-    return lost.join(source, "key", "left").select("key", F.col("volume_id").alias("target"), "source", "size")
+def repair_plan(catalog: DataFrame, blobs: DataFrame, alive: list[str], replicas: int) -> DataFrame:
+    """``key, target, source, size``: the copies that give every key ``replicas`` sound ones again.
+
+    A replica is sound if it is held with the catalogue's hash on a volume that is alive. The targets are the volumes of greatest
+    weight for the key among those ``alive`` that hold no sound one (a corrupted blob is written over); a key may get fewer than it lacks
+    if too few volumes are alive. The source is the first sound holder, NULL if none is left.
+    """
+    sound = F.col("held") & F.col("hash").eqNullSafe(F.col("held_hash")) & F.col("volume_id").isin(alive)
+    holders = F.collect_set(F.when(sound, F.col("volume_id")))  # at most the key's replicas
+    keyed = _held(catalog, blobs).groupBy("key").agg(holders.alias("holders"), F.max("size").alias("size")).where(F.size("holders") < replicas)
+    ranks = ranked(F.col("key"), alive, 2 * replicas - 1)  # so many hold enough that are free
+    free = F.slice(F.filter(ranks, lambda v: ~F.array_contains("holders", v)), F.lit(1), F.lit(replicas) - F.size("holders"))
+    return spread(keyed).select("key", F.explode(free).alias("target"), F.array_min("holders").alias("source"), "size")
 
 
-def repair_report(catalog: DataFrame, blobs: DataFrame) -> DataFrame:
-    """One row: replicas checked, to repair, and bytes to copy."""
-    plan = repair_plan(catalog, blobs).agg(F.count("*").alias("to_repair"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_to_copy"))
+def repair_report(catalog: DataFrame, blobs: DataFrame, alive: list[str], replicas: int) -> DataFrame:
+    """One row: replicas checked, copies to make, those without a source, and bytes to copy."""
+    plan = repair_plan(catalog, blobs, alive, replicas).agg(F.count("*").alias("to_repair"), F.count_if(F.col("source").isNull()).alias("without_source"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_to_copy"))
     checked = catalog.agg(F.count("*").alias("checked"))
     one = F.lit(1).alias("__one")
     return checked.select("*", one).join(plan.select("*", one), "__one").drop("__one")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: the upper bounds of the latency buckets in milliseconds
@@ -135,8 +135,8 @@ def segment_assign(blobs: DataFrame, writer: str, order: str, size: str, limit:
 
 
 def endpoint_counters(requests: DataFrame) -> DataFrame:
-    """``path, total, success, error`` by path and, under a NULL path, over all."""
-    return requests.rollup("path").agg(F.count("*").alias("total"), F.count_if("success").alias("success"), F.count_if(~F.col("success")).alias("error"))
+    """``path, over_all, total, success, error`` by path and over all; a NULL path is one of its own, and over all only where ``over_all`` says so."""
+    return requests.rollup("path").agg((F.grouping("path") == 1).alias("over_all"), F.count("*").alias("total"), F.count_if("success").alias("success"), F.count_if(~F.col("success")).alias("error"))
 
 
 def latency_histogram(requests: DataFrame, bounds: list[float] = BOUNDS) -> DataFrame:
@@ -166,17 +166,36 @@ def gauge_last(requests: DataFrame, key: str) -> DataFrame:
     return requests.groupBy(key).agg(F.max_by("duration_ms", F.struct("ts_us", "event_id")).alias("value"))
 
 
+def _line(name: str, labels: dict[str, Column], value: Column) -> Column:
+    """One line of text exposition; in a label's value backslash, quote and line end are escaped."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    shown = F.concat_ws(",", *(F.concat(F.lit(f'{k}="'), escaped(c), F.lit('"')) for k, c in labels.items()))
+    return F.concat(F.lit(f"{name}{{"), shown, F.lit("} "), value.cast("string"))
+
+
 def prom_lines(requests: DataFrame) -> DataFrame:
-    """The counters as text exposition lines."""
-    line = lambda name, c: F.format_string(f'%s{{path="%s"}} %d', F.lit(name), F.col("path"), F.col(c))
-    lines = F.array(line("requests_total", "total"), line("requests_success", "success"), line("requests_error", "error"))
-    return endpoint_counters(requests).where("path is not null").select(F.explode(lines).alias("line"))
+    """``line``: counters and latency histograms by path as text exposition; a NULL path is shown as an empty one."""
+    path = F.coalesce("path", F.lit(""))
+    counters = F.array(*(_line(f"requests_{c}", {"path": path}, F.col(c)) for c in ("total", "success", "error")))
+    lines = endpoint_counters(requests).where("not over_all").select(F.explode(counters).alias("line"))
+    buckets = latency_histogram(requests).select(_line("request_duration_ms_bucket", {"path": path, "le": F.col("le")}, F.col("n")).alias("line"))
+    sums = F.array(_line("request_duration_ms_sum", {"path": path}, F.floor("sum_ms")), _line("request_duration_ms_count", {"path": path}, F.col("n")))
+    return lines.unionByName(buckets).unionByName(latency_sum_count(requests).select(F.explode(sums).alias("line")))
+
+
+def prom_gauges(rows: DataFrame, label: str, gauges: dict[str, str]) -> DataFrame:
+    """``line``: a gauge for each row and each of ``gauges`` (name: column), labelled by the column ``label``; NULL values have no line."""
+    lines = F.array_compact(F.array(*(_line(name, {label: F.coalesce(label, F.lit(""))}, F.col(c)) for name, c in gauges.items())))
+    return rows.select(F.explode(lines).alias("line"))
 
 
 def quota_check(usage: DataFrame, quotas: DataFrame, used: str, limit: str, add: int, default_limit: int) -> DataFrame:
-    """``tenant, used, limit, result``: allowed, exceeded or disabled, were ``add`` more used; a limit of 0 is none, a tenant without a row has ``default_limit``."""
+    """``tenant, used, limit_value, result``: allowed, exceeded or disabled, were ``add`` more used.
+
+    A limit of 0 is none, a tenant without a quota has ``default_limit``, one without usage has used 0.
+    """
     q = quotas.select(F.col("tenant_id").alias("tenant"), F.col(limit).alias("__limit"), "enabled")
-    u = usage.select("tenant", F.col(used).alias("used")).join(q, "tenant", "left")
+    u = usage.select("tenant", F.col(used).alias("used")).join(q, "tenant", "full").withColumn("used", F.coalesce("used", F.lit(0)))
     bound = F.coalesce("__limit", F.lit(default_limit))
     result = F.when(~F.coalesce("enabled", F.lit(True)), "disabled").when((bound == 0) | (F.col("used") + F.lit(add) <= bound), "allowed").otherwise("exceeded")
     return u.select("tenant", "used", bound.alias("limit_value"), result.alias("result"))

@@ -66,6 +66,12 @@ def shard_map(spark: SparkSession, shards: int, nodes: list[str], n: int) -> Dat
     return named.select("shard", F.posexplode(ranked(F.col("key"), nodes, n)).alias("rank", "volume_id")).select("shard", "volume_id", (F.col("rank") + 1).cast("bigint").alias("rank"))
 
 
+def shard_nodes(placed: DataFrame) -> DataFrame:
+    """``shard, nodes``: a shard's volumes by rank, joined by commas."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "volume_id"))), lambda x: x["volume_id"])
+    return placed.groupBy("shard").agg(F.array_join(ordered, ",").alias("nodes"))
+
+
 def rebalance_moves(before: DataFrame, after: DataFrame) -> DataFrame:
     """``shard, volume_id, change``: replicas that a new shard map adds or drops."""
     a = before.select("shard", "volume_id", F.lit(-1).alias("d"))

@@ -6,7 +6,7 @@ or NULL in an outer join. NULL keys are never found.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,22 @@ def range_with_meta(state: DataFrame, meta: DataFrame, start: str, end: str) ->
     return state.where(F.col("key").between(start, end)).select("key").join(meta.where(F.col("key").between(start, end)), "key", "left")
 
 
+def range_with_values(catalog: DataFrame, state: DataFrame, start: str, end: str) -> DataFrame:
+    """``key, value`` of the catalogue's keys in the range, empty bytes where the state has none."""
+    values = state.where(F.col("key").between(start, end)).select("key", F.col("value").cast("binary").alias("value"))
+    return catalog.where(F.col("key").between(start, end)).select("key").join(values, "key", "left").select("key", F.coalesce("value", F.lit(b"")).alias("value"))
+
+
+def page(ordered: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """``limit`` rows of a range, search or export from the ``offset``-th on, in its order."""
+    return ordered.offset(offset).limit(limit)
+
+
+def of_tenant(state: DataFrame, tenant: str | None) -> DataFrame:
+    """The entries of a tenant; without one, all."""
+    return state if tenant is None else state.where(F.col("tenant") == F.lit(tenant))
+
+
 def prefix_scan(state: DataFrame, prefix: str) -> DataFrame:
     """Entries whose key starts with ``prefix``; the empty prefix is a full scan."""
     return state.where(F.startswith("key", F.lit(prefix)))
@@ -50,7 +66,23 @@ def search_value(state: DataFrame, needle: str) -> DataFrame:
 def export_ndjson(catalog: DataFrame, state: DataFrame) -> DataFrame:
     """``key, line``: one JSON object for each key that is both catalogued and has a value, bad UTF-8 replaced."""
     both = catalog.select("key").distinct().join(state.select("key", "value"), "key")
-    return both.select("key", F.to_json(F.struct("key", F.make_valid_utf8(F.col("value").cast("string")).alias("value"))).alias("line"))
+    text = F.make_valid_utf8(F.coalesce(F.col("value").cast("string"), F.lit("")))
+    return both.select("key", F.to_json(F.struct("key", text.alias("value"))).alias("line"))
+
+
+def write_ndjson(lines: DataFrame, path: str) -> None:
+    """The lines of an export as text files, in the order of keys from file to file and within each."""
+    lines.repartitionByRange("key").sortWithinPartitions("key").select("line").write.text(path)
+
+
+def read_import(spark: SparkSession, path: str) -> DataFrame:
+    """``source, ord, key, value`` of import bodies ``{"entries": [{"key": ..., "value": ...}]}``, one JSON document a line.
+
+    An entry without key or value is part of no valid body: such bodies and lines that are no JSON give no entries.
+    """
+    bodies = spark.read.text(path).select(F.col("_metadata.file_name").alias("source"), F.from_json("value", "entries array<struct<key string, value string>>").alias("body"))
+    whole = bodies.where(F.col("body.entries").isNotNull() & ~F.exists("body.entries", lambda e: e.isNull() | e["key"].isNull() | e["value"].isNull()))
+    return whole.select("source", F.posexplode("body.entries").alias("ord", "e")).select("source", "ord", "e.key", "e.value")
 
 
 def import_entries(entries: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:

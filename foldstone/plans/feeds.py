@@ -67,7 +67,7 @@ def fmt_wal(spark, d):
 
 def fmt_segment(spark, d):
     docs = table(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("key"), F.col("text"))
-    got = _bytes_round(spark, docs, lambda rows: b"".join(formats.blob_frame(r.key, (r.text or "").encode()) for r in rows), "segment", "segment")
+    got = _bytes_round(spark, docs, lambda rows: b"".join(formats.blob_frame(r.key, (r.text or "").encode(), compress=True) for r in rows), "segment", "segment")
     return got.select("key", "size", "ok", F.decode("value", "UTF-8").alias("text"))
 
 

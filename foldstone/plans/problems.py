@@ -111,14 +111,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return wal_left.select(F.lit("wal_entries").alias("feed"), "scope", "mark").unionByName(meta_left.select(F.lit("key_metadata").alias("feed"), "scope", "mark"))
 
 
-def p6_compared(spark: SparkSession, d: str) -> DataFrame:
-    meta, blobs = table(spark, d, "key_metadata"), table(spark, d, "blob_locations")
+def catalogue_side(spark: SparkSession, d: str, lines: bool = True) -> DataFrame:
+    """``key, volume_id, size, blake3``: a line for each distinct replica of each key whose latest version is active; without ``lines``, a row for each such key."""
+    meta = table(spark, d, "key_metadata")
     versions = meta.select(N.decoded_key("key").alias("key"), "replicas", "size", N.digest("blake3").alias("blake3"), "updated_at", "recorded_at", "meta_id", N.word("state").alias("state"))
     newest = latest_rows(versions, ["key"], ["updated_at", "recorded_at", "meta_id"], ["replicas", "size", "blake3", "state"]).where("state = 'active'")
-    catalogue = newest.select("key", F.explode(F.array_distinct(F.transform("replicas", N.volume))).alias("volume_id"), "size", "blake3").where("volume_id is not null")
-    held = blobs.select(N.decoded_key("key").alias("key"), N.volume("volume_id").alias("volume_id"), "size", N.digest("blake3").alias("blake3"), "written_at", "location_id")
-    held = latest_rows(held, ["key", "volume_id"], ["written_at", "location_id"], ["size", "blake3"])
-    return compare(catalogue, held, ["key", "volume_id"], ["blake3", "size"], ("meta", "blob"))
+    if not lines:
+        return newest.select("key", "replicas", "size", "blake3")
+    return newest.select("key", F.explode(F.array_distinct(F.transform("replicas", N.volume))).alias("volume_id"), "size", "blake3").where("volume_id is not null")
+
+
+def blob_side(spark: SparkSession, d: str) -> DataFrame:
+    """``key, volume_id, size, blake3``: the latest blob of each key on each volume."""
+    held = table(spark, d, "blob_locations").select(N.decoded_key("key").alias("key"), N.volume("volume_id").alias("volume_id"), "size", N.digest("blake3").alias("blake3"), "written_at", "location_id")
+    return latest_rows(held, ["key", "volume_id"], ["written_at", "location_id"], ["size", "blake3"])
+
+
+def p6_compared(spark: SparkSession, d: str) -> DataFrame:
+    return compare(catalogue_side(spark, d), blob_side(spark, d), ["key", "volume_id"], ["blake3", "size"], ("meta", "blob"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldstone.functions import crypto
+from foldstone.functions import crypto, lz4
 from foldstone.functions import scalars as S
-from foldstone.operators import batch, fold, integrity, metering, placement, reads
+from foldstone.operators import batch, fold, metering, reads
 from foldstone.operators.changes import apply_changes
 from foldstone.plans.problems import change_feed
 from foldstone.plans.views import NOW_MS, ctes, view
-from foldstone.session import materialise, spread
+from foldstone.session import scratch
 from foldstone.sources.tables import table
 
-RF = 3
 SHARDS = 256
 _KEY = bytes(range(32))
 
@@ -48,7 +47,7 @@ def wal_tombstones(spark, d):
 @query("snapshot_restore", _LAST + "select key, value, seq from s")
 def snapshot_restore(spark, d):
     log = view(spark, d, "kv_log")
-    high = 5_000
+    high = (log.agg(F.max("seq")).first()[0] or 0) // 2
     snapshot = fold._last(log.where(F.col("seq") <= high))  # deletes stay, so that the tail is folded on top of them
     return fold.restore(snapshot, high, log).select("key", "value", "seq")
 
@@ -68,11 +67,6 @@ def scan_keys(spark, d):
     return reads.scan_keys(view(spark, d, "kv_docs"))
 
 
-@query("scan_volumes", ctes("volumes") + "select * from volumes")
-def scan_volumes(spark, d):
-    return view(spark, d, "volumes")
-
-
 @query("point_get", ctes("kv_docs") + "select key, size, hash from kv_docs where key = 'doc/00000042'")
 def point_get(spark, d):
     return reads.point_get(view(spark, d, "kv_docs"), "doc/00000042").select("key", "size", "hash")
@@ -84,9 +78,15 @@ def exists_many(spark, d):
     return reads.exists_many(asked, view(spark, d, "kv_docs"))
 
 
-@query("negative_lookup", ctes("kv_docs") + "select count(*) as hits from kv_docs where key = 'missing/0'")
+@query("negative_lookup", ctes("kv_docs") + ", a as (select unnest(['missing/0', 'missing/1', 'doc/00000007', 'doc/99999999', 'doc/00000042']) as key) select a.key, k.key is not null as found from a left join kv_docs k on a.key = k.key")
 def negative_lookup(spark, d):
-    return reads.point_get(view(spark, d, "kv_docs"), "missing/0").agg(F.count("*").alias("hits"))
+    """Keys asked of a stored generation with a Bloom filter on its keys: row groups that cannot hold them are not read."""
+    path = scratch(spark, "generation")
+    docs = view(spark, d, "kv_docs").select("key", "size")
+    docs.repartitionByRange("key").sortWithinPartitions("key").write.option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+    asked = ["missing/0", "missing/1", "doc/00000007", "doc/99999999", "doc/00000042"]
+    held = spark.read.schema(docs.schema).parquet(path).where(F.col("key").isin(asked))
+    return reads.exists_many(spark.createDataFrame([(k,) for k in asked], "key string"), held)
 
 
 @query("range_keys", ctes("kv_docs") + "select key from kv_docs where key between 'doc/00000100' and 'doc/00000299'")
@@ -109,20 +109,6 @@ def search_count(spark, d):
     return reads.search_value(view(spark, d, "kv_docs"), "the").agg(F.count("*").alias("total_matches"))
 
 
-@query("export_ndjson", ctes("kv_log") + """, r as (select *, row_number() over (partition by key order by seq desc) as rk from kv_log), s as (select * from r where rk = 1 and op = 'put')
-select key, '{"key":"' || key || '","value":"' || replace(value, '"', '\\"') || '"}' as line from s where key >= 'user/000050'""")
-def export_ndjson(spark, d):
-    state = fold.fold_state(view(spark, d, "kv_log"))
-    return reads.export_ndjson(state.where("key >= 'user/000050'"), state)
-
-
-@query("catalog_value_diff", ctes("kv_log", "kv_docs") + """, a as (select distinct key from kv_log), b as (select distinct concat('user/', lpad(cast(doc_id as varchar), 6, '0')) as key from kv_docs)
-select count(*) filter (where a.key is not null and b.key is not null) as in_both, count(*) filter (where b.key is null) as catalog_only, count(*) filter (where a.key is null) as value_only from a full join b on a.key = b.key""")
-def catalog_value_diff(spark, d):
-    values = view(spark, d, "kv_docs").select(F.concat(F.lit("user/"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("key"))
-    return reads.catalog_value_diff(view(spark, d, "kv_log"), values)
-
-
 _ENTRIES = "with e as (select delivery_id, url_decode(key) as key, event as value from key_changes) "
 
 
@@ -173,6 +159,16 @@ def txn_totals(spark, d):
     return batch.txn_totals(_ops(spark, d))
 
 
+@query("import_json", _ENTRIES + "select key, value, count(*) as entries from e group by key, value")
+def import_json(spark, d):
+    """The change feed sent as import bodies of up to a hundred entries, stored as JSON lines and read back."""
+    path = scratch(spark, "import")
+    sent = _entries(spark, d).groupBy(F.floor(F.col("delivery_id") / 100).alias("body")).agg(F.sort_array(F.collect_list(F.struct("delivery_id", "key", "value"))).alias("e"))
+    entries = F.transform("e", lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+    sent.select(F.to_json(F.struct(entries.alias("entries"))).alias("line")).write.text(path)
+    return reads.read_import(spark, path).groupBy("key", "value").agg(F.count("*").alias("entries"))
+
+
 @query("ttl_live", _LAST + f"select key, seq from s where expires_at is null or expires_at >= {NOW_MS}")
 def ttl_live(spark, d):
     return fold.fold_state(view(spark, d, "kv_log")).where(fold.live(NOW_MS)).select("key", "seq")
@@ -205,57 +201,11 @@ def compact_report(spark, d):
     return fold.compact_report(view(spark, d, "kv_log"), NOW_MS, F.coalesce(F.octet_length("value").cast("bigint"), F.lit(0)))
 
 
-@query("object_put", ctes("objects") + """, r as (select *, row_number() over (partition by bucket, object_key order by seq desc) as rk from objects where is_put)
-select bucket, object_key, seq, body_bytes, 200 as status from r where rk = 1""")
-def object_put(spark, d):
-    o = view(spark, d, "objects").where("is_put")
-    return o.groupBy("bucket", "object_key").agg(F.max("seq").alias("seq"), F.max_by("body_bytes", "seq").alias("body_bytes")).withColumn("status", F.lit(200))
-
-
-@query("object_get", ctes("objects") + """, k as (select distinct bucket || '/' || object_key as key from objects where is_put), a as (select distinct 'sys/lease/' || c_mktsegment as key from customer union all select 'sys/lease/leader')
-select a.key, case when k.key is null then 404 else 200 end as status from a left join k using (key)""")
-def object_get(spark, d):
-    stored = view(spark, d, "objects").where("is_put").select(F.concat_ws("/", "bucket", "object_key").alias("key"))
-    asked = table(spark, d, "customer").select(F.concat(F.lit("sys/lease/"), "c_mktsegment").alias("key")).distinct()
-    asked = asked.unionByName(spark.createDataFrame([("sys/lease/leader",)], "key string"))
-    return reads.exists_many(asked, stored).select("key", F.when(F.col("found"), 200).otherwise(404).alias("status"))
-
-
-@query("volumes_healthy", ctes("volumes") + "select volume_id from volumes where state = 'alive'")
-def volumes_healthy(spark, d):
-    return view(spark, d, "volumes").where("state = 'alive'").select("volume_id")
-
-
-@query("volumes_overloaded", ctes("volumes") + "select volume_id, total_bytes from volumes where total_bytes > 10737418240")
-def volumes_overloaded(spark, d):
-    return view(spark, d, "volumes").where(F.col("total_bytes") > 10 * 1024**3).select("volume_id", "total_bytes")
-
-
-@query("cluster_totals", ctes("volumes") + "select count(*) as volumes, count(*) filter (where state = 'alive') as healthy, cast(sum(total_keys) as bigint) as total_keys, cast(sum(total_bytes) as bigint) as total_bytes from volumes")
-def cluster_totals(spark, d):
-    return view(spark, d, "volumes").agg(F.count("*").alias("volumes"), F.count_if(F.col("state") == "alive").alias("healthy"), F.sum("total_keys").alias("total_keys"), F.sum("total_bytes").alias("total_bytes"))
-
-
 @query("store_stats", _LAST + "select count(*) as keys, cast(sum(strlen(value)) as bigint) as bytes, count(expires_at) as with_ttl from s")
 def store_stats(spark, d):
     return fold.fold_state(view(spark, d, "kv_log")).agg(F.count("*").alias("keys"), F.sum(F.octet_length("value")).alias("bytes"), F.count("expires_at").alias("with_ttl"))
 
 
-@query("admin_status", ctes("volumes") + "select count(*) as nb_volumes, string_agg(volume_id, ',' order by volume_id) as volume_ids from volumes")
-def admin_status(spark, d):
-    return view(spark, d, "volumes").agg(F.count("*").alias("nb_volumes"), F.array_join(F.sort_array(F.collect_list("volume_id")), ",").alias("volume_ids"))
-
-
-@query("cluster_ready", ctes("volumes") + "select count(*) filter (where state = 'alive') > 0 as ready from volumes")
-def cluster_ready(spark, d):
-    return view(spark, d, "volumes").agg((F.count_if(F.col("state") == "alive") > 0).alias("ready"))
-
-
-@query("stale_heartbeat", ctes("volumes") + f"select volume_id, {NOW_MS} - last_heartbeat > 5000 as stale from volumes")
-def stale_heartbeat(spark, d):
-    return view(spark, d, "volumes").select("volume_id", (F.lit(NOW_MS) - F.col("last_heartbeat") > 5000).alias("stale"))
-
-
 @query("content_hash", ctes("kv_docs") + "select key, hash as digest from kv_docs")
 def content_hash(spark, d):
     return view(spark, d, "kv_docs").select("key", S.content_hash("value").alias("digest"))
@@ -274,112 +224,6 @@ def blob_prefix(spark, d):
     return view(spark, d, "kv_docs").select("key", S.blob_prefix(F.col("hash")).alias("prefix"))
 
 
-_HRW = ctes("kv_docs", "volumes") + f""", w as (select k.key, k.doc_id, k.size, k.hash, v.volume_id, sha256(concat(k.key, v.volume_id)) as h from kv_docs k cross join volumes v where v.state = 'alive'),
-ranked as (select *, row_number() over (partition by key order by {_LE} desc, volume_id) as rank from w),
-catalog as (select key, doc_id, size, hash, volume_id, rank from ranked where rank <= {RF}),
-blobs as (select volume_id, key, size, case when doc_id % 97 = 0 and rank = 1 then sha256(concat(hash, 'x')) else hash end as hash from catalog where not (doc_id % 50 = 0 and rank = 3)
-  union all select 'vol-0000', concat('orphan/', cast(item_id as varchar)), cast(strlen(text) as bigint), sha256(text) from eval_items)
-"""
-
-
-def catalog(spark: SparkSession, d: str) -> DataFrame:
-    docs, nodes = spread(view(spark, d, "kv_docs").select("key", "doc_id", "size", "hash")), placement.alive(view(spark, d, "volumes"))
-    chosen = placement.ranked(F.col("key"), nodes, RF)
-    return docs.select("key", "doc_id", "size", "hash", F.posexplode(chosen).alias("rank", "volume_id")).withColumn("rank", F.col("rank") + 1)
-
-
-def blobs(spark: SparkSession, d: str, expected: DataFrame) -> DataFrame:
-    held = expected.where("not (doc_id % 50 = 0 and rank = 3)")
-    held = held.select("volume_id", "key", "size", F.when((F.col("doc_id") % 97 == 0) & (F.col("rank") == 1), F.sha2(F.concat("hash", F.lit("x")), 256)).otherwise(F.col("hash")).alias("hash"))
-    items = table(spark, d, "eval_items")
-    return held.unionByName(items.select(F.lit("vol-0000").alias("volume_id"), F.concat(F.lit("orphan/"), F.col("item_id").cast("string")).alias("key"), F.octet_length("text").cast("bigint").alias("size"), F.sha2("text", 256).alias("hash")))
-
-
-def expected_and_held(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The catalogue, ranked once and written, as each key meets every live volume; and the blobs."""
-    expected = materialise(catalog(spark, d), "catalog")
-    return expected, blobs(spark, d, expected)
-
-
-@query("hrw_replicas", _HRW + "select key, volume_id, rank from catalog")
-def hrw_replicas(spark, d):
-    return placement.replicas(view(spark, d, "kv_docs"), placement.alive(view(spark, d, "volumes")), RF)
-
-
-@query("placement_status", _HRW + "select key, 'ok' as status, string_agg(volume_id, ',' order by rank) as volumes from catalog group by key")
-def placement_status(spark, d):
-    return placement.placement_status(view(spark, d, "kv_docs"), placement.alive(view(spark, d, "volumes")), RF)
-
-
-_MAP = ctes("volumes") + f""", w as (select s.shard, v.volume_id, v.state, sha256(concat('shard-', cast(s.shard as varchar), v.volume_id)) as h from (select unnest(range({SHARDS})) as shard) s cross join volumes v where v.state = 'alive'),
-m as (select shard, volume_id, row_number() over (partition by shard order by {_LE} desc, volume_id) as rank from w),
-less as (select shard, volume_id, row_number() over (partition by shard order by {_LE} desc, volume_id) as rank from w where volume_id <> 'vol-0001'),
-a as (select * from m where rank <= {RF}), b as (select * from less where rank <= {RF})
-"""
-
-
-@query("shard_map", _MAP + "select shard, volume_id, rank from a")
-def shard_map(spark, d):
-    return placement.shard_map(spark, SHARDS, placement.alive(view(spark, d, "volumes")), RF)
-
-
-@query("shard_nodes", _MAP + "select shard, string_agg(volume_id, ',' order by rank) as nodes from a group by shard")
-def shard_nodes(spark, d):
-    m = shard_map(spark, d)
-    return m.groupBy("shard").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "volume_id"))), lambda x: x["volume_id"]), ",").alias("nodes"))
-
-
-@query("shards_for_node", _MAP + "select volume_id, count(*) as shards, string_agg(cast(shard as varchar), ',' order by shard) as shard_list from a group by volume_id")
-def shards_for_node(spark, d):
-    return shard_map(spark, d).groupBy("volume_id").agg(F.count("*").alias("shards"), F.array_join(F.sort_array(F.collect_list("shard")), ",").alias("shard_list"))
-
-
-@query("rebalance_moves", _MAP + "select coalesce(a.shard, b.shard) as shard, coalesce(a.volume_id, b.volume_id) as volume_id, case when a.shard is null then 'add' else 'drop' end as change from a full join b on a.shard = b.shard and a.volume_id = b.volume_id where a.shard is null or b.shard is null")
-def rebalance_moves(spark, d):
-    nodes = placement.alive(view(spark, d, "volumes"))
-    return placement.rebalance_moves(placement.shard_map(spark, SHARDS, nodes, RF), placement.shard_map(spark, SHARDS, [n for n in nodes if n != "vol-0001"], RF))
-
-
-@query("volume_load", _HRW + "select volume_id, count(*) as keys, cast(sum(size) as bigint) as bytes from catalog group by volume_id")
-def volume_load(spark, d):
-    return placement.volume_load(catalog(spark, d))
-
-
-_CLASSES = _HRW + f""", j as (select c.key, c.volume_id, c.size, c.hash, b.hash as held, b.key is not null as there from catalog c left join blobs b on c.key = b.key and c.volume_id = b.volume_id),
-k as (select key, case when count(*) filter (where there and hash is distinct from held) > 0 then 'corrupted' when count(*) filter (where there) < {RF} then 'under_replicated' else 'healthy' end as class from j group by key),
-o as (select b.key, b.volume_id from blobs b left join catalog c on c.key = b.key and c.volume_id = b.volume_id where c.key is null),
-src as (select key, min(volume_id) as source from j where there and hash is not distinct from held group by key),
-plan as (select j.key, j.volume_id as target, src.source, j.size from j left join src using (key) where not (there and hash is not distinct from held))
-"""
-
-
-@query("verify_report", _CLASSES + """select 'total_keys' as class, count(*) as n from k union all select 'healthy', count(*) filter (where class = 'healthy') from k union all select 'under_replicated', count(*) filter (where class = 'under_replicated') from k
-union all select 'corrupted', count(*) filter (where class = 'corrupted') from k union all select 'orphaned', count(*) from o""")
-def verify_report(spark, d):
-    return integrity.verify_report(*expected_and_held(spark, d), RF)
-
-
-@query("orphans", _CLASSES + "select key, volume_id from o")
-def orphans(spark, d):
-    return integrity.orphan_blobs(*expected_and_held(spark, d))
-
-
-@query("repair_plan", _CLASSES + "select key, target, source, size from plan")
-def repair_plan(spark, d):
-    return integrity.repair_plan(*expected_and_held(spark, d))
-
-
-@query("repair_report", _CLASSES + "select (select count(*) from catalog) as checked, count(*) as to_repair, cast(coalesce(sum(size), 0) as bigint) as bytes_to_copy from plan")
-def repair_report(spark, d):
-    return integrity.repair_report(*expected_and_held(spark, d))
-
-
-@query("range_with_meta", _HRW + ", m as (select key, size as meta_size from catalog where rank = 1 and doc_id % 2 = 0) select k.key, m.meta_size from kv_docs k left join m using (key) where k.key between 'doc/00000100' and 'doc/00000299'")
-def range_with_meta(spark, d):
-    meta = catalog(spark, d).where("rank = 1 and doc_id % 2 = 0").select("key", F.col("size").alias("meta_size"))
-    return reads.range_with_meta(view(spark, d, "kv_docs"), meta, "doc/00000100", "doc/00000299")
-
-
 @query("blob_chunks", ctes("kv_docs") + ", c as (select key, size, unnest(range(cast((size + 255) // 256 as bigint))) as chunk_no from kv_docs where size > 0) select key, cast(chunk_no as integer) as chunk_no, least(256, size - chunk_no * 256) as bytes from c")
 def blob_chunks(spark, d):
     return reads.blob_chunks(view(spark, d, "kv_docs"), 256)
@@ -409,8 +253,8 @@ def tenant_usage_clamped(spark, d):
 
 def _quota(used: str, limit: str, add: int) -> str:
     return ctes("tenant_ops", "quotas") + f""", u as (select tenant, cast(sum(delta_{used}) as bigint) as used from tenant_ops group by tenant)
-select tenant, used, coalesce({limit}, 1000000) as limit_value, case when not coalesce(enabled, true) then 'disabled' when coalesce({limit}, 1000000) = 0 or used + {add} <= coalesce({limit}, 1000000) then 'allowed' else 'exceeded' end as result
-from u left join quotas q on u.tenant = q.tenant_id"""
+select coalesce(tenant, tenant_id) as tenant, coalesce(used, 0) as used, coalesce({limit}, 1000000) as limit_value, case when not coalesce(enabled, true) then 'disabled' when coalesce({limit}, 1000000) = 0 or coalesce(used, 0) + {add} <= coalesce({limit}, 1000000) then 'allowed' else 'exceeded' end as result
+from u full join quotas q on u.tenant = q.tenant_id"""
 
 
 @query("quota_storage_check", _quota("bytes", "storage_limit", 4096))
@@ -457,7 +301,7 @@ def bucket_gc(spark, d):
     return metering.bucket_gc(view(spark, d, "requests"), "user_id", NOW_MS * 1000, 172_800_000_000)
 
 
-@query("endpoint_counters", ctes("requests") + "select path, count(*) as total, count(*) filter (where success) as success, count(*) filter (where not success) as error from requests group by rollup (path)")
+@query("endpoint_counters", ctes("requests") + "select path, grouping(path) = 1 as over_all, count(*) as total, count(*) filter (where success) as success, count(*) filter (where not success) as error from requests group by rollup (path)")
 def endpoint_counters(spark, d):
     return metering.endpoint_counters(view(spark, d, "requests"))
 
@@ -478,15 +322,19 @@ def gauge_last(spark, d):
     return metering.gauge_last(view(spark, d, "requests"), "user_id")
 
 
-@query("prom_lines", ctes("requests") + """, c as (select path, count(*) as t, count(*) filter (where success) as s, count(*) filter (where not success) as e from requests group by path)
-select 'requests_total{path="' || path || '"} ' || t as line from c union all select 'requests_success{path="' || path || '"} ' || s from c union all select 'requests_error{path="' || path || '"} ' || e from c""")
+@query("prom_lines", ctes("requests", "quotas", "tenant_ops") + f""", c as (select path, count(*) as t, count(*) filter (where success) as s, count(*) filter (where not success) as e, sum(cast(floor(duration_ms * 1000) as bigint)) // 1000 as ms from requests group by path),
+b as (select unnest({metering.BOUNDS}) as bound, unnest({[f"{x:g}" for x in metering.BOUNDS]}) as le),
+h as (select path, le, count(*) filter (where duration_ms <= bound) as n from requests cross join b group by path, le union all select path, '+Inf', count(*) from requests group by path),
+u as (select tenant, cast(sum(delta_bytes) as bigint) as used from tenant_ops group by tenant)
+select 'requests_total{{path="' || path || '"}} ' || t as line from c union all select 'requests_success{{path="' || path || '"}} ' || s from c union all select 'requests_error{{path="' || path || '"}} ' || e from c
+union all select 'request_duration_ms_bucket{{path="' || path || '",le="' || le || '"}} ' || n from h
+union all select 'request_duration_ms_sum{{path="' || path || '"}} ' || ms from c union all select 'request_duration_ms_count{{path="' || path || '"}} ' || t from c
+union all select 'tenant_storage_bytes{{tenant="' || coalesce(tenant, tenant_id) || '"}} ' || coalesce(used, 0) from u full join quotas q on u.tenant = q.tenant_id
+union all select 'tenant_storage_limit_bytes{{tenant="' || coalesce(tenant, tenant_id) || '"}} ' || coalesce(storage_limit, 1000000) from u full join quotas q on u.tenant = q.tenant_id""")
 def prom_lines(spark, d):
-    return metering.prom_lines(view(spark, d, "requests"))
-
-
-@query("audit_events", ctes("kv_log") + "select seq, case op when 'put' then 'DataPut' else 'DataDelete' end as event, tenant as actor, key as target, ts_ms // 1000 as at_s from kv_log")
-def audit_events(spark, d):
-    return view(spark, d, "kv_log").select("seq", F.when(F.col("op") == "put", "DataPut").otherwise("DataDelete").alias("event"), F.col("tenant").alias("actor"), F.col("key").alias("target"), F.floor(F.col("ts_ms") / 1000).cast("bigint").alias("at_s"))
+    """Counters, histograms, and the quotas' gauges."""
+    usage = metering.quota_check(metering.tenant_usage(view(spark, d, "tenant_ops")), view(spark, d, "quotas"), "bytes", "storage_limit", 0, 1_000_000)
+    return metering.prom_lines(view(spark, d, "requests")).unionByName(metering.prom_gauges(usage, "tenant", {"tenant_storage_bytes": "used", "tenant_storage_limit_bytes": "limit_value"}))
 
 
 @query("apikeys_list", ctes("api_keys") + "select id, name, tenant, role, created_at, expires_at, active from api_keys")
@@ -499,15 +347,16 @@ def apikey_status(spark, d):
     return view(spark, d, "api_keys").select("id", F.when(~F.col("active"), "disabled").when(F.lit(NOW_MS) >= F.col("expires_at"), "expired").otherwise("valid").alias("status"))
 
 
-@query("key_valid", "select entry_id, octet_length(cast(encode(key) as blob)) between 1 and 1024 and not regexp_matches(key, '[\\x00-\\x1f\\x7f]') as valid from wal_entries")
+@query("key_valid", "select entry_id, octet_length(cast(encode(key) as blob)) between 1 and 1024 and not regexp_matches(key, '[\\x00-\\x1f\\x7f-\\x{9f}]') as valid from wal_entries")
 def key_valid(spark, d):
     return table(spark, d, "wal_entries").select("entry_id", S.key_valid("key").alias("valid"))
 
 
-@query("encode_key", "select entry_id, key from wal_entries")
+@query("encode_key", """with c as (select entry_id, url_decode(key) as plain from wal_entries)
+select entry_id, plain, array_to_string(list_transform(string_split(plain, ''), lambda x: case when regexp_matches(x, '[\\x00-\\x20\\x7f/%?#&]') or unicode(x) > 127 then regexp_replace(hex(encode(x)), '(..)', '%\\1', 'g') else x end), '') as encoded from c""")
 def encode_key(spark, d):
-    """A round trip: what is encoded decodes to itself."""
-    return table(spark, d, "wal_entries").select("entry_id", S.decode_key(S.encode_key("key")).alias("key"))
+    plain = S.decode_key("key")
+    return table(spark, d, "wal_entries").select("entry_id", plain.alias("plain"), S.encode_key(plain).alias("encoded"))
 
 
 @query("decode_key", "select entry_id, url_decode(key) as key from wal_entries")
@@ -515,11 +364,6 @@ def decode_key(spark, d):
     return table(spark, d, "wal_entries").select("entry_id", S.decode_key("key").alias("key"))
 
 
-@query("format_bytes", ctes("volumes") + "select volume_id, case when total_bytes < 1024 then printf('%.2f B', total_bytes / 1.0) when total_bytes < 1048576 then printf('%.2f KB', total_bytes / 1024.0) when total_bytes < 1073741824 then printf('%.2f MB', total_bytes / 1048576.0) else printf('%.2f GB', total_bytes / 1073741824.0) end as shown from volumes")
-def format_bytes(spark, d):
-    return view(spark, d, "volumes").select("volume_id", S.format_bytes("total_bytes").alias("shown"))
-
-
 _DURATION = "case event_id % 6 when 0 then event_id || 'ms' when 1 then ' ' || event_id || 's ' when 2 then event_id || 'm' when 3 then event_id || 'h' when 4 then event_id || 'd' else event_id || ' weeks' end"
 
 
@@ -552,9 +396,12 @@ def encrypt_detect(spark, d):
     return mixed.select("key", crypto.is_encrypted(F.col("v")).alias("detected"), (crypto.decrypted(F.col("v"), _KEY) == F.col("value").cast("binary")).alias("passes"))
 
 
-@query("compress_decision", ctes("kv_docs") + "select key, size >= 128 as worth_trying from kv_docs")
+@query("compress_decision", ctes("kv_docs") + "select key, value as text, true as smaller, case when size < 128 then false end as must from kv_docs")
 def compress_decision(spark, d):
-    return view(spark, d, "kv_docs").select("key", (F.col("size") >= 128).alias("worth_trying"))
+    """Each value as the store keeps it and read back: LZ4 only from 128 bytes on and only if that is smaller."""
+    kept = view(spark, d, "kv_docs").select("key", "value", "size", lz4.stored(F.col("value")).alias("s"))
+    smaller = F.when(F.col("s.compressed"), F.octet_length("s.data") < F.col("size")).otherwise(F.octet_length("s.data") == F.col("size"))
+    return kept.select("key", F.decode(lz4.restored(F.col("s")), "UTF-8").alias("text"), smaller.alias("smaller"), F.when(F.col("size") < 128, F.col("s.compressed")).alias("must"))
 
 
 @query("events_tumbling", "select time_bucket(interval 1 hour, ts) as started, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
@@ -579,23 +426,3 @@ def apikeys_state(spark, d):
     """The lifecycle of keys: a put creates or renews, a revoke switches off, a delete removes."""
     c = change_feed(spark, d).withColumn("active", F.col("event") == "put")
     return apply_changes(c, ["key"], "change_no", "event", ["active"], replace_ops=["put"], patch_ops=["revoke"]).select("key", "active", "last_no")
-
-
-@query("vote_tally", ctes("volumes") + "select count(*) as voters, count(*) filter (where state = 'alive') as granted, count(*) filter (where state = 'alive') >= count(*) // 2 + 1 as won from volumes")
-def vote_tally(spark, d):
-    v = view(spark, d, "volumes").agg(F.count("*").alias("voters"), F.count_if(F.col("state") == "alive").alias("granted"))
-    return v.withColumn("won", F.col("granted") >= F.floor(F.col("voters") / 2) + 1)
-
-
-@query("raft_commit_index", ctes("volumes") + ", r as (select total_keys, row_number() over (order by total_keys desc) as rk, count(*) over () as n from volumes) select cast(total_keys as bigint) as commit_index from r where rk = n // 2 + 1")
-def raft_commit_index(spark, d):
-    """The greatest index that a majority of replicas has reached."""
-    reached = F.sort_array(F.collect_list(F.col("total_keys").cast("bigint")), asc=False)
-    return view(spark, d, "volumes").agg(reached.alias("r")).select(F.get("r", F.floor(F.size("r") / 2).cast("int")).alias("commit_index"))
-
-
-@query("raft_append_check", "select o_orderkey, o_orderkey % 2000 <= 1000 as accepted, case when o_orderkey % 2000 > 1000 then 1000 end as conflict_index from orders")
-def raft_append_check(spark, d):
-    """An append after an index that a follower with 1000 entries does not have is refused with its length."""
-    before = F.col("o_orderkey") % 2000
-    return table(spark, d, "orders").select("o_orderkey", (before <= 1000).alias("accepted"), F.when(before > 1000, 1000).alias("conflict_index"))

@@ -23,14 +23,6 @@ from [events]""",
 select concat('doc/', lpad(cast(doc_id as {text}), 8, '0')) as key, doc_id, text as value, cast({bytes}(text) as bigint) as size,
   {sha}(text{bits}) as hash, coalesce(lower(trim(source)), 'none') as tenant
 from [documents]""",
-    "volumes": """
-select concat('vol-', lpad(cast(s_suppkey as {text}), cast(greatest(4, length(cast(s_suppkey as {text}))) as integer), '0')) as volume_id,
-  case s_suppkey % 10 when 7 then 'suspect' when 8 then 'dead' when 9 then 'draining' else 'alive' end as state,
-  s_suppkey * 10 as total_keys, cast(floor(abs(s_acctbal) * 2000000) as bigint) as total_bytes, 1706745600000 - s_suppkey * 1000 as last_heartbeat
-from [supplier]""",
-    "objects": """
-select {head} as bucket, {tail} as object_key, entry_id as seq, value_bytes as body, cast(coalesce({bytes}(value_bytes), 0) as bigint) as body_bytes, lower(trim(op)) in ('put', '1') as is_put
-from [wal_entries] where key like '%/%'""",
     "requests": """
 select event_id, user_id, concat('/', event_type) as path,
   case when event_type in ('purchase', 'signup') then 'POST' when event_type = 'error' then 'DELETE' else 'GET' end as method,
@@ -52,8 +44,8 @@ select concat('key-', cast(c_custkey as {text})) as id, c_name as name, {sha}(co
 from [customer] join [nation] on c_nationkey = n_nationkey""",
 }
 
-_SPARK = {"text": "string", "micros": "unix_micros(cast(ts as timestamp))", "bytes": "octet_length", "sha": "sha2", "bits": ", 256", "head": "regexp_extract(key, '^([^/]+)/(.*)$', 1)", "tail": "regexp_extract(key, '^([^/]+)/(.*)$', 2)"}
-_DUCK = {"text": "varchar", "micros": "epoch_us(ts)", "bytes": "octet_length", "sha": "sha256", "bits": "", "head": "regexp_extract(key, '^([^/]+)/(.*)$', 1)", "tail": "regexp_extract(key, '^([^/]+)/(.*)$', 2)"}
+_SPARK = {"text": "string", "micros": "unix_micros(cast(ts as timestamp))", "bytes": "octet_length", "sha": "sha2", "bits": ", 256"}
+_DUCK = {"text": "varchar", "micros": "epoch_us(ts)", "bytes": "octet_length", "sha": "sha256", "bits": ""}
 
 
 def view(spark: SparkSession, d: str, name: str) -> DataFrame:

@@ -14,13 +14,15 @@ from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from foldstone.functions import lz4
+
 # fixed values: the magics that begin records and files
 WAL_MAGIC, BLOB_MAGIC, LZ4_MAGIC = b"WAL1", b"BLOB", b"BLOC"
 INDEX_PLAIN, INDEX_TTL = b"KVINDEX2", b"KVINDEX3"
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or address, and the path within it."""
+    """The file system of an address, and the path within it. Without a scheme it is this machine's: callers give what ``session.qualified`` made of it."""
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
@@ -43,17 +45,19 @@ def read_wal(data: bytes) -> Iterator[tuple[int, str, str, bytes | None]]:
         at = end + 4
 
 
-def blob_frame(key: str, value: bytes) -> bytes:
-    k = key.encode()
-    body = struct.pack("<IQQ", len(k), len(value), len(value)) + k + value
-    return BLOB_MAGIC + body + struct.pack("<I", zlib.crc32(body))
+def blob_frame(key: str, value: bytes, compress: bool = False) -> bytes:
+    """A frame with its checksum; with ``compress``, as an LZ4 block where that is worth it."""
+    k, packed = key.encode(), lz4.pack(value) if compress else None
+    data = value if packed is None else packed
+    body = struct.pack("<IQQ", len(k), len(data), len(value)) + k + data
+    return (BLOB_MAGIC if packed is None else LZ4_MAGIC) + body + struct.pack("<I", zlib.crc32(body))
 
 
 def read_segment(data: bytes) -> Iterator[tuple[str, int, int, bytes | None, bool]]:
     """``key, offset, size, value, ok`` of each frame up to the first bad magic or torn frame.
 
-    A frame that fails its checksum is listed with ``ok`` false. LZ4 frames are listed with their stored
-    size and a NULL value, as no LZ4 codec is part of Python.
+    A frame that fails its checksum, or whose LZ4 block is broken, is listed with ``ok`` false and a NULL value; ``size`` is that of
+    the value, not of what is stored.
     """
     at = 0
     while data[at : at + 4] in (BLOB_MAGIC, LZ4_MAGIC) and at + 24 <= len(data):
@@ -62,8 +66,13 @@ def read_segment(data: bytes) -> Iterator[tuple[str, int, int, bytes | None, boo
         if end + 4 > len(data):
             return
         ok = zlib.crc32(data[at + 4 : end]) == struct.unpack_from("<I", data, end)[0]
-        plain = data[at : at + 4] == BLOB_MAGIC
-        yield data[at + 24 : at + 24 + nk].decode("utf-8", "replace"), at, size, data[end - stored : end] if plain and ok else None, ok
+        value = data[end - stored : end] if ok else None
+        if ok and data[at : at + 4] == LZ4_MAGIC:
+            try:
+                value = lz4.unpack(value, size)
+            except ValueError:
+                value, ok = None, False
+        yield data[at + 24 : at + 24 + nk].decode("utf-8", "replace"), at, size, value, ok
         at = end + 4
 
 
