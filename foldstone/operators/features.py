@@ -68,8 +68,11 @@ def feature_table(
     that the table's sums are those of the log. An empty log gives an empty table. Other columns are ignored.
 
     Event types are cut into blocks. The cells (at most entities x events, far fewer than entries) are
-    written once, split by block and bucketed by entity: each block's aggregation, the complete entity
-    table and all joins between them then run inside a bucket, without another exchange.
+    written once, bucketed by entity and sorted by block: each block's aggregation, the complete entity
+    table and all joins between them then run inside a bucket, without another exchange, and a block reads its own row groups. The
+    table's name leaves the catalogue at once; its files go with the session.
+
+    More event types than a row has room for have an exact way as well: ``event_features`` gives the same in long form.
     """
     spark = log.sparkSession
     cells = event_cells(log, entity, event, at, total, content)
@@ -88,8 +91,9 @@ def feature_table(
     places = [(e, b, p) for b, block in enumerate(blocks) for p, e in enumerate(block)]
     catalogue = spark.createDataFrame(places, "event string, block int, place int")
     placed = cells.join(F.broadcast(catalogue), "event", "left").withColumn("block", F.coalesce("block", F.lit(-1)))
-    placed.repartition(buckets, "entity").write.partitionBy("block").bucketBy(buckets, "entity").option("path", path).saveAsTable(name)
+    placed.repartition(buckets, "entity").write.bucketBy(buckets, "entity").sortBy("block", "entity").option("path", path).saveAsTable(name)
     stored = spark.table(name)
+    spark.sql(f"drop table {name}")  # external: the files stay, and the plan knows them by now
 
     out = stored.groupBy("entity").agg(F.sum("n").alias("entries"), F.max("last_at").alias("last_at"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
     for b in range(len(blocks)):
@@ -110,6 +114,19 @@ def feature_table(
     return out.selectExpr(*shown)
 
 
+def event_features(log: DataFrame, entity: str, event: str, at: str, total: str, content: Sequence[str], as_of: str | None = None) -> DataFrame:
+    """``entity, event, n, recency_s, total``: what ``feature_table`` has in its columns, a row for each event type an entity has, of any number of types.
+
+    Entities are told by the column ``entity``; NULL and blank ones are one, whose entity is NULL.
+    """
+    cells = event_cells(log, entity, event, at, total, content).withColumn("last_at", F.col("last_at").cast("timestamp_ntz"))
+    if as_of is None:
+        last = log.agg(F.max(F.col(at).cast("timestamp_ntz")).cast("string")).first()[0]
+    stamp = as_of or str(last or "1970-01-01")
+    recency = F.expr(f"timestampdiff(second, last_at, timestamp_ntz'{stamp}')")
+    return cells.select(F.when(F.col("entity") != "", F.col("entity")).alias(entity), F.col("event").alias(event), "n", recency.alias("recency_s"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
 def feature_cells(wide: DataFrame, entity: str) -> DataFrame:
     """The wide table in long form again: ``entity, feature, n, recency_s, total`` for features that occur."""
     features = [c[2:] for c in wide.columns if c.startswith("n_")]

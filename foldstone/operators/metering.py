@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Resetting gaps that one piece of a key's time may hold.
+PIECES = 64
+
 # fixed values: the upper bounds of the latency buckets in milliseconds
 BOUNDS = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0]
 
@@ -41,66 +46,107 @@ def tenant_usage_clamped(ops: DataFrame) -> DataFrame:
     return sums[0].join(sums[1], "tenant")
 
 
-def _stretches(requests: DataFrame, key: str, at: str, reset: int) -> DataFrame:
-    """Number the stretches of a key between gaps of ``reset`` or more, after which no state remains."""
-    order = Window.partitionBy(key).orderBy(at, "event_id")
-    gap = F.col(at) - F.lag(at).over(order)
-    return requests.withColumn("__new", F.coalesce(gap >= F.lit(reset), F.lit(False)).cast("bigint")).withColumn("__stretch", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
-
+def _stretches(requests: DataFrame, reset: int) -> DataFrame:
+    """``event_id, k, t`` and ``stretch``, the time at which the stretch began: stretches lie between gaps of ``reset`` or more, after which no state remains.
 
-def _in_order(requests: DataFrame, key: str, at: str, reset: int, fold, schema: str) -> DataFrame:
+    Times are cut into pieces: the request before is looked for within a piece, and a piece takes over the last
+    time and the last beginning of those before, so a hot key is spread over its pieces.
+    """
+    cut = requests.withColumn("cut", F.floor(F.col("t") / F.lit(PIECES * reset)))
+    ends = cut.groupBy("k", "cut").agg(F.max("t").alias("end"))
+    line = Window.partitionBy("k").orderBy("cut")
+    order = Window.partitionBy("k", "cut").orderBy("t", "event_id")
+    timed = cut.join(ends.select("k", "cut", F.lag("end").over(line).alias("carried")), ["k", "cut"])
+    before = F.coalesce(F.lag("t").over(order), "carried")
+    begun = timed.withColumn("begin", F.when(before.isNull() | (F.col("t") - before >= F.lit(reset)), F.col("t")))
+    last = begun.groupBy("k", "cut").agg(F.max("begin").alias("b"))
+    over = last.select("k", "cut", F.last("b", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("open"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    return begun.withColumn("near", F.last("begin", ignorenulls=True).over(upto)).join(over, ["k", "cut"]).select("event_id", "k", "t", F.coalesce("near", "open").alias("stretch"))
+
+
+def _edges(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of equal neighbours."""
+    n = len(columns[0])
+    change = np.zeros(max(0, n - 1), dtype=bool)
+    for c in columns:
+        change |= c[1:] != c[:-1]
+    at = [0, *(np.flatnonzero(change) + 1).tolist(), n]
+    return [(a, b) for a, b in zip(at, at[1:], strict=False) if a < b]
+
+
+def _in_order(requests: DataFrame, key: str, at: str, reset: int, fresh, fold, names: list[str], schema: str) -> DataFrame:
+    """Run ``fold(state, times)`` over each stretch in time order, stream-wise: it gives the columns and changes ``state``, which ``fresh()`` makes.
+
+    Requests without key or time are of no stretch and left out.
+    """
     width = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = _stretches(requests.select("event_id", F.col(key).alias("k"), F.col(at).alias("t")), "k", "t", reset)
-    placed = cut.repartition(width, "k", "__stretch").sortWithinPartitions("k", "__stretch", "t", "event_id")
-    return placed.mapInPandas(fold, schema)
-
-
-def token_bucket(requests: DataFrame, key: str, burst: float, rate: float) -> DataFrame:
+    placed = requests.select("event_id", F.col(key).alias("k"), F.col(at).alias("t")).where("k is not null and t is not null")
+    ordered = _stretches(placed, reset).withColumn("k", F.xxhash64("k")).repartition(width, "k", "stretch").sortWithinPartitions("k", "stretch", "t", "event_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, s, t = (batch.column(c).to_numpy() for c in ("k", "stretch", "t"))
+            parts = []
+            for a, b in _edges(k, s):
+                if (k[a], s[a]) != now:
+                    now, state = (k[a], s[a]), fresh()
+                parts.append(fold(state, t[a:b]))
+            yield pa.RecordBatch.from_arrays([batch.column("event_id"), *(pa.array(np.concatenate(c)) for c in zip(*parts, strict=True))], ["event_id", *names])
+
+    return ordered.mapInArrow(run, schema)
+
+
+def token_bucket(requests: DataFrame, key: str, burst: float, rate: float, enabled: bool = True) -> DataFrame:
     """``event_id, allowed, tokens, retry_after_s`` for a bucket of ``burst`` tokens a key, refilled at ``rate`` a second.
 
     A bucket starts full; a request takes a token or is refused and takes none. ``requests``: ``event_id`` (unique,
     breaks ties), ``ts_us``, ``key``. After a gap that refills the whole bucket nothing of the past matters:
-    keys are cut there, and a stretch is folded as a stream with two numbers of state.
+    keys are cut there, and a stretch is folded as a stream with two numbers of state. A limiter that is not
+    ``enabled`` allows everything and keeps its bucket full.
     """
+    if not enabled:
+        return requests.select("event_id", F.lit(True).alias("allowed"), F.lit(float(burst)).alias("tokens"), F.lit(0.0).alias("retry_after_s"))
+
+    def fold(state: dict, times: np.ndarray) -> tuple[np.ndarray, ...]:
+        tokens, last, left, passed = state["tokens"], state["last"], [], []
+        for t in times.tolist():
+            tokens = tokens if last is None else min(burst, tokens + (t - last) / 1e6 * rate)
+            last = t
+            passed.append(tokens >= 1.0)
+            tokens = tokens - 1.0 if passed[-1] else tokens
+            left.append(tokens)
+        state["tokens"], state["last"] = tokens, last
+        allowed, kept = np.array(passed), np.array(left)
+        return allowed, kept, np.where(allowed, 0.0, (1.0 - kept) / rate)
+
+    return _in_order(requests, key, "ts_us", int(burst / rate * 1e6) + 1, lambda: {"tokens": burst, "last": None}, fold, ["allowed", "tokens", "retry_after_s"], "event_id bigint, allowed boolean, tokens double, retry_after_s double")
+
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, tokens, last = None, burst, 0
-        for f in frames:
-            allowed, left, retry = np.empty(len(f), bool), np.empty(len(f)), np.empty(len(f))
-            for i, (k, s, t) in enumerate(zip(f["k"], f["__stretch"], f["t"], strict=True)):
-                if (k, s) != now:
-                    now, tokens = (k, s), burst
-                else:
-                    tokens = min(burst, tokens + (t - last) / 1e6 * rate)
-                last = t
-                allowed[i] = tokens >= 1.0
-                tokens = tokens - 1.0 if allowed[i] else tokens
-                left[i], retry[i] = tokens, 0.0 if allowed[i] else (1.0 - tokens) / rate
-            yield pd.DataFrame({"event_id": f["event_id"], "allowed": allowed, "tokens": left, "retry_after_s": retry})
-
-    return _in_order(requests, key, "ts_us", int(burst / rate * 1e6) + 1, fold, "event_id bigint, allowed boolean, tokens double, retry_after_s double")
-
-
-def sliding_limit(requests: DataFrame, key: str, limit: int, window_us: int) -> DataFrame:
+def sliding_limit(requests: DataFrame, key: str, limit: int, window_us: int, enabled: bool = True) -> DataFrame:
     """``event_id, allowed``: at most ``limit`` allowed requests of a key in any ``window_us``; refused ones do not count.
 
-    State is the last ``limit`` allowed times; a gap of the whole window clears it, and keys are cut there.
+    State is the last ``limit`` allowed times; a gap of the whole window clears it, and keys are cut there. The next request that may
+    pass is found by bisection, so refused ones cost nothing. A limiter that is not ``enabled`` allows everything, one with a ``limit`` of 0 nothing.
     """
+    if not enabled or limit <= 0:
+        return requests.select("event_id", F.lit(not enabled).alias("allowed"))
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, taken = None, []
-        for f in frames:
-            allowed = np.empty(len(f), bool)
-            for i, (k, s, t) in enumerate(zip(f["k"], f["__stretch"], f["t"], strict=True)):
-                if (k, s) != now:
-                    now, taken = (k, s), []
-                taken = [x for x in taken if x > t - window_us]
-                allowed[i] = len(taken) < limit
-                if allowed[i]:
-                    taken.append(t)
-            yield pd.DataFrame({"event_id": f["event_id"], "allowed": allowed})
+    def fold(taken: deque, times: np.ndarray) -> tuple[np.ndarray]:
+        allowed, at, listed = np.zeros(len(times), bool), 0, times.tolist()
+        while True:
+            if len(taken) == limit:
+                at = bisect_left(listed, taken[0] + window_us, at)
+            if at >= len(listed):
+                return (allowed,)
+            allowed[at] = True
+            taken.append(listed[at])
+            at += 1
 
-    return _in_order(requests, key, "ts_us", window_us, fold, "event_id bigint, allowed boolean")
+    return _in_order(requests, key, "ts_us", window_us, lambda: deque(maxlen=limit), fold, ["allowed"], "event_id bigint, allowed boolean")
 
 
 def bucket_gc(requests: DataFrame, key: str, now_us: int, window_us: int) -> DataFrame:
@@ -116,22 +162,32 @@ def segment_assign(blobs: DataFrame, writer: str, order: str, size: str, limit:
     stream with two numbers of state; writers are independent.
     """
     width = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = blobs.select(F.col(writer).alias("w"), F.col(order).alias("o"), "key", F.coalesce(size, F.lit(0)).alias("n")).repartition(width, "w").sortWithinPartitions("w", "o")
+    placed = blobs.select(F.col(writer).alias("w"), F.col(order).alias("o"), "key", F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("bigint").alias("n")).repartition(width, "w").sortWithinPartitions("w", "o")
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, segment, offset = None, 0, 0
-        for f in frames:
-            seg, off = np.empty(len(f), np.int64), np.empty(len(f), np.int64)
-            for i, (w, n) in enumerate(zip(f["w"], f["n"], strict=True)):
-                if w != now:
-                    now, segment, offset = w, 0, 0
-                if offset > limit:
-                    segment, offset = segment + 1, 0
-                seg[i], off[i] = segment, offset
-                offset += n
-            yield pd.DataFrame({"writer": f["w"], "key": f["key"], "segment": seg, "blob_offset": off})
-
-    return placed.mapInPandas(fold, "writer string, key string, segment bigint, blob_offset bigint")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column("w").dictionary_encode()
+            ids, sizes = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False), batch.column("n").to_numpy()
+            seg, off = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+            for a, b in _edges(ids):
+                writer = (codes.dictionary[int(ids[a])].as_py() if ids[a] >= 0 else None,)
+                if writer != now:
+                    now, segment, offset = writer, 0, 0
+                ahead = np.concatenate([[0], np.cumsum(sizes[a:b])])  # bytes before each blob, and behind the last
+                at = 0
+                while at < b - a:  # a turn a segment
+                    end = int(np.searchsorted(ahead[:-1], limit - offset + ahead[at], side="right"))
+                    if end <= at:
+                        segment, offset = segment + 1, 0
+                        continue
+                    seg[a + at : a + end], off[a + at : a + end] = segment, offset + ahead[at:end] - ahead[at]
+                    offset, at = offset + int(ahead[end] - ahead[at]), end
+            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("key"), pa.array(seg), pa.array(off)], ["writer", "key", "segment", "blob_offset"])
+
+    return placed.mapInArrow(run, "writer string, key string, segment bigint, blob_offset bigint")
 
 
 def endpoint_counters(requests: DataFrame) -> DataFrame:

@@ -41,6 +41,22 @@ def stream_limiter(spark, d):
     return feeds.run_append(feeds.stream_limiter(requests, "user_id", 3, 86_400_000_000), "limiter")
 
 
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return feeds.file_stream(spark, f"{d.rstrip('/')}/events.parquet", table(spark, d, "events").schema)
+
+
+def stream_tumbling(spark, d):
+    return feeds.run_append(feeds.tumbling(_events(spark, d), "1 hour", "10 minutes"), "tumbling").withColumn("started", F.col("started").cast("timestamp_ntz"))
+
+
+def stream_sliding(spark, d):
+    return feeds.run_append(feeds.sliding(_events(spark, d), "2 hours", "1 hour", "10 minutes"), "sliding").withColumn("started", F.col("started").cast("timestamp_ntz"))
+
+
+def stream_sessions(spark, d):
+    return feeds.run_append(feeds.sessions(_events(spark, d), "user_id", "2 hours", "10 minutes"), "sessions").withColumn("started", F.col("started").cast("timestamp_ntz"))
+
+
 def _bytes_round(spark: SparkSession, rows: DataFrame, encode: Callable[[Iterator], bytes], name: str, fmt: str) -> DataFrame:
     """Write the rows with ``encode``, a file for each Arrow batch of a partition, then read the folder as ``fmt``."""
     formats.register(spark)
@@ -78,14 +94,23 @@ def fmt_index(spark, d):
     return _bytes_round(spark, rows, lambda rows: formats.index_snapshot((r.key, int(r.shard), int(r.blob_offset), int(r.size), r.hash, int(r.expires_at)) for r in rows), "index", "kvindex")
 
 
-QUERIES = {"watch_events": watch_events, "watch_filtered": watch_filtered, "stream_state": stream_state, "stream_limiter": stream_limiter, "fmt_wal": fmt_wal, "fmt_segment": fmt_segment, "fmt_index": fmt_index}
+QUERIES = {"watch_events": watch_events, "watch_filtered": watch_filtered, "stream_state": stream_state, "stream_limiter": stream_limiter, "stream_tumbling": stream_tumbling, "stream_sliding": stream_sliding, "stream_sessions": stream_sessions, "fmt_wal": fmt_wal, "fmt_segment": fmt_segment, "fmt_index": fmt_index}
 
+# the watermark: ten minutes behind the last event, in whole milliseconds
+_MARK = "with m as (select date_trunc('milliseconds', max(ts)) - interval 10 minutes as mark from events) "
 _EVENTS = ctes("kv_log") + "select seq, op as event, key, tenant, ts_ms // 1000 as event_ts from kv_log"
 ORACLES = {
     "watch_events": _EVENTS,
     "watch_filtered": _EVENTS + " where starts_with(key, 'user/00001') and tenant = 'tenant-1'",
     "stream_state": STORE["wal_fold_state"],
     "stream_limiter": STORE["sliding_limit"],
+    "stream_tumbling": _MARK + """, w as (select event_type, time_bucket(interval 1 hour, ts) as started from events)
+select started, event_type, count(*) as n from w, m group by all having started + interval 1 hours <= any_value(mark)""",
+    "stream_sliding": _MARK + """, w as (select event_type, unnest([time_bucket(interval 1 hour, ts), time_bucket(interval 1 hour, ts) - interval 1 hour]) as started from events)
+select started, event_type, count(*) as n from w, m group by all having started + interval 2 hours <= any_value(mark)""",
+    "stream_sessions": _MARK + """, o as (select *, lag(ts) over (partition by user_id order by ts) as before from events),
+s as (select *, sum(case when before is null or ts >= before + interval 2 hours then 1 else 0 end) over (partition by user_id order by ts) as session from o)
+select user_id, min(ts) as started, count(*) as n from s, m group by user_id, session having max(ts) + interval 2 hours <= any_value(mark)""",
     "fmt_wal": "select entry_id as seq, case when lower(trim(op)) in ('put', '1') then 'put' else 'delete' end as op, key, case when lower(trim(op)) in ('put', '1') then lower(hex(coalesce(value_bytes, ''::blob))) end as value_hex from wal_entries",
     "fmt_index": "select key, coalesce(shard, 0) as shard, blob_offset, coalesce(size, 0) as size, coalesce(blake3, '') as hash, nullif(expires_at, 0) as expires_at from blob_locations",
     "fmt_segment": "select 'doc/' || doc_id as key, cast(strlen(text) as bigint) as size, true as ok, text from documents",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foldstone.functions import normalise as N
 from foldstone.operators.changes import apply_changes
 from foldstone.operators.compare import compare, difference_lines, latest_rows
-from foldstone.operators.features import feature_cells, feature_table
+from foldstone.operators.features import event_features, feature_cells, feature_table
 from foldstone.operators.incremental import Ledger, done_ranges, pending_marks, run_transitions
 from foldstone.operators.references import numbered, orphans
 from foldstone.plans.views import NOW_MS
@@ -39,6 +39,10 @@ def p1_features(spark: SparkSession, d: str) -> DataFrame:
     return feature_table(audit_entries(spark, d), "actor", "event", "at", "bytes", ["raw_at", "target", "message", "meta"])
 
 
+def p1_events(spark: SparkSession, d: str) -> DataFrame:
+    return event_features(audit_entries(spark, d), "actor", "event", "at", "bytes", ["raw_at", "target", "message", "meta"])
+
+
 def p1_cells(spark: SparkSession, d: str) -> DataFrame:
     return feature_cells(p1_features(spark, d), "actor")
 
@@ -143,6 +147,7 @@ def p6_values(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_features": p1_features,
     "p1_cells": p1_cells,
+    "p1_events": p1_events,
     "p3_found": p3_orphans,
     "p3_report": p3_report,
     "p4_found": p4_found,
@@ -194,6 +199,7 @@ ORACLES = {
     "p1_cells": _AUDIT
     + """select actor, trim(regexp_replace(event, '[^0-9a-z]+', '_', 'g'), '_') as feature, count(*) as n, date_diff('second', max(t), any_value(as_of)) as recency_s, cast(sum(bytes) as bigint) as total
 from c cross join a group by actor, event""",
+    "p1_events": _AUDIT + """select actor, event, count(*) as n, date_diff('second', max(t), any_value(as_of)) as recency_s, cast(sum(bytes) as bigint) as total from c cross join a group by actor, event""",
     "p3_found": _ORPHANS + "select * from found",
     "p3_report": _ORPHANS + "select src_table, period, count(*) as orphans, count(distinct ref_value) as missing_values from found group by all",
     "p4_found": f"""

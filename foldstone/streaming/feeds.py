@@ -37,49 +37,93 @@ def change_events(log: DataFrame, prefix: str = "", tenant: str | None = None) -
     return kept.select("seq", F.col("op").alias("event"), "key", "tenant", F.floor(F.col("ts_ms") / 1000).cast("bigint").alias("event_ts"))
 
 
+#: Batches whose folds are put together into one.
+FOLD_EVERY = 16
+
+
 def live_state(log: DataFrame, name: str) -> DataFrame:
     """The fold of a streamed log: each batch is reduced and appended once, the newest row of a key stands.
 
-    Batches may come late or twice: a batch writes to a path of its own number, and sequences decide.
+    Batches may come late or twice: a batch writes to a path of its own number, and sequences decide. Every FOLD_EVERY-th
+    batch folds what came since the last such fold into it, so a reader meets one fold and fewer than FOLD_EVERY batches, however long the stream has run.
     """
     spark, out = log.sparkSession, scratch(log.sparkSession, name)
     rest = [c for c in log.columns if c != "key"]
+    newest = lambda df: df.groupBy("key").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("key", "r.*")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def parts(below: int) -> list[str]:
+        """The latest complete fold below a batch, and the batches after it."""
+        folds = [n for n in range(FOLD_EVERY - 1, below, FOLD_EVERY) if fs.exists(path(f"{out}/fold/{n}/_SUCCESS"))]
+        start = folds[-1] + 1 if folds else 0
+        return [f"{out}/fold/{n}" for n in folds[-1:]] + [f"{out}/rows/{n}" for n in range(start, below) if fs.exists(path(f"{out}/rows/{n}/_SUCCESS"))]
 
     def reduce(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("key").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("key", "r.*")
-        last.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        newest(batch).write.mode("overwrite").parquet(f"{out}/rows/{number}")
+        if number % FOLD_EVERY == FOLD_EVERY - 1:
+            newest(spark.read.schema(log.schema).parquet(*parts(number), f"{out}/rows/{number}")).write.mode("overwrite").parquet(f"{out}/fold/{number}")
+        last.append(number)
 
+    last: list[int] = []
     log.writeStream.foreachBatch(reduce).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(log.schema).parquet(f"{out}/rows")
-    newest = rows.groupBy("key").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("key", "r.*")
-    return newest.where("op = 'put'")
+    found = parts(max(last, default=-1) + 1)
+    rows = spark.read.schema(log.schema).parquet(*found) if found else spark.createDataFrame([], log.schema)
+    return newest(rows).where("op = 'put'")
 
 
-def stream_limiter(requests: DataFrame, key: str, limit: int, window_us: int) -> DataFrame:
-    """``event_id, allowed``: the sliding limit with the allowed times as state.
+def stream_limiter(requests: DataFrame, key: str, limit: int, window_us: int, late: str = "0 seconds") -> DataFrame:
+    """``event_id, allowed``: the sliding limit of a stream, with the answers of its batch twin whatever the batches.
 
-    Within a batch a key's requests are taken by time; state holds at most ``limit`` times.
+    A request waits until the watermark, ``late`` behind the latest one, has passed it, so a key's requests are judged by time,
+    also where files bring them out of order; what comes later still is left out. State is at most ``limit`` allowed times and the requests that
+    wait; once both are over, a timeout removes it.
     """
 
     def fold(_: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        taken = list(state.get[0]) if state.exists else []
-        f = pd.concat(list(frames)).sort_values(["ts_us", "event_id"])  # one key's rows of one batch
-        allowed = []
-        for t in f["ts_us"]:
-            taken = [x for x in taken if x > t - window_us]
-            allowed.append(len(taken) < limit)
+        taken, waiting = ([], [])
+        if state.exists:
+            times, due, ids = state.get
+            taken, waiting = list(times), list(zip(due, ids, strict=True))
+        if not state.hasTimedOut:
+            for f in frames:
+                waiting += zip(f["ts_us"].tolist(), f["event_id"].tolist(), strict=True)
+        now = state.getCurrentWatermarkMs()
+        ready, allowed = sorted(x for x in waiting if x[0] // 1000 <= now), []
+        waiting = [x for x in waiting if x[0] // 1000 > now]
+        for t, _id in ready:
+            allowed.append(len(taken) < limit or taken[0] <= t - window_us)
             if allowed[-1]:
-                taken.append(int(t))
-        state.update((taken,))
-        yield pd.DataFrame({"event_id": f["event_id"].to_numpy(), "allowed": allowed})
+                taken = [*taken, t][-limit:]
+        taken = [x for x in taken if x > now * 1000 - window_us]
+        if taken or waiting:
+            state.update((taken, [t for t, _id in waiting], [i for _t, i in waiting]))
+            state.setTimeoutTimestamp(max(now + 1, min(t for t, _id in waiting) // 1000 if waiting else (taken[-1] + window_us) // 1000))
+        else:
+            state.remove()
+        yield pd.DataFrame({"event_id": [i for _t, i in ready], "allowed": allowed}).astype({"event_id": "int64", "allowed": "bool"})
+
+    timed = requests.withColumn("__at", F.timestamp_micros("ts_us")).withWatermark("__at", late)
+    return timed.groupBy(key).applyInPandasWithState(fold, "event_id bigint, allowed boolean", "taken array<bigint>, due array<bigint>, ids array<bigint>", "append", "EventTimeTimeout")
+
 
-    return requests.groupBy(key).applyInPandasWithState(fold, "event_id bigint, allowed boolean", "taken array<bigint>", "append", "NoTimeout")
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    return events.withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", late)
 
 
 def tumbling(events: DataFrame, width: str, late: str) -> DataFrame:
-    """Watermarked window counts of a stream; windows are given out once they are closed."""
-    timed = events.withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", late)
-    return timed.groupBy(F.window("t", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("started"), "event_type", "n")
+    """``started, event_type, n`` of a stream by windows; a window is given out once the watermark has passed it, and what comes later is left out."""
+    return _timed(events, late).groupBy(F.window("t", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("started"), "event_type", "n")
+
+
+def sliding(events: DataFrame, width: str, step: str, late: str) -> DataFrame:
+    """The same by windows that overlap, a new one every ``step``."""
+    return _timed(events, late).groupBy(F.window("t", width, step).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("started"), "event_type", "n")
+
+
+def sessions(events: DataFrame, key: str, gap: str, late: str) -> DataFrame:
+    """``key, started, n``: sessions that end after ``gap`` without an event, given out once the watermark has passed their end."""
+    return _timed(events, late).groupBy(key, F.session_window("t", gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("started"), "n")
 
 
 def deduplicated(stream: DataFrame, keys: list[str], at: str, late: str) -> DataFrame:

@@ -1,6 +1,10 @@
 import datetime as dt
 
-from foldstone.operators.features import column_names, feature_table
+import pytest
+from conftest import rows
+
+from foldstone.operators import features
+from foldstone.operators.features import column_names, event_features, feature_table
 
 S = "actor string, event string, at timestamp_ntz, bytes bigint, target string, message string"
 T = dt.datetime(2024, 1, 1)
@@ -37,3 +41,18 @@ def test_empty_log_and_clashing_columns(spark):
 
 def test_column_names_stay_apart():
     assert column_names(["a.b", "a_b", "A B", "", "é"]) == ["a_b", "a_b_2", "a_b_3", "unnamed", "unnamed_2"]
+
+
+def test_more_event_types_than_a_row_has_room_for(spark, monkeypatch):
+    monkeypatch.setattr(features, "MAX_EVENTS", 2)
+    entries = spark.createDataFrame([("a", e, T, 1, "k", "m") for e in ("p", "q", "r", "r")] + [(None, "p", None, None, "k", "m")], S)
+    with pytest.raises(ValueError):
+        feature_table(entries, "actor", "event", "at", "bytes", ["target", "message"])
+    long = event_features(entries, "actor", "event", "at", "bytes", ["target", "message"])
+    assert rows(long) == [("a", "p", 1, 0, 1), ("a", "q", 1, 0, 1), ("a", "r", 1, 0, 1), (None, "p", 1, None, 0)]
+    assert event_features(entries.limit(0), "actor", "event", "at", "bytes", ["target"]).count() == 0
+
+
+def test_no_table_stays_in_the_catalogue(spark):
+    before = spark.sql("show tables").count()
+    assert table(spark, [("a", "put", T, 5, "k", "m")])["a"]["n_put"] == 1 and spark.sql("show tables").count() == before

@@ -164,6 +164,58 @@ def test_limits_isolate_keys(spark):
     assert metering.sliding_limit(req, "ip", 3, 1_000_000).where("allowed").count() == 6
 
 
+def bucket_brute(requests, burst, rate):
+    state, out = {}, {}
+    for i, k, t in sorted(requests, key=lambda x: (x[2], x[0])):
+        tokens, last = state.get(k, (burst, t))
+        tokens = min(burst, tokens + (t - last) / 1e6 * rate)
+        out[i] = tokens >= 1
+        state[k] = (tokens - out[i], t)
+    return out
+
+
+def sliding_brute(requests, limit, window):
+    taken, out = {}, {}
+    for i, k, t in sorted(requests, key=lambda x: (x[2], x[0])):
+        now = [x for x in taken.get(k, []) if x > t - window]
+        out[i] = len(now) < limit
+        taken[k] = [*now, t] if out[i] else now
+    return out
+
+
+@pytest.mark.parametrize("pieces", [1, 64])
+@pytest.mark.parametrize("seed", range(3))
+def test_limits_equal_brute_force(spark, monkeypatch, seed, pieces):
+    """Also where a hot key's time is cut into pieces that its stretches reach over."""
+    monkeypatch.setattr(metering, "PIECES", pieces)
+    r = random.Random(seed)
+    requests = [(i, r.choice("aaab"), r.randrange(40_000) * 1000 * r.choice([1, 1, 7])) for i in range(400)]
+    df = spark.createDataFrame(r.sample(requests, 400), "event_id bigint, ip string, ts_us bigint")
+    assert dict(rows(metering.token_bucket(df, "ip", 3.0, 1.0).select("event_id", "allowed"))) == bucket_brute(requests, 3.0, 1.0)
+    assert dict(rows(metering.sliding_limit(df, "ip", 3, 2_000_000))) == sliding_brute(requests, 3, 2_000_000)
+
+
+def test_limiters_that_are_off_and_odd_requests(spark):
+    df = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, None, 1), (4, "a", None)], "event_id bigint, ip string, ts_us bigint")
+    assert metering.token_bucket(df, "ip", 1.0, 0.1, enabled=False).where("allowed").count() == 4 and metering.sliding_limit(df, "ip", 1, 10, enabled=False).where("allowed").count() == 4
+    assert rows(metering.sliding_limit(df, "ip", 1, 10)) == [(1, True), (2, False)] and metering.sliding_limit(df, "ip", 0, 10).where("allowed").count() == 0
+    assert rows(metering.token_bucket(df.limit(0), "ip", 1.0, 0.1)) == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_segments_equal_brute_force(spark, seed):
+    r = random.Random(seed)
+    blobs = [(r.choice([None, "a", "b"]), i, f"k{i}", r.choice([None, 0, 1, 50, 99, 300])) for i in range(200)]
+    want, state = [], {}
+    for w, _, k, n in blobs:
+        segment, offset = state.get(w, (0, 0))
+        segment, offset = (segment + 1, 0) if offset > 100 else (segment, offset)
+        want.append((w, k, segment, offset))
+        state[w] = (segment, offset + (n or 0))
+    got = metering.segment_assign(spark.createDataFrame(r.sample(blobs, 200), "w string, o bigint, key string, n bigint"), "w", "o", "n", 100)
+    assert rows(got) == sorted(want, key=repr)
+
+
 def test_reads(spark):
     state = spark.createDataFrame([("a", b"x"), ("ab", b"\xff\xfe"), ("b", "é".encode())], "key string, value binary")
     assert rows(reads.range_keys(state, "a", "ab")) == [("a",), ("ab",)] and rows(reads.range_keys(state, "b", "a")) == []
