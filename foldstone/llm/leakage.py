@@ -187,7 +187,7 @@ class Leaks:
 
         A document's postings are one row, as its text was; so are an item's words.
         """
-        pairs = materialise(pairs, name)
+        pairs = materialise(pairs, name).where(F.size("places") > 0)
         ids = broadcast_if_small(pairs.select("doc_id").distinct(), "documents")
         lists = self.index.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "positions")).alias("lists"))
         items = self.terms.groupBy("item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("off", F.xxhash64("term").alias("t")))), lambda x: x["t"]).alias("words"))
@@ -222,5 +222,5 @@ class Leaks:
         beside = lambda x: F.array_distinct(F.transform(F.filter("met", lambda y: F.abs(y["shift"] - x["shift"]) <= slack), lambda y: y["anchor"]))
         kept = F.filter("met", lambda x: x["strong"] & (F.size(beside(x)) >= support))
         places = F.transform(kept, lambda x: F.struct(x["shift"].alias("shift"), x["anchor"].alias("anchor")))
-        pairs = pairs.select("doc_id", "item_id", places.alias("places")).where(F.size("places") > 0)
+        pairs = pairs.where(F.size(F.array_distinct(F.transform("met", lambda x: x["anchor"]))) >= support).select("doc_id", "item_id", places.alias("places"))
         return self._verified(pairs, "near-candidates", window - 1, slack, window, least)

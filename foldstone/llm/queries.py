@@ -62,6 +62,27 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares
 
 
+def p8_held(spark: SparkSession, d: str) -> DataFrame:
+    """What a mix promises, by target: whether documents can fill it, its share kept within two texts of each pattern it draws on, and no document used too often."""
+    m = mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    largest = m.chosen.groupBy("source").agg(F.max("tokens").alias("largest"))
+    drawn: dict[str, int] = {}
+    for _, source in m.plan.route:
+        drawn[source] = drawn.get(source, 0) + 1
+    patterns = spark.createDataFrame(list(drawn.items()) or [("", 0)], "source string, patterns bigint")
+    slack = 2 * F.coalesce("largest", F.lit(0)) * F.coalesce("patterns", F.lit(0))
+    held = m.shares.join(largest, "source", "left").join(patterns, "source", "left")
+    return held.select("source", (F.col("actual_tokens") > 0).alias("filled"), (F.abs(F.col("actual_tokens") - F.col("quota_tokens")) <= slack).alias("within_quota"), (F.col("most_uses") <= F.col("max_repeats")).alias("within_repeats"))
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Every chosen document once, by its own source and text: none of another source, none without text."""
+    m = mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    docs = table(spark, d, "documents").select("doc_id", N.word("source").alias("own"), F.length("text").alias("n"))
+    kept = m.chosen.join(docs, "doc_id")
+    return kept.groupBy("source").agg((F.count("*") == F.count_distinct("doc_id")).alias("once"), F.count_if((F.col("own") != F.col("source")) | (F.col("n") == 0)).alias("astray"))
+
+
 def _reviews(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text", N.word("item").alias("item"))
 
@@ -83,6 +104,8 @@ QUERIES = {
     "p7_items": p7_items,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_held": p8_held,
+    "p8_sources": p8_sources,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
 }
@@ -93,7 +116,12 @@ with r as (
   union all select 'blob_locations', location_id, {N.sql_word("volume_id")}, {N.sql_digest("blake3")} from blob_locations where blake3 is not null),
 """
 
+_FILLED = f"""with t as (select distinct {N.sql_word("source")} as source from mix_targets), h as (select distinct {N.sql_word("source")} as source from documents where text <> '')
+"""
+
 ORACLES = {
+    "p8_held": _FILLED + "select source, h.source is not null as filled, true as within_quota, true as within_repeats from t left join h using (source)",
+    "p8_sources": _FILLED + "select source, true as once, 0 as astray from t join h using (source)",
     "p2_found": f"""{_RECORDS}f as (select *, min(row_id) over (partition by src_table, scope, key) as first from r)
 select src_table, row_id from f where row_id > first""",
     "p2_answers": f"""{_RECORDS}s as (select src_table, min(row_id) as a, max(row_id) as b from r group by all),
