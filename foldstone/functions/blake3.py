@@ -1,9 +1,9 @@
-"""BLAKE3 digests on executors, vectorised over the chunks of a value."""
+"""BLAKE3 digests on executors, vectorised over the chunks of all values of a batch."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,38 +39,62 @@ def _compress(cv: np.ndarray, words: np.ndarray, counter: np.ndarray, length: np
     return np.stack([v[i] ^ v[i + 8] for i in range(8)], axis=1)
 
 
-def digest(data: bytes) -> str:
-    """64 hex digits."""
-    chunks = max(1, -(-len(data) // CHUNK))
-    padded = np.zeros(chunks * CHUNK, dtype=np.uint8)
-    padded[: len(data)] = np.frombuffer(data, dtype=np.uint8)
-    words = padded.view("<u4").reshape(chunks, CHUNK // BLOCK, 16)
-    sizes = np.full(chunks, CHUNK)
-    sizes[-1] = len(data) - (chunks - 1) * CHUNK
+def digests(values: list[bytes]) -> list[str]:
+    """64 hex digits for each value: the chunks of all values go through every block together, then the pairs of each level of all trees."""
+    if not values:
+        return []
+    lengths = np.array([len(v) for v in values], dtype=np.int64)
+    chunks = np.maximum(1, -(-lengths // CHUNK))
+    first = np.cumsum(chunks) - chunks
+    padded = np.zeros(int(chunks.sum()) * CHUNK, dtype=np.uint8)
+    for v, at in zip(values, (first * CHUNK).tolist(), strict=True):
+        padded[at : at + len(v)] = np.frombuffer(v, dtype=np.uint8)
+    words = padded.view("<u4").reshape(-1, CHUNK // BLOCK, 16)
+    of = np.repeat(np.arange(len(values)), chunks)
+    counter = (np.arange(len(of)) - first[of]).astype(np.uint64)
+    sizes = np.minimum(CHUNK, lengths[of] - counter.astype(np.int64) * CHUNK)
     last = np.maximum(1, -(-sizes // BLOCK)) - 1
-    cv = np.tile(np.array(IV, dtype=np.uint32), (chunks, 1))
-    counter = np.arange(chunks, dtype=np.uint64)
+    cv = np.tile(np.array(IV, dtype=np.uint32), (len(of), 1))
     for b in range(int(last.max()) + 1):
-        on = last >= b
-        flags = np.where(b == 0, START, 0) + np.where(last[on] == b, END + (ROOT if chunks == 1 else 0), 0)
+        on = np.flatnonzero(last >= b)
+        flags = np.where(b == 0, START, 0) + np.where(last[on] == b, END + np.where(chunks[of[on]] == 1, ROOT, 0), 0)
         cv[on] = _compress(cv[on], words[on, b], counter[on], np.clip(sizes[on] - b * BLOCK, 0, BLOCK), flags)
 
-    zero = np.zeros(1, dtype=np.uint64)
-    nodes, root = cv, chunks == 1
-    while not root:
-        pairs = len(nodes) // 2
-        root = len(nodes) == 2
-        joined = nodes[: 2 * pairs].reshape(pairs, 16)
-        up = _compress(np.tile(np.array(IV, dtype=np.uint32), (pairs, 1)), joined, np.repeat(zero, pairs), np.full(pairs, BLOCK), np.full(pairs, PARENT + (ROOT if root else 0)))
-        nodes = np.concatenate([up, nodes[2 * pairs :]])
-    return nodes[0].astype("<u4").tobytes().hex()
+    count = chunks
+    while (count > 1).any():  # one level: neighbours of one value pair up, an odd last node goes up as it is
+        start = np.cumsum(count) - count
+        of = np.repeat(np.arange(len(count)), count)
+        place = np.arange(len(of)) - start[of]
+        left = np.flatnonzero((place % 2 == 0) & (place + 1 < count[of]))
+        joined = np.concatenate([cv[left], cv[left + 1]], axis=1)
+        flags = PARENT + np.where(count[of[left]] == 2, ROOT, 0)
+        cv[left] = _compress(np.tile(np.array(IV, dtype=np.uint32), (len(left), 1)), joined, np.zeros(len(left), dtype=np.uint64), np.full(len(left), BLOCK), flags)
+        cv = cv[place % 2 == 0]
+        count = (count + 1) // 2
+    return [row.tobytes().hex() for row in cv.astype("<u4")]
+
+
+def digest(data: bytes) -> str:
+    return digests([data])[0]
+
+
+#: Bytes, rounded up to chunks, that are laid out at once.
+ROOM = 64 << 20
 
 
 def blake3(c: Column | str) -> Column:
     """The BLAKE3 digest of a text or binary column; NULL for NULL."""
 
-    @F.pandas_udf("string")
-    def hashed(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else digest(bytes(v)))
-
-    return hashed((F.col(c) if isinstance(c, str) else c).cast("binary"))
+    def hashed(values: pa.Array) -> pa.Array:
+        out, held, room = [], [], 0
+        for v in values.drop_null().to_pylist():
+            if held and room + len(v) + CHUNK > ROOM:
+                out += digests(held)
+                held, room = [], 0
+            held.append(v)
+            room += len(v) + CHUNK
+        out = iter(out + digests(held))
+        return pa.array([next(out) if ok else None for ok in values.is_valid().to_pylist()], pa.string())
+
+    hashed.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(hashed, "string")((F.col(c) if isinstance(c, str) else c).cast("binary"))

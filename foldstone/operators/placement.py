@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldstone.functions.blake3 import digests
 from foldstone.session import spread
 
 #: Volumes that one placement ranks; each key is hashed once with each of them.
@@ -23,10 +24,10 @@ def alive(volumes: DataFrame) -> list[str]:
     return ids
 
 
-def ranked(key: Column, nodes: list[str], n: int) -> Column:
+def ranked(key: Column, nodes: list[str], n: int, digest: str = "sha256") -> Column:
     """The ``n`` nodes of greatest weight for ``key``, heaviest first; ties keep the nodes' order.
 
-    The weight is the little-endian number in the first 8 bytes of SHA-256(key, node). The nodes come with the
+    The weight is the little-endian number in the first 8 bytes of SHA-256(key, node), or of BLAKE3 with ``digest="blake3"``. The nodes come with the
     function instead of by a join: no pairs leave a row, nothing is shuffled. A NULL key has no weights.
     """
     if not nodes:
@@ -40,7 +41,10 @@ def ranked(key: Column, nodes: list[str], n: int) -> Column:
                 out.append(nodes[:n])
                 continue
             head = k.encode()
-            weights = np.frombuffer(b"".join(sha256(head + v).digest()[:8] for v in named), "<u8")
+            if digest == "blake3":
+                weights = np.frombuffer(bytes.fromhex("".join(x[:16] for x in digests([head + v for v in named]))), "<u8")
+            else:
+                weights = np.frombuffer(b"".join(sha256(head + v).digest()[:8] for v in named), "<u8")
             out.append([nodes[i] for i in np.argsort(~weights, kind="stable")[:n]])
         return pa.array(out, pa.list_(pa.string()))
 
@@ -48,9 +52,9 @@ def ranked(key: Column, nodes: list[str], n: int) -> Column:
     return F.arrow_udf(run, "array<string>")(key)
 
 
-def replicas(keys: DataFrame, nodes: list[str], n: int) -> DataFrame:
+def replicas(keys: DataFrame, nodes: list[str], n: int, digest: str = "sha256") -> DataFrame:
     """``key, volume_id, rank``: up to ``n`` rows a key, rank from 1."""
-    return spread(keys.select("key")).select("key", F.posexplode(ranked(F.col("key"), nodes, n)).alias("rank", "volume_id")).select("key", "volume_id", (F.col("rank") + 1).cast("bigint").alias("rank"))
+    return spread(keys.select("key")).select("key", F.posexplode(ranked(F.col("key"), nodes, n, digest)).alias("rank", "volume_id")).select("key", "volume_id", (F.col("rank") + 1).cast("bigint").alias("rank"))
 
 
 def placement_status(keys: DataFrame, nodes: list[str], n: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldstone.functions import normalise as N
 from foldstone.functions import scalars as S
+from foldstone.functions.blake3 import blake3
 from foldstone.operators import integrity, placement, reads
 from foldstone.operators.changes import apply_changes
 from foldstone.plans.problems import blob_side, catalogue_side, wal_feed
@@ -349,3 +350,16 @@ def audit_events(spark, d):
     """Each audit entry once, however often it was delivered, with message and meta."""
     a = table(spark, d, "audit_log").select("audit_id", "logged_at", N.word("event").alias("event"), N.word("actor").alias("actor"), N.decoded_key("target").alias("target"), "message", "meta")
     return a.groupBy("logged_at", "event", "actor", "target", "message", "meta").agg(F.min("audit_id").alias("audit_id"), F.count("*").alias("deliveries"))
+
+
+@query("content_blake3")
+def content_blake3(spark, d):
+    """The digest of every value of the log and the shard it names; no SQL engine here knows BLAKE3, so it is tested against the JVM's."""
+    digest = blake3(F.coalesce("value_bytes", F.lit(b"")))
+    return table(spark, d, "wal_entries").select("entry_id", digest.alias("digest")).select("entry_id", "digest", S.shard_of(F.col("digest"), SHARDS).alias("shard"))
+
+
+@query("hrw_blake3")
+def hrw_blake3(spark, d):
+    """Placement by BLAKE3 weights."""
+    return placement.replicas(catalogue_side(spark, d, lines=False), placement.alive(volumes(spark, d)), RF, "blake3")

@@ -4,9 +4,10 @@ import random
 import struct
 
 import pytest
-from conftest import rows
+from conftest import DATA, rows
 from pyspark.sql import functions as F
 
+from foldstone import cli
 from foldstone.functions import blake3, crypto
 from foldstone.functions import normalise as N
 from foldstone.functions import scalars as S
@@ -46,6 +47,48 @@ def test_store_survives_a_crash_before_the_swap(spark):
     assert rows(s.state().select("key")) == [("key1",)] and s.next_seq() == 4
 
 
+def test_put_get_delete_and_time_to_live(spark):
+    s = Store(spark, scratch(spark, "store3"))
+    assert s.get("k") is None and s.delete("k") == 0 and s.put("k", b"1", 100, 50) == 1
+    assert s.get("k", 150) == b"1" and s.get("k", 151) is None
+    assert s.put("k", b"2") == 2 and s.put("q", b"") == 3 and s.get("k", 10**12) == b"2" and s.get("q") == b""
+    s.compact(0)
+    assert s.get("k") == b"2" and s.delete("k") == 4 and s.get("k") is None and s.next_seq() == 5
+
+
+def test_the_log_is_trimmed_and_sequences_go_on(spark):
+    s = Store(spark, scratch(spark, "store4"))
+    s.append(log(spark))
+    s.append(log(spark, [(3, "put", "key3", b"3", None, None)]))
+    name = s.write_generation(0)
+    s.append(log(spark, [(4, "put", "key4", b"4", None, None)]))
+    s.swap(name)
+    assert [n.split("-")[0] for n in s.trim()] == ["log/upto", "log/upto"] and s.log().count() == 1
+    assert rows(s.state().select("key", "seq")) == [("key2", 1), ("key3", 3), ("key4", 4)] and s.next_seq() == 5
+    s.compact(0)
+    assert s.log().count() == 0 and s.next_seq() == 5 and s.state().count() == 3 and len([n for n in s._names(s.root) if n.startswith("gen-")]) == 1
+    s.append(log(spark, []))  # nothing
+    assert s.next_seq() == 5 and s.put("key4", b"new") == 5 and s.get("key4") == b"new" and s.get("key2") is not None
+
+
+def test_an_append_that_failed_is_not_there(spark):
+    s = Store(spark, scratch(spark, "store5"))
+    spark.createDataFrame([(9, "put", "k", b"x", None, None)], LOG).write.parquet(f"{s.root}/aside/left")
+    assert s.log().count() == 0 and s.next_seq() == 0
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "local_session", lambda **_: spark)
+    root = str(tmp_path / "s")
+    run = lambda *a: cli.main([*a, "--now-ms", "1000"])
+    assert run("put", root, "k", "é", "--ttl-ms", "5") == 0 and run("get", root, "k") == 0 and run("get", root, "none") == 1
+    assert cli.main(["get", root, "k", "--now-ms", "1006"]) == 1 and run("delete", root, "k") == 0 and run("get", root, "k") == 1 and run("compact", root) == 0
+    assert "é" in capsys.readouterr().out
+    assert cli.main(["verify", DATA]) == 0 and "total_keys" in capsys.readouterr().out
+    assert cli.main(["repair", DATA, "--out", str(tmp_path / "plan")]) == 0 and spark.read.parquet(str(tmp_path / "plan")).count() > 0
+    assert cli.main(["list"]) == 0 and "p4_found" in capsys.readouterr().out
+
+
 def test_delete_then_put_then_snapshot_keeps_the_key(spark):
     s = Store(spark, scratch(spark, "store2"))
     s.append(log(spark, [(0, "put", "k", b"1", None, None), (1, "delete", "k", None, None, None), (2, "put", "k", b"2", None, None)]))
@@ -84,6 +127,8 @@ def test_blake3_known_digests_and_the_jvm(spark):
     for n in (1, 63, 64, 65, 1023, 1024, 1025, 2048, 2049, 5000, 31745, 102400):
         data = bytes(i % 251 for i in range(n))
         assert blake3.digest(data) == bytes(jvm.hash(bytearray(data))).hex(), n
+    many = [bytes(i % 251 for i in range(n)) for n in (0, 5000, 1, 1024, 1025, 0, 64, 3 * 1024, 7 * 1024 + 1, 31745)]
+    assert blake3.digests(many) == [bytes(jvm.hash(bytearray(x))).hex() for x in many] and blake3.digests([]) == []
     df = spark.createDataFrame([("abc",), (None,)], "t string")
     assert [r[0] for r in df.select(blake3.blake3("t")).collect()] == [blake3.digest(b"abc"), None]
 
