@@ -11,11 +11,13 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from foldstone.llm.words import visible
 from foldstone.session import broadcast_if_small, materialise, spread
@@ -30,10 +32,12 @@ LEAST = 3
 #: A token's evidence is that of the tokens up to REACH places around it; a page's label is the share of tokens whose evidence is for a list.
 REACH, LIST_FROM, SENTENCES_TO, KNOWN = 4, 0.7, 0.2, 0.5
 
-_WORDY = r"(?P<word>[^\W_]+(?:['’][^\W_]+)*)|(?P<stop>[.!?…]+(?=\s|$)|[。！？])|(?P<line>\n)|(?P<sep>[|;•·,、，；\\/:=]|->|\s[-–—*+]\s)"
+_IS_WORD, _IS_STOP, _IS_SEP = r"[^\W_]+(?:['’][^\W_]+)*", r"[.!?…]+(?=\s|$)|[。！？]", r"[|;•·,、，；\\/:=]|->|\s[-–—*+]\s"
+_WORD, _END, _SEP = re.compile(_IS_WORD), re.compile(f"({_IS_STOP}|\n)"), re.compile(_IS_SEP)
+_WORDY = f"(?P<word>{_IS_WORD})|(?P<stop>{_IS_STOP})|(?P<line>\n)|(?P<sep>{_IS_SEP})"
 _TAGS = r"(?P<tag>[#＃][^\W_]+(?:_+[^\W_]+)*)|"
 _LINKS = r"(?P<link>(?:h(?:tt|xx)ps?://|www\.)\S+|(?<![\w.@-])[\w-]{1,63}(?:\.[\w-]{1,63}){0,8}\.[a-z]{2,15}(?:/\S*)?(?=[\s|,;<>\")\]!?.:]|$))|"
-_PLAIN, _TAGGED, _LINKED = re.compile(_WORDY), re.compile(_TAGS + _WORDY), re.compile(_LINKS + _TAGS + _WORDY)
+_TAGGED, _LINKED = re.compile(_TAGS + _WORDY), re.compile(_LINKS + _TAGS + _WORDY)
 _DOMAIN = re.compile(r"(?:\w+://)?(?:www\.)?([^/\s?#]+)")
 _DOTTED = re.compile(r"\.[a-z]{2}")
 
@@ -56,7 +60,27 @@ def stretches(text: str | None) -> list[Stretch]:
     """The text cut once, in linear time. A list with an item a line is one stretch."""
     text = visible(text or "").lower()
     text = text if text.isascii() else unicodedata.normalize("NFKC", text)
-    pattern = _LINKED if "://" in text or _DOTTED.search(text) else _TAGGED if "#" in text else _PLAIN
+    linked = "://" in text or _DOTTED.search(text) is not None
+    out = _marked(text, _LINKED if linked else _TAGGED) if linked or "#" in text else _plain(text)
+    return _joined(out) if len(out) > 2 else out
+
+
+def _plain(text: str) -> list[Stretch]:
+    """The stretches of a text without links and tags, split by whole patterns."""
+    out: list[Stretch] = []
+    cut = _END.split(text)
+    for piece, end in zip(cut[::2], [*cut[1::2], "\n"], strict=True):
+        if not (tokens := _WORD.findall(piece)):
+            continue
+        now = Stretch()
+        now.tokens, now.lined, now.stopped = tokens, end == "\n", end != "\n"
+        now.parts = [len(_WORD.findall(x)) for x in _SEP.split(piece)] if _SEP.search(piece) else [len(tokens)]
+        out.append(now)
+    return out
+
+
+def _marked(text: str, pattern: re.Pattern) -> list[Stretch]:
+    """The stretches of a text in which links, or tags, are told from words."""
     out: list[Stretch] = []
     now = Stretch()
     for m in pattern.finditer(text):
@@ -81,7 +105,7 @@ def stretches(text: str | None) -> list[Stretch]:
     if now.tokens:
         now.lined = True
         out.append(now)
-    return _joined(out) if len(out) > 2 else out
+    return out
 
 
 def _joined(parts: list[Stretch]) -> list[Stretch]:
@@ -156,27 +180,46 @@ def measures(cut: list[Stretch], shapes: list[int]) -> list[float]:
     ]
 
 
-def _generic(token: str) -> str:
-    return token[0] if token[0] in "@#" else ""
+#: Two bits of a token's hash say what it is; a hash that is nothing else stands for all of its kind, and the fourth for every page.
+_LINK_TOKEN, _TAG_TOKEN, _ANY = 1, 2, 3
+
+
+class _Hashes(dict):
+    """64-bit hashes of tokens, those met before remembered."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > _FLUSH:
+            self.clear()
+        kind = _LINK_TOKEN if token[0] == "@" else _TAG_TOKEN if token[0] == "#" else 0
+        self[token] = made = (xxh3_64_intdigest(token) & ~3 | kind) - (1 << 63)
+        return made
+
+
+def _generic(kind: int) -> int:
+    return kind - (1 << 63)
 
 
 #: Distinct tokens that a task counts before it hands them on.
 _FLUSH = 300_000
 
-_PAGE = "doc_id bigint, host string, f array<double>, tokens array<string>, kinds array<tinyint>, word string, listed bigint, said bigint"
+_PAGE = "doc_id bigint, host string, f array<double>, tokens array<bigint>, kinds array<tinyint>, word bigint, listed bigint, said bigint"
 
 
 def _cut_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One pass over the texts: a row a page, and the tokens of clear lists and clear sentences counted by pages."""
     counts = {LIST: Counter(), SENTENCE: Counter()}
     names = [c.split()[0] for c in _PAGE.split(", ")]
-    lists = lambda values, kind: pa.array(values, pa.list_(kind))
+    hashed = _Hashes()
+
+    def lists(values: list[list], kind: pa.DataType) -> pa.Array:
+        ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(list(chain.from_iterable(values)), dtype=kind.to_pandas_dtype())))
 
     def counted() -> pa.RecordBatch:
         words = list(counts[LIST].keys() | counts[SENTENCE].keys())
         n = len(words)
-        nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.int8()))]
-        return pa.RecordBatch.from_arrays([*nothing, pa.array(words, pa.string()), *(pa.array([counts[k][w] for w in words], pa.int64()) for k in (LIST, SENTENCE))], names)
+        nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int8()))]
+        return pa.RecordBatch.from_arrays([*nothing, pa.array(words, pa.int64()), *(pa.array([counts[k][w] for w in words], pa.int64()) for k in (LIST, SENTENCE))], names)
 
     for batch in batches:
         found, tokens, kinds = [], [], []
@@ -184,57 +227,48 @@ def _cut_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = stretches(text)
             shapes = [shape(s) for s in cut]
             found.append(measures(cut, shapes))
-            tokens.append([t for s in cut for t in s.tokens])
-            kinds.append([x for s, k in zip(cut, shapes, strict=True) for x in (k,) * len(s.tokens)])
+            codes = [[hashed[t] for t in s.tokens] for s in cut]
+            tokens.append([*chain.from_iterable(codes)])
+            kinds.append([*chain.from_iterable([k] * len(s.tokens) for s, k in zip(cut, shapes, strict=True))])
             for kind in {*shapes} - {UNCLEAR}:
-                own = {t for s, k in zip(cut, shapes, strict=True) if k == kind for t in s.tokens}
+                own = set().union(*(c for c, k in zip(codes, shapes, strict=True) if k == kind))
                 if any(s.links or s.tags for s in cut):
-                    own |= {*map(_generic, own)} - {""}
+                    own |= {_generic(t & 3) for t in own if t & 3}
+                own.add(_generic(_ANY))  # the pages that have any
                 counts[kind].update(own)
-                counts[kind]["*"] += 1  # the pages that have any
         n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), lists(found, pa.float64()), lists(tokens, pa.string()), lists(kinds, pa.int8()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), lists(found, pa.float64()), lists(tokens, pa.int64()), lists(kinds, pa.int8()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
         if len(counts[LIST]) + len(counts[SENTENCE]) > _FLUSH:
             yield counted()
             counts = {LIST: Counter(), SENTENCE: Counter()}
     yield counted()
 
 
-def evidence(counts: dict[str, tuple[int, int]], least: int = LEAST):
+def evidence(counts: dict[int, tuple[int, int]], least: int = LEAST):
     """A function over Arrow arrays that gives, of each page, the share of tokens whose surroundings speak for a list, and the share of tokens known.
 
-    ``counts``: pages that have a token in a clear list, and in a clear sentence; ``*`` counts all. A token weighs the log of how
+    ``counts``: pages that have a token in a clear list, and in a clear sentence. A token weighs the log of how
     much likelier lists are to have it than sentences, from -3 to 3, without the page's own stretch; a link or tag that
     too few pages have weighs as links or tags do.
     """
-    words = list(counts)
-    at = pa.array(words, pa.string())
-    table = np.array([counts[w] for w in words] or [(0, 0)], dtype=np.float64).reshape(-1, 2)
-    whole = np.maximum(np.array(counts.get("*", (0, 0)), dtype=np.float64), 1.0)
-
-    def found(values: pa.Array) -> np.ndarray:
-        import pyarrow.compute as pc
-
-        return pc.fill_null(pc.index_in(values, value_set=at), -1).to_numpy(zero_copy_only=False)
-
-    def own_counts(place: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        of = np.where((place >= 0)[:, None], table[place], 0.0)
+    words = np.array(sorted(counts), dtype=np.int64)
+    table = np.array([counts[w] for w in words.tolist()] or [(0, 0)], dtype=np.float64).reshape(-1, 2)
+    whole = np.maximum(np.array(counts.get(_generic(_ANY), (0, 0)), dtype=np.float64), 1.0)
+
+    def own_counts(codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(words, codes)
+        there = (place < len(words)) & (words[np.minimum(place, len(words) - 1)] == codes) if len(words) else np.zeros(len(codes), bool)
+        of = np.where(there[:, None], table[np.minimum(place, len(table) - 1)], 0.0)
         of[:, 0] -= kinds == LIST
         of[:, 1] -= kinds == SENTENCE
         return np.maximum(of, 0.0)
 
     def run(tokens: pa.Array, kinds: pa.Array) -> pa.Array:
         sizes = np.diff(tokens.offsets.to_numpy())
-        coded = tokens.flatten().dictionary_encode()
-        codes, own = coded.indices.to_numpy(), kinds.flatten().to_numpy()
-        if not len(codes):
-            return pa.StructArray.from_arrays([pa.array(np.zeros(len(sizes))), pa.array(np.zeros(len(sizes)))], ["share", "known"])
-        terms = coded.dictionary
-        place = found(terms)
-        generic = found(pa.array([_generic(t) for t in terms.to_pylist()], pa.string()))
-        of, wide = own_counts(place[codes], own), own_counts(generic[codes], own)
-        rare = of.sum(axis=1) < least
-        of[rare] = wide[rare]
+        codes, own = tokens.flatten().to_numpy(), kinds.flatten().to_numpy()
+        of = own_counts(codes, own)
+        rare = np.flatnonzero((of.sum(axis=1) < least) & (codes & 3 > 0))
+        of[rare] = own_counts((codes[rare] & 3) + np.int64(-(1 << 63)), own[rare])
         known = of.sum(axis=1) >= least
         rate = (of + 0.5) / (whole + 1.0)
         weight = np.where(known, np.clip(np.log(rate[:, 0] / rate[:, 1]), -3.0, 3.0), 0.0)

@@ -41,6 +41,12 @@ def test_clear_sentences(text):
     assert {spam.shape(s) for s in stretches(text)} == {SENTENCE}
 
 
+@pytest.mark.parametrize("text", ["Plain words, here: some | more; and... an end! No stop\nnext line\n\nlast = one", "a 。b。c", " - a - b * c\n", "it's: \n , x"])
+def test_both_ways_to_cut_agree(text):
+    shown = lambda cut: [(s.tokens, s.parts, s.stopped, s.lined) for s in cut]
+    assert shown(spam._plain(text)) == shown(spam._marked(text, spam._LINKED)) == shown(spam._marked(text, spam._TAGGED))
+
+
 @pytest.mark.parametrize("text", [None, "", "!!!", " \n\n "])
 def test_texts_without_words(text):
     assert stretches(text) == [] and spam.measures([], []) == [0.0] * len(FEATURES)
@@ -48,11 +54,13 @@ def test_texts_without_words(text):
 
 def test_labels_come_from_other_pages_only():
     """A word is worth what the other pages do with it: the page's own stretch is taken out again."""
-    counts = {"*": (50, 50), "tent": (9, 1), "the": (1, 9), "alone": (4, 0)}
-    of = lambda tokens, kinds: spam.evidence(counts)(pa.array([tokens], pa.list_(pa.string())), pa.array([kinds], pa.list_(pa.int8())))[0].as_py()
+    code = spam._Hashes()
+    counts = {spam._generic(spam._ANY): (50, 50), code["tent"]: (9, 1), code["the"]: (1, 9), code["alone"]: (4, 0), spam._generic(spam._TAG_TOKEN): (9, 1)}
+    of = lambda tokens, kinds: spam.evidence(counts)(pa.array([[code[t] for t in tokens]], pa.list_(pa.int64())), pa.array([kinds], pa.list_(pa.int8())))[0].as_py()
     assert of(["tent"] * 9, [LIST] * 9) == {"share": 1.0, "known": 1.0} and of(["the"] * 9, [LIST] * 9) == {"share": 0.0, "known": 1.0}
     assert of(["alone"] * 3, [LIST] * 3)["known"] == 1.0 and of(["never", "said"], [LIST] * 2) == {"share": 0.0, "known": 0.0}
-    counts["alone"] = (3, 0)
+    assert of(["#never"], [LIST]) == {"share": 1.0, "known": 1.0} and of(["@never"], [LIST]) == {"share": 0.0, "known": 0.0}  # as tags do; of links nothing is known
+    counts[code["alone"]] = (3, 0)
     assert of(["alone"] * 3, [LIST] * 3) == {"share": 0.0, "known": 0.0}  # three pages, of which one is this
 
 
