@@ -9,9 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -130,65 +128,17 @@ def _joined(parts: list[Stretch]) -> list[Stretch]:
     return out
 
 
-def shape(s: Stretch) -> int:
-    """What the form of a stretch says without knowing any word."""
-    size, kinds = len(s.tokens), len(set(s.tokens))
-    marked = s.links + s.tags
-    parts = [n for n in s.parts if n] if len(s.parts) > 1 else s.parts
-    if size >= 4 and (marked >= 0.4 * size or (size >= 8 and kinds <= 0.5 * size) or (len(parts) >= 4 and sum([n for n in parts if n <= 3]) >= 0.8 * size)):
-        return LIST
-    if s.stopped and not marked and size >= 5 and kinds >= 0.7 * size and size >= 3 * len(parts):
-        return SENTENCE
-    return UNCLEAR
-
-
-def measures(cut: list[Stretch], shapes: list[int]) -> list[float]:
-    """The features of a page, most of them shares of its tokens. Stretches that repeat as a whole count once where repetition is measured."""
-    total = sum(len(s.tokens) for s in cut)
-    if not total:
-        return [0.0] * len(FEATURES)
-    links = tags = parts = stops = unstopped = itemised = said = listed = short = anchored = 0
-    for s, kind in zip(cut, shapes, strict=True):
-        n = len(s.tokens)
-        links, tags, parts, stops = links + s.links, tags + s.tags, parts + len(s.parts) - 1, stops + s.stopped
-        unstopped += 0 if s.stopped else n
-        if len(s.parts) >= 4:
-            itemised += sum([x for x in s.parts if x <= 3])
-        if kind == SENTENCE:
-            said += n
-        elif kind == LIST:
-            listed += n
-        if n <= 3:
-            short += n
-        if s.links and n <= 7 * s.links:
-            anchored += n
-    once = {" ".join(s.tokens): s.tokens for s in cut} if len(cut) > 1 else {"": cut[0].tokens}
-    distinct = sum(map(len, once.values()))
-    counts: Counter = Counter()
-    pairs: set = set()
-    small = 0
-    for ws in once.values():
-        counts.update(ws)
-        pairs.update(zip(ws, ws[1:], strict=False))
-        small += len([w for w in ws if len(w) <= 3])
-    recurring = sum([n for n in counts.values() if n >= 3])
-    follow = max(1, distinct - len(once))
-    return [
-        links / total, tags / total, parts / total, stops / total, unstopped / total, itemised / total, said / total, listed / total,
-        len(counts) / distinct, max(counts.values()) / distinct, recurring / distinct, 1 - min(1.0, len(pairs) / follow), small / distinct, short / total,
-        float(np.log1p(total / len(cut))), anchored / total, float(np.log1p(total)),
-    ]
-
-
 #: Two bits of a token's hash say what it is; a hash that is nothing else stands for all of its kind, and the fourth for every page.
 _LINK_TOKEN, _TAG_TOKEN, _ANY = 1, 2, 3
+#: Distinct tokens whose hashes a task remembers, and tokens that it measures at once.
+_HELD = 500_000
 
 
 class _Hashes(dict):
     """64-bit hashes of tokens, those met before remembered."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > _FLUSH:
+        if len(self) > _HELD:
             self.clear()
         kind = _LINK_TOKEN if token[0] == "@" else _TAG_TOKEN if token[0] == "#" else 0
         self[token] = made = (xxh3_64_intdigest(token) & ~3 | kind) - (1 << 63)
@@ -199,49 +149,120 @@ def _generic(kind: int) -> int:
     return kind - (1 << 63)
 
 
-#: Distinct tokens that a task counts before it hands them on.
-_FLUSH = 300_000
+def _runs(codes: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the distinct codes of each group, in any order: the place of one, and how often it occurs. Both are told apart by one 64-bit mix of them."""
+    if not len(codes):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    with np.errstate(over="ignore"):
+        key = codes.view(np.uint64) ^ ((group.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        key = (key ^ (key >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    order = np.argsort(key)
+    sorted_ = key[order]
+    at = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    return order[at], np.diff(at, append=len(order))
+
+
+class Forms:
+    """Many pages, cut into stretches, measured together: ``features`` (a row a page), ``kinds`` (of each stretch) and the tokens.
+
+    Features are mostly shares of a page's tokens. Stretches that repeat as a whole count once where repetition is measured.
+    """
+
+    def __init__(self, pages: list[list[Stretch]], hashed: _Hashes | None = None):
+        hashed = _Hashes() if hashed is None else hashed
+        every = [s for page in pages for s in page]
+        self.page = np.repeat(np.arange(len(pages)), [len(page) for page in pages])
+        self.n = n = np.array([len(s.tokens) for s in every], dtype=np.int64)
+        words = [t for s in every for t in s.tokens]
+        self.codes = codes = np.array([hashed[t] for t in words], dtype=np.int64)
+        self.of = of = np.repeat(np.arange(len(every)), n)
+        links, tags, stopped = (np.array([getattr(s, x) for s in every], dtype=np.int64) for x in ("links", "tags", "stopped"))
+        cut = np.array([len(s.parts) for s in every], dtype=np.int64)
+        part, part_of = np.array([x for s in every for x in s.parts], dtype=np.int64), np.repeat(np.arange(len(every)), cut)
+        by_stretch = lambda at, weights=None: np.bincount(at, weights=weights, minlength=len(every))
+        by_page = lambda weights: np.bincount(self.page, weights=weights, minlength=len(pages))
+
+        first, _ = _runs(codes, of)
+        distinct, marked = by_stretch(of[first]), links + tags
+        filled, in_small = by_stretch(part_of, part > 0), by_stretch(part_of, part * (part <= 3))
+        lists = (n >= 4) & ((marked >= 0.4 * n) | ((n >= 8) & (distinct <= 0.5 * n)) | ((filled >= 4) & (in_small >= 0.8 * n)))
+        said = ~lists & (stopped > 0) & (marked == 0) & (n >= 5) & (distinct >= 0.7 * n) & (n >= 3 * filled)
+        self.kinds = np.where(lists, LIST, np.where(said, SENTENCE, UNCLEAR)).astype(np.int8)
+
+        # a stretch's tokens in their order as one number: equal ones of a page count once
+        place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        with np.errstate(over="ignore"):
+            weight = (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes.view(np.uint64) * weight, dtype=np.uint64)])
+            ends = np.cumsum(n)
+            whole = sums[ends] - sums[ends - n]
+            follows = np.flatnonzero(place[1:] > 0)
+            pair = codes.view(np.uint64)[follows] * np.uint64(0xBF58476D1CE4E5B9) + codes.view(np.uint64)[follows + 1]
+        once = np.zeros(len(every), dtype=bool)
+        once[_runs(whole, self.page)[0]] = True
+        kept, page_of = once[of], self.page[of]
+        seen, often = _runs(codes[kept], page_of[kept])
+        word_page = page_of[kept][seen]
+        sums_of = lambda at, weights=None: np.bincount(at, weights=weights, minlength=len(pages))
+        again = kept[follows]
+        pairs = sums_of(page_of[follows][again][_runs(pair[again], page_of[follows][again])[0]])
+        top = np.zeros(len(pages))
+        np.maximum.at(top, word_page, often)
+        small = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) <= 3
+        held = by_page(n * once)
+        total, some = np.maximum(by_page(n), 1), np.maximum(held, 1)
+        columns = [
+            by_page(links) / total, by_page(tags) / total, by_page(cut - 1) / total, by_page(stopped) / total, by_page(n * (stopped == 0)) / total, by_page(in_small * (cut >= 4)) / total, by_page(n * said) / total, by_page(n * lists) / total,
+            sums_of(word_page) / some, top / some, sums_of(word_page, often * (often >= 3)) / some, 1 - np.minimum(1.0, pairs / np.maximum(1, held - by_page(once))), sums_of(page_of[kept], small[kept]) / some, by_page(n * (n <= 3)) / total,
+            np.log1p(total / np.maximum(1, by_page(np.ones(len(every))))), by_page(n * ((links > 0) & (n <= 7 * links))) / total, np.log1p(by_page(n)),
+        ]
+        self.features = np.stack(columns, axis=1) * (by_page(n) > 0)[:, None]
+
+    def tokens_by_kind(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of clear lists, then of clear sentences: the tokens of each page once, with how many pages have each; links, tags and all pages too."""
+        out = []
+        for kind in (LIST, SENTENCE):
+            on = self.kinds[self.of] == kind
+            page, codes = self.page[self.of][on], self.codes[on]
+            classes = (codes & 3) > 0
+            page = np.concatenate([page, page[classes], page])
+            codes = np.concatenate([codes, (codes[classes] & 3) + np.int64(_generic(0)), np.full(len(codes), _generic(_ANY), dtype=np.int64)])
+            first, _ = _runs(codes, page)
+            out.append(np.unique(codes[first], return_counts=True))
+        return out
+
 
 _PAGE = "doc_id bigint, host string, f array<double>, tokens array<bigint>, kinds array<tinyint>, word bigint, listed bigint, said bigint"
 
 
 def _cut_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pass over the texts: a row a page, and the tokens of clear lists and clear sentences counted by pages."""
-    counts = {LIST: Counter(), SENTENCE: Counter()}
+    """One pass over the texts: a row a page, and rows of tokens of clear lists and clear sentences with the pages that have them."""
     names = [c.split()[0] for c in _PAGE.split(", ")]
     hashed = _Hashes()
 
-    def lists(values: list[list], kind: pa.DataType) -> pa.Array:
-        ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(list(chain.from_iterable(values)), dtype=kind.to_pandas_dtype())))
-
-    def counted() -> pa.RecordBatch:
-        words = list(counts[LIST].keys() | counts[SENTENCE].keys())
-        n = len(words)
-        nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int8()))]
-        return pa.RecordBatch.from_arrays([*nothing, pa.array(words, pa.int64()), *(pa.array([counts[k][w] for w in words], pa.int64()) for k in (LIST, SENTENCE))], names)
+    def lists(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
+    def measured(rows: pa.RecordBatch, cut: list[list[Stretch]]) -> Iterator[pa.RecordBatch]:
+        forms, n = Forms(cut, hashed), len(cut)
+        sizes = np.bincount(forms.page, weights=forms.n, minlength=n).astype(np.int64)
+        features = lists(np.full(n, len(FEATURES)), forms.features.ravel())
+        nothing = pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("host"), features, lists(sizes, forms.codes), lists(sizes, forms.kinds[forms.of]), nothing, nothing, nothing], names)
+        for k, (codes, pages) in enumerate(forms.tokens_by_kind()):
+            n = len(codes)
+            none = [pa.nulls(n, t) for t in (pa.int64(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int8()))]
+            both = [pa.array(pages), pa.array(np.zeros(n, dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(codes), *(both if k == 0 else both[::-1])], names)
 
     for batch in batches:
-        found, tokens, kinds = [], [], []
-        for text in batch.column("text").to_pylist():
-            cut = stretches(text)
-            shapes = [shape(s) for s in cut]
-            found.append(measures(cut, shapes))
-            codes = [[hashed[t] for t in s.tokens] for s in cut]
-            tokens.append([*chain.from_iterable(codes)])
-            kinds.append([*chain.from_iterable([k] * len(s.tokens) for s, k in zip(cut, shapes, strict=True))])
-            for kind in {*shapes} - {UNCLEAR}:
-                own = set().union(*(c for c, k in zip(codes, shapes, strict=True) if k == kind))
-                if any(s.links or s.tags for s in cut):
-                    own |= {_generic(t & 3) for t in own if t & 3}
-                own.add(_generic(_ANY))  # the pages that have any
-                counts[kind].update(own)
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), lists(found, pa.float64()), lists(tokens, pa.int64()), lists(kinds, pa.int8()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
-        if len(counts[LIST]) + len(counts[SENTENCE]) > _FLUSH:
-            yield counted()
-            counts = {LIST: Counter(), SENTENCE: Counter()}
-    yield counted()
+        start, held, cut = 0, 0, []
+        for at, text in enumerate(batch.column("text")):
+            cut.append(stretches(text.as_py()))
+            held += sum([len(s.tokens) for s in cut[-1]])
+            if held > _HELD or at == batch.num_rows - 1:
+                yield from measured(batch.slice(start, at + 1 - start), cut)
+                start, held, cut = at + 1, 0, []
 
 
 def evidence(counts: dict[int, tuple[int, int]], least: int = LEAST):

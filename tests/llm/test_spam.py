@@ -16,8 +16,7 @@ S = "doc_id bigint, text string, host string"
 @pytest.mark.parametrize("text", ["a-" * 200_000, "a." * 200_000, "<!--" * 100_000, "x@" * 100_000, "." * 300_000, "www." * 100_000, "a\n" * 200_000, "#a" * 200_000])
 def test_long_odd_texts_take_linear_time(text):
     began = time.process_time()
-    cut = stretches(text)
-    spam.measures(cut, [spam.shape(s) for s in cut])
+    spam.Forms([stretches(text)])
     assert time.process_time() - began < 20
 
 
@@ -33,12 +32,12 @@ def test_long_odd_texts_take_linear_time(text):
     ],
 )
 def test_clear_lists(text):
-    assert {spam.shape(s) for s in stretches(text)} == {LIST}
+    assert {*spam.Forms([stretches(text)]).kinds} == {LIST}
 
 
 @pytest.mark.parametrize("text", ["The lid broke after two days. The lid broke after two days.", "Nobody there answered my mails, so it went back and the money never came!", "Das Gerät läuft seit drei Wochen ohne jede Störung."])
 def test_clear_sentences(text):
-    assert {spam.shape(s) for s in stretches(text)} == {SENTENCE}
+    assert {*spam.Forms([stretches(text)]).kinds} == {SENTENCE}
 
 
 @pytest.mark.parametrize("text", ["Plain words, here: some | more; and... an end! No stop\nnext line\n\nlast = one", "a 。b。c", " - a - b * c\n", "it's: \n , x"])
@@ -49,7 +48,20 @@ def test_both_ways_to_cut_agree(text):
 
 @pytest.mark.parametrize("text", [None, "", "!!!", " \n\n "])
 def test_texts_without_words(text):
-    assert stretches(text) == [] and spam.measures([], []) == [0.0] * len(FEATURES)
+    assert stretches(text) == [] and spam.Forms([[]]).features.tolist() == [[0.0] * len(FEATURES)]
+
+
+def test_pages_are_measured_together_as_alone():
+    texts = [None, "One two three. One two three. a b a b a b", "#x #y http://a.test/q, c | d | e | f", "", "It broke after two days, sadly. x; y; z; u", "same same same same same same same same same"] * 3
+    alone = [spam.Forms([stretches(t)]).features[0].tolist() for t in texts]
+    assert spam.Forms([stretches(t) for t in texts]).features.tolist() == alone
+
+
+def test_features_of_a_page():
+    f = dict(zip(FEATURES, spam.Forms([stretches("One two three four five. One two three four five. a b, a b; a b\nhttp://q.test/z")]).features[0].tolist(), strict=True))
+    assert f["links"] == 1 / 17 and f["separators"] == 2 / 17 and f["stops"] == 2 / 17 and f["unstopped"] == 7 / 17 and f["sentences"] == 10 / 17
+    assert f["variety"] == 8 / 12 and f["top"] == 3 / 12 and f["recurring"] == 6 / 12 and f["small"] == 8 / 12 and f["anchored"] == 1 / 17 and f["short"] == 1 / 17
+    assert f["pairs"] == 1 - 6 / 9
 
 
 def test_labels_come_from_other_pages_only():
