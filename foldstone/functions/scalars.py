@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ decode_key = decoded_key
 def format_bytes(c: Column | str) -> Column:
     """``B`` to ``PB`` in steps of 1024 with two decimals, ties to even."""
     size = _col(c).cast("double")
-    units = ["B", "KB", "MB", "GB", "TB", "PB"]
+    units = ["B", "KB", "MB", "GB", "TB", "PB"]  # fixed values
     shown = None
     for i in reversed(range(len(units))):
         text = F.format_string(f"%.2f {units[i]}", F.bround(size / F.lit(float(1024**i)), 2))
@@ -61,10 +63,20 @@ def format_bytes(c: Column | str) -> Column:
     return F.when(size.isNotNull(), shown)
 
 
+# fixed values: the suffixes of durations, in milliseconds
+UNITS = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}
+_DURATION = rf"^\+?([0-9]{{1,18}})({'|'.join(UNITS)})$"
+
+
 def parse_duration(c: Column | str) -> Column:
     """Milliseconds of ``<number>(ms|s|m|h|d)``, trimmed; NULL for anything else."""
-    parts = r"^\+?([0-9]{1,18})(ms|s|m|h|d)$"
     text = F.trim(_col(c))
-    number, unit = F.regexp_extract(text, parts, 1).try_cast("bigint"), F.regexp_extract(text, parts, 2)
-    scale = F.when(unit == "ms", 1).when(unit == "s", 1000).when(unit == "m", 60_000).when(unit == "h", 3_600_000).when(unit == "d", 86_400_000)
+    number, unit = F.regexp_extract(text, _DURATION, 1).try_cast("bigint"), F.regexp_extract(text, _DURATION, 2)
+    scale = F.coalesce(*(F.when(unit == u, F.lit(n)) for u, n in UNITS.items()))
     return F.try_multiply(number, scale.cast("bigint"))
+
+
+def duration_ms(text: str) -> int | None:
+    """The same of one text."""
+    found = re.match(_DURATION, text.strip(" "))
+    return int(found.group(1)) * UNITS[found.group(2)] if found else None

@@ -31,6 +31,7 @@ def batch_results(ops: DataFrame, base: DataFrame | None = None, width: int = 65
     else:
         seen = seen.withColumn("__base", F.lit(None).cast("string"))
     got = F.when(F.col("__seen").isNotNull(), F.col("__seen.v")).otherwise(F.col("__base"))
+    # fixed values: the texts of errors
     error = (
         F.when((F.col("op") == "put") & F.col("value").isNull(), "Missing value for put")
         .when((F.col("op") == "get") & got.isNull(), "Not found")

@@ -41,6 +41,10 @@ def stream_limiter(spark, d):
     return feeds.run_append(feeds.stream_limiter(requests, "user_id", 3, 86_400_000_000), "limiter")
 
 
+def stream_export(spark, d):
+    return spark.read.text(feeds.run_lines(feeds.export_lines(_stream(spark, d, "kv_log")), "export")).select(F.col("value").alias("line"))
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return feeds.file_stream(spark, f"{d.rstrip('/')}/events.parquet", table(spark, d, "events").schema)
 
@@ -94,7 +98,7 @@ def fmt_index(spark, d):
     return _bytes_round(spark, rows, lambda rows: formats.index_snapshot((r.key, int(r.shard), int(r.blob_offset), int(r.size), r.hash, int(r.expires_at)) for r in rows), "index", "kvindex")
 
 
-QUERIES = {"watch_events": watch_events, "watch_filtered": watch_filtered, "stream_state": stream_state, "stream_limiter": stream_limiter, "stream_tumbling": stream_tumbling, "stream_sliding": stream_sliding, "stream_sessions": stream_sessions, "fmt_wal": fmt_wal, "fmt_segment": fmt_segment, "fmt_index": fmt_index}
+QUERIES = {"watch_events": watch_events, "watch_filtered": watch_filtered, "stream_state": stream_state, "stream_limiter": stream_limiter, "stream_export": stream_export, "stream_tumbling": stream_tumbling, "stream_sliding": stream_sliding, "stream_sessions": stream_sessions, "fmt_wal": fmt_wal, "fmt_segment": fmt_segment, "fmt_index": fmt_index}
 
 # the watermark: ten minutes behind the last event, in whole milliseconds
 _MARK = "with m as (select date_trunc('milliseconds', max(ts)) - interval 10 minutes as mark from events) "
@@ -104,6 +108,7 @@ ORACLES = {
     "watch_filtered": _EVENTS + " where starts_with(key, 'user/00001') and tenant = 'tenant-1'",
     "stream_state": STORE["wal_fold_state"],
     "stream_limiter": STORE["sliding_limit"],
+    "stream_export": ctes("kv_log") + """select '{"key":' || to_json(key) || ',"value":' || to_json(value) || '}' as line from kv_log where op = 'put'""",
     "stream_tumbling": _MARK + """, w as (select event_type, time_bucket(interval 1 hour, ts) as started from events)
 select started, event_type, count(*) as n from w, m group by all having started + interval 1 hours <= any_value(mark)""",
     "stream_sliding": _MARK + """, w as (select event_type, unnest([time_bucket(interval 1 hour, ts), time_bucket(interval 1 hour, ts) - interval 1 hour]) as started from events)

@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side with at most this many rows may be broadcast; the count is taken from the written side itself.
-BROADCAST_ROWS = 200_000
+#: A side of at most so many rows and bytes, as written, may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def local_session(app: str = "foldstone", cores: int | str = 8, **conf: str) -> SparkSession:
@@ -72,18 +72,24 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, and survives lost executors."""
+    return _written(df, name)[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def broadcast_if_small(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Write ``df``, count what was written, and hint a broadcast only if that is within ``limit`` rows.
+def broadcast_if_small(df: DataFrame, name: str, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Write ``df``, count what was written, and hint a broadcast only if that is within ``rows`` rows and ``size`` bytes.
 
-    Beyond the limit the join is an ordinary shuffle join, which adaptive execution splits on skew.
+    Beyond the limits the join is an ordinary shuffle join, which adaptive execution splits on skew.
     """
-    written = materialise(df, name)
-    return F.broadcast(written) if written.count() <= limit else written
+    written, path = _written(df, name)
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    held = p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return F.broadcast(written) if held <= size and written.count() <= rows else written
 
 
 def spread(df: DataFrame, least: int = 1_000_000) -> DataFrame:

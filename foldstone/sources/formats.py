@@ -1,14 +1,17 @@
 """Binary log, segment and index files as Spark data sources, and writers for them.
 
-Layouts are little-endian. ``register(spark)`` makes the formats ``wal``, ``segment`` and ``kvindex`` readable;
-each file below the path is one partition.
+Layouts are little-endian. ``register(spark)`` makes the formats ``wal``, ``segment`` and ``kvindex`` readable: each file below
+the path is one partition, read record by record, as where a record begins shows only from those before. ``chunks`` reads large files of any
+kind in pieces, many tasks a file.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -19,6 +22,8 @@ from foldstone.functions import lz4
 # fixed values: the magics that begin records and files
 WAL_MAGIC, BLOB_MAGIC, LZ4_MAGIC = b"WAL1", b"BLOB", b"BLOC"
 INDEX_PLAIN, INDEX_TTL = b"KVINDEX2", b"KVINDEX3"
+#: Bytes of a large blob's chunk, unless ``option("width", ...)`` says otherwise, and of the chunks that one task reads.
+CHUNK, TASK_BYTES = 4 << 20, 128 << 20
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -32,17 +37,19 @@ def wal_record(seq: int, op: str, key: str, value: bytes = b"") -> bytes:
     return WAL_MAGIC + body + struct.pack("<I", zlib.crc32(body))
 
 
-def read_wal(data: bytes) -> Iterator[tuple[int, str, str, bytes | None]]:
-    """Records up to the first that is cut short, unknown or fails its checksum: a crash tears the tail."""
-    at = 0
-    while data[at : at + 4] == WAL_MAGIC and at + 21 <= len(data):
-        seq, op, nk, nv = struct.unpack_from("<QBII", data, at + 4)
-        end = at + 21 + nk + nv
-        if op not in (1, 2) or end + 4 > len(data) or zlib.crc32(data[at + 4 : end]) != struct.unpack_from("<I", data, end)[0]:
+def _opened(data: bytes | BinaryIO) -> BinaryIO:
+    return io.BytesIO(data) if isinstance(data, bytes) else data
+
+
+def read_wal(data: bytes | BinaryIO) -> Iterator[tuple[int, str, str, bytes | None]]:
+    """Records up to the first that is cut short, unknown or fails its checksum: a crash tears the tail. A file is read record by record."""
+    f = _opened(data)
+    while len(head := f.read(21)) == 21 and head[:4] == WAL_MAGIC:
+        seq, op, nk, nv = struct.unpack_from("<QBII", head, 4)
+        body = f.read(nk + nv + 4)
+        if op not in (1, 2) or len(body) < nk + nv + 4 or zlib.crc32(body[:-4], zlib.crc32(head[4:])) != struct.unpack("<I", body[-4:])[0]:
             return
-        key = data[at + 21 : at + 21 + nk].decode("utf-8", "replace")
-        yield seq, "put" if op == 1 else "delete", key, data[end - nv : end] if op == 1 else None
-        at = end + 4
+        yield seq, "put" if op == 1 else "delete", body[:nk].decode("utf-8", "replace"), body[nk:-4] if op == 1 else None
 
 
 def blob_frame(key: str, value: bytes, compress: bool = False) -> bytes:
@@ -53,27 +60,27 @@ def blob_frame(key: str, value: bytes, compress: bool = False) -> bytes:
     return (BLOB_MAGIC if packed is None else LZ4_MAGIC) + body + struct.pack("<I", zlib.crc32(body))
 
 
-def read_segment(data: bytes) -> Iterator[tuple[str, int, int, bytes | None, bool]]:
+def read_segment(data: bytes | BinaryIO) -> Iterator[tuple[str, int, int, bytes | None, bool]]:
     """``key, offset, size, value, ok`` of each frame up to the first bad magic or torn frame.
 
     A frame that fails its checksum, or whose LZ4 block is broken, is listed with ``ok`` false and a NULL value; ``size`` is that of
     the value, not of what is stored.
     """
-    at = 0
-    while data[at : at + 4] in (BLOB_MAGIC, LZ4_MAGIC) and at + 24 <= len(data):
-        nk, stored, size = struct.unpack_from("<IQQ", data, at + 4)
-        end = at + 24 + nk + stored
-        if end + 4 > len(data):
+    f, at = _opened(data), 0
+    while len(head := f.read(24)) == 24 and head[:4] in (BLOB_MAGIC, LZ4_MAGIC):
+        nk, stored, size = struct.unpack_from("<IQQ", head, 4)
+        body = f.read(nk + stored + 4)
+        if len(body) < nk + stored + 4:
             return
-        ok = zlib.crc32(data[at + 4 : end]) == struct.unpack_from("<I", data, end)[0]
-        value = data[end - stored : end] if ok else None
-        if ok and data[at : at + 4] == LZ4_MAGIC:
+        ok = zlib.crc32(body[:-4], zlib.crc32(head[4:])) == struct.unpack("<I", body[-4:])[0]
+        value = body[nk:-4] if ok else None
+        if ok and head[:4] == LZ4_MAGIC:
             try:
                 value = lz4.unpack(value, size)
             except ValueError:
                 value, ok = None, False
-        yield data[at + 24 : at + 24 + nk].decode("utf-8", "replace"), at, size, value, ok
-        at = end + 4
+        yield body[:nk].decode("utf-8", "replace"), at, size, value, ok
+        at += 24 + len(body)
 
 
 def index_snapshot(entries: Iterable[tuple[str, int, int, int, str, int | None]]) -> bytes:
@@ -85,48 +92,58 @@ def index_snapshot(entries: Iterable[tuple[str, int, int, int, str, int | None]]
     return b"".join(out)
 
 
-def read_index(data: bytes) -> Iterator[tuple[str, int, int, int, str, int | None]]:
+def read_index(data: bytes | BinaryIO) -> Iterator[tuple[str, int, int, int, str, int | None]]:
     """Entries of a snapshot with or without expiry; an expiry of 0 means never. A snapshot cut short is an error."""
-    if data[:8] not in (INDEX_PLAIN, INDEX_TTL):
+    f = _opened(data)
+
+    def take(form: str) -> tuple:
+        return struct.unpack(form, f.read(struct.calcsize(form)))
+
+    magic = f.read(8)
+    if magic not in (INDEX_PLAIN, INDEX_TTL):
         raise ValueError("not an index snapshot")
-    (n,) = struct.unpack_from("<Q", data, 8)
-    at = 16
+    (n,) = take("<Q")
     for _ in range(n):
-        (nk,) = struct.unpack_from("<I", data, at)
-        key = data[at + 4 : at + 4 + nk].decode()
-        shard, offset, size, nh = struct.unpack_from("<QQQI", data, at + 4 + nk)
-        at += 4 + nk + 28
-        digest = data[at : at + nh].decode()
-        at += nh
-        expires = 0
-        if data[:8] == INDEX_TTL:
-            (expires,) = struct.unpack_from("<Q", data, at)
-            at += 8
+        key = f.read(take("<I")[0]).decode()
+        shard, offset, size, nh = take("<QQQI")
+        digest = f.read(nh).decode()
+        expires = take("<Q")[0] if magic == INDEX_TTL else 0
         yield key, shard, offset, size, digest, expires or None
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
+class _Part(InputPartition):
+    """A file, or ``length`` bytes of it from ``start`` on."""
+
+    def __init__(self, path: str, start: int = 0, length: int = 0):
         super().__init__(path)
-        self.path = path
+        self.path, self.start, self.length = path, start, length
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, decode: str):
-        self.path, self.decode = path, decode
+    def __init__(self, path: str, decode: str, width: int):
+        self.path, self.decode, self.width = path, decode, width
 
     def partitions(self) -> list[InputPartition]:
         store, path = located(self.path)
-        if store.get_file_info(path).type == fs.FileType.File:
-            return [_File(path)]
-        found = store.get_file_info(fs.FileSelector(path, recursive=True))
-        return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.type == fs.FileType.File]
+        info = store.get_file_info(path)
+        found = [info] if info.type == fs.FileType.File else [x for x in sorted(store.get_file_info(fs.FileSelector(path, recursive=True)), key=lambda x: x.path) if x.type == fs.FileType.File]
+        if self.decode != "chunks":
+            return [_Part(x.path) for x in found]
+        step = self.width * max(1, TASK_BYTES // self.width)  # so many whole chunks a task
+        return [_Part(x.path, start, min(step, x.size - start)) for x in found for start in range(0, x.size, step)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         from foldstone.sources import formats
 
-        with formats.located(self.path)[0].open_input_stream(partition.path) as f:
-            yield from getattr(formats, self.decode)(f.read())
+        store = formats.located(self.path)[0]
+        if self.decode == "chunks":
+            with store.open_input_file(partition.path) as f:
+                f.seek(partition.start)
+                for at in range(partition.start, partition.start + partition.length, self.width):
+                    yield partition.path, at // self.width, f.read(min(self.width, partition.start + partition.length - at))
+            return
+        with store.open_input_stream(partition.path, buffer_size=1 << 20) as f:
+            yield from getattr(formats, self.decode)(f)
 
 
 def _source(called: str, columns: str, decode: str) -> type[DataSource]:
@@ -139,7 +156,7 @@ def _source(called: str, columns: str, decode: str) -> type[DataSource]:
             return columns
 
         def reader(self, schema) -> DataSourceReader:
-            return _Reader(self.options["path"], decode)
+            return _Reader(self.options["path"], decode, int(self.options.get("width", CHUNK)))
 
     return Source
 
@@ -147,6 +164,7 @@ def _source(called: str, columns: str, decode: str) -> type[DataSource]:
 SOURCES = [
     _source("wal", "seq bigint, op string, key string, value binary", "read_wal"),
     _source("segment", "key string, blob_offset bigint, size bigint, value binary, ok boolean", "read_segment"),
+    _source("chunks", "file string, chunk_no bigint, chunk binary", "chunks"),
     _source("kvindex", "key string, shard bigint, blob_offset bigint, size bigint, hash string, expires_at bigint", "read_index"),
 ]
 

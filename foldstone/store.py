@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,19 @@ class Store:
         self.append(self.spark.createDataFrame([(seq, op, key, value, expires_at, tenant)], LOG))
         return seq
 
+    def put_record(self, kind: str, name: str, record: dict) -> int:
+        """Keep a volume's, a setting's or any other description under ``kind/name``, replacing the former one."""
+        return self.put(f"{kind}/{name}", json.dumps(record, sort_keys=True).encode())
+
+    def get_record(self, kind: str, name: str) -> dict | None:
+        value = self.get(f"{kind}/{name}")
+        return None if value is None else json.loads(value)
+
+    def records(self, kind: str, schema: str) -> DataFrame:
+        """``name`` and the fields of ``schema`` of every record of a kind."""
+        held = self.state().where(F.startswith("key", F.lit(f"{kind}/")))
+        return held.select(F.substring("key", len(kind) + 2, 1 << 30).alias("name"), F.from_json(F.decode("value", "UTF-8"), schema).alias("r")).select("name", "r.*")
+
     def get(self, key: str, now_ms: int = 0) -> bytes | None:
         """The value of ``key``; None if it is absent, deleted or expired. Generations are sorted and have a Bloom filter on the key."""
         generation, high = self._pointer()

@@ -30,6 +30,19 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
+def run_lines(lines: DataFrame, name: str) -> str:
+    """Append a stream of single texts to text files, a line each, until the source is read; their folder."""
+    out = scratch(lines.sparkSession, name)
+    lines.writeStream.format("text").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return f"{out}/rows"
+
+
+def export_lines(log: DataFrame) -> DataFrame:
+    """``line``: a JSON object for each put of a streamed log, values that are no UTF-8 mended."""
+    text = F.make_valid_utf8(F.coalesce(F.col("value").cast("string"), F.lit("")))
+    return log.where("op = 'put'").select(F.to_json(F.struct("key", text.alias("value"))).alias("line"))
+
+
 def change_events(log: DataFrame, prefix: str = "", tenant: str | None = None) -> DataFrame:
     """Every mutation as ``seq, event, key, tenant, event_ts`` in seconds, of one key prefix and tenant if given."""
     kept = log.where(F.startswith("key", F.lit(prefix))) if prefix else log

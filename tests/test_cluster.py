@@ -5,11 +5,13 @@ import random
 import pytest
 from conftest import rows
 
+from foldstone import config
 from foldstone.functions import lz4
 from foldstone.operators import integrity, metering, placement, reads
 from foldstone.plans import cluster
-from foldstone.session import qualified, scratch
+from foldstone.session import broadcast_if_small, qualified, scratch
 from foldstone.sources import formats
+from foldstone.store import Store
 
 VOLUME = "volume_id string, address string, grpc_address string, state string, shards array<bigint>, total_keys bigint, total_bytes bigint, free_bytes bigint, last_heartbeat bigint, registered_at bigint, removed_at bigint"
 LOG = "entry_id bigint, volume_id string, sequence bigint, op string, key string, value_bytes binary, tenant string"
@@ -135,3 +137,57 @@ def test_paths_without_a_scheme_get_that_of_the_file_system(spark, tmp_path):
     assert qualified(spark, f"{tmp_path}/") == f"file:{tmp_path}" and qualified(spark, f"file://{tmp_path}").startswith("file:/")
     store, path = formats.located(qualified(spark, str(tmp_path)))
     assert store.get_file_info(path).is_file is False and path == str(tmp_path)
+
+
+def test_large_files_are_read_in_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(formats, "TASK_BYTES", 25)
+    data = bytes(range(256)) * 2
+    (tmp_path / "big").write_bytes(data)
+    (tmp_path / "empty").write_bytes(b"")
+    formats.register(spark)
+    df = spark.read.format("chunks").option("width", "10").load(str(tmp_path))
+    got = sorted((r["chunk_no"], bytes(r["chunk"])) for r in df.collect())
+    assert b"".join(c for _, c in got) == data and [n for n, _ in got] == list(range(52)) and {len(c) for _, c in got[:-1]} == {10}
+
+
+def test_files_are_read_record_by_record():
+    import io
+
+    class Slow(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            Slow.most = max(Slow.most, n)
+            return super().read(n)
+
+    data = b"".join(formats.wal_record(i, "put", f"k{i}", b"x" * 50) for i in range(100))
+    assert [r[0] for r in formats.read_wal(Slow(data))] == list(range(100)) and Slow.most < 100
+
+
+def test_settings(tmp_path):
+    base = tmp_path / "store.toml"
+    assert config.load(base, {}) == config.Settings()
+    base.write_text('replicas = 2\nhold = "5m"\n')
+    (tmp_path / "store.local.toml").write_text("replicas = 4\ncompress = true\n")
+    assert config.load(base, {"FOLDSTONE_SHARDS": "16", "FOLDSTONE_OTHER": "x", "FOLDSTONE_COMPRESS": "0"}) == config.Settings(4, 16, compress=False, hold=300_000)
+    for text in ("replicas = 0", "unknown = 1", 'hold = "soon"', 'replicas = "many"'):
+        base.write_text(text)
+        (tmp_path / "store.local.toml").unlink(missing_ok=True)
+        with pytest.raises(ValueError):
+            config.load(base, {})
+
+
+def test_records_of_volumes_and_settings(spark):
+    s = Store(spark, scratch(spark, "records"))
+    s.put_record("volume", "v1", {"state": "alive", "keys": 3})
+    s.put_record("config", "v1", {"state": "x"})
+    s.put_record("volume", "v1", {"state": "dead", "keys": 4})
+    assert s.get_record("volume", "v1") == {"state": "dead", "keys": 4} and s.get_record("volume", "v2") is None
+    assert rows(s.records("volume", "state string, keys bigint")) == [("v1", "dead", 4)]
+
+
+@pytest.mark.parametrize("limits", [{"rows": 1}, {"size": 1}])
+def test_sides_beyond_either_limit_are_not_broadcast(spark, limits):
+    shown = lambda df: df._jdf.queryExecution().analyzed().toString()
+    small = spark.range(3)
+    assert "ResolvedHint" in shown(broadcast_if_small(small, "side")) and "ResolvedHint" not in shown(broadcast_if_small(small, "side", **limits))
