@@ -181,7 +181,7 @@ class Mix:
     plan: Plan
 
 
-def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, total: int | None = None, tokenizer: str = TOKENIZER) -> Mix:
+def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, total: int | None = None, tokenizer: str | None = None) -> Mix:
     """Choose documents so that each source holds its share of the tokens.
 
     ``docs``: ``doc_id, text, source``; ``targets``: ``source, target_share, max_repeats``. Sources compare
@@ -194,8 +194,11 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, total: int | None =
     seeded order: a text's place is its prefix sum of tokens in that order, computed in buckets of bounded
     size, and a source takes the texts that begin in its stretch, as often as the stretch wraps round.
     A source so misses its quota by at most two texts for each pattern.
+
+    ``tokenizer`` is the vocabulary's path on every executor, by default that of the session's ``foldstone.tokenizer``, else TOKENIZER.
     """
     spark = docs.sparkSession
+    tokenizer = tokenizer or spark.conf.get("foldstone.tokenizer", TOKENIZER)
     wanted = targets.select(word("source").alias("source"), "target_share", F.col("max_repeats").cast("bigint").alias("max_repeats")).where("source is not null")
     goals = {r["source"]: r for r in wanted.limit(MOST_TARGETS + 1).collect()}
     if len(goals) > MOST_TARGETS:

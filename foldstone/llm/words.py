@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import html
 import re
-import sys
 import unicodedata
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<![A-Za-z][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 #: Characters that show nothing and separate nothing: the format category and those Unicode lets a renderer ignore.
-_INVISIBLE = {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"} | dict.fromkeys([0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)])
+_INVISIBLE = {c: None for plane in (range(0x20000), range(0xE0000, 0xE1000)) for c in plane if unicodedata.category(chr(c)) == "Cf"} | dict.fromkeys([0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)])
 _HIDDEN = frozenset(map(chr, _INVISIBLE))
 
 
