@@ -8,6 +8,7 @@ import unicodedata
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<![A-Za-z][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
+_ACCENTS = re.compile("[\u0300-\u036f]+")
 #: Characters that show nothing and separate nothing: the format category and those Unicode lets a renderer ignore.
 _INVISIBLE = {c: None for plane in (range(0x20000), range(0xE0000, 0xE1000)) for c in plane if unicodedata.category(chr(c)) == "Cf"} | dict.fromkeys([0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)])
 _HIDDEN = frozenset(map(chr, _INVISIBLE))
@@ -38,8 +39,10 @@ def folded(text: str) -> str:
     """Case, accents and width folded."""
     if text.isascii():
         return text.lower()
-    plain = unicodedata.normalize("NFKD", text)
-    plain = "".join(c for c in plain if not unicodedata.combining(c) and unicodedata.category(c) != "Mn") if not plain.isascii() else plain
+    plain = _ACCENTS.sub("", unicodedata.normalize("NFKD", text))
+    if plain.isascii():
+        return plain.lower()
+    plain = "".join([c for c in plain if c < "\u0370" or not (unicodedata.combining(c) or unicodedata.category(c) == "Mn")])
     return unicodedata.normalize("NFKC", plain.casefold())
 
 
