@@ -82,6 +82,47 @@ def anchors(terms: DataFrame, index: DataFrame, window: int, strong: int, suppor
     return rare.groupBy("item_id", F.col("x.off").alias("off"), F.col("x.term").alias("term")).agg(F.max(F.col("rank") < strong).alias("strong"))
 
 
+def _dense(support: int, slack: int):
+    """Of rows ``doc_id, item_id, shift, off, strong``, sorted by document and item: each pair with its strong places about which ``support`` rows stand within ``slack``.
+
+    A task holds one batch and the pair that reaches over its end.
+    """
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        doc, item, shift, off, strong = (rows.column(c).to_numpy() for c in ("doc_id", "item_id", "shift", "off", "strong"))
+        group = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))])
+        order = np.lexsort((~strong, off, shift, group))
+        doc, item, shift, off, strong, group = (x[order] for x in (doc, item, shift, off, strong, group))
+        # one number for group and shift, groups far enough apart that no shift reaches from one into another
+        apart = int(shift.max() - shift.min()) + 2 * slack + 1
+        line = group * apart + (shift - shift.min())
+        fresh = np.concatenate([[True], (line[1:] != line[:-1]) | (off[1:] != off[:-1])])  # repeated rows count once
+        upto = np.concatenate([[0], np.cumsum(fresh)])
+        about = upto[np.searchsorted(line, line + slack, side="right")] - upto[np.searchsorted(line, line - slack, side="left")]
+        kept = np.flatnonzero(fresh & strong & (about >= support))
+        first = np.flatnonzero(np.concatenate([[True], group[kept][1:] != group[kept][:-1]])) if len(kept) else kept
+        ends = pa.array(np.append(first, len(kept)).astype(np.int32))
+        places = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(shift[kept]), pa.array(off[kept])], ["shift", "anchor"]))
+        return pa.RecordBatch.from_arrays([pa.array(doc[kept][first]), pa.array(item[kept][first]), places], ["doc_id", "item_id", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, item = (batch.column(c).to_numpy() for c in ("doc_id", "item_id"))
+            last = int(np.argmax((doc == doc[-1]) & (item == item[-1])))  # where the batch's last pair begins
+            goes_on = last == 0 and held and (held[-1].column("doc_id")[-1].as_py(), held[-1].column("item_id")[-1].as_py()) == (int(doc[0]), int(item[0]))
+            if not goes_on and (held or last):
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return run
+
+
 def longest_run(hit: np.ndarray) -> np.ndarray:
     """The longest run of hits in each row."""
     run = best = np.zeros(len(hit), dtype=np.int32)
@@ -217,10 +258,7 @@ class Leaks:
         not read: a match cannot lack more of them than the rest of the window.
         """
         support = min(SUPPORT, least)
-        here = F.struct("shift", F.col("off").alias("anchor"), "strong")
-        pairs = self._met(window, window - least + 1, support - 1).groupBy("doc_id", "item_id").agg(F.collect_set(here).alias("met")).where(F.size("met") >= support)
-        beside = lambda x: F.array_distinct(F.transform(F.filter("met", lambda y: F.abs(y["shift"] - x["shift"]) <= slack), lambda y: y["anchor"]))
-        kept = F.filter("met", lambda x: x["strong"] & (F.size(beside(x)) >= support))
-        places = F.transform(kept, lambda x: F.struct(x["shift"].alias("shift"), x["anchor"].alias("anchor")))
-        pairs = pairs.where(F.size(F.array_distinct(F.transform("met", lambda x: x["anchor"]))) >= support).select("doc_id", "item_id", places.alias("places"))
+        met = self._met(window, window - least + 1, support - 1).select("doc_id", "item_id", "shift", "off", "strong")
+        width = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = met.repartition(width, "doc_id", "item_id").sortWithinPartitions("doc_id", "item_id").mapInArrow(_dense(support, slack), "doc_id bigint, item_id bigint, places array<struct<shift int, anchor int>>")
         return self._verified(pairs, "near-candidates", window - 1, slack, window, least)

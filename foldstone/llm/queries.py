@@ -119,7 +119,33 @@ with r as (
 _FILLED = f"""with t as (select distinct {N.sql_word("source")} as source from mix_targets), h as (select distinct {N.sql_word("source")} as source from documents where text <> '')
 """
 
+# fixed values: entities that the SQL side decodes; a text with another one would differ there
+_ENTITIES = {"&nbsp;": " ", "&#32;": " ", "&#x27;": "''", "&#39;": "''", "&quot;": '"', "&apos;": "''", "&lt;": "<", "&gt;": ">", "&eacute;": "é", "&egrave;": "è", "&agrave;": "à", "&ccedil;": "ç", "&uuml;": "ü", "&ouml;": "ö", "&auml;": "ä", "&szlig;": "ß", "&ntilde;": "ñ", "&amp;": "&"}
+
+
+def _sql_words(text: str) -> str:
+    """The words of a text as an independent SQL expression: invisible characters, markup, entities, width, case and accents off."""
+    wide = "".join(chr(0xFF01 + i) for i in range(94)).replace("'", "''")
+    plain = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+    hidden = r"[\p{Cf}\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{3164}\x{FFA0}\x{180B}-\x{180F}\x{FE00}-\x{FE0F}]"
+    x = f"regexp_replace({text}, '{hidden}', '', 'g')"
+    x = f"regexp_replace({x}, '(?s)<!--.*?-->|</?[A-Za-z][^<>]*>|<![A-Za-z][^<>]*>', ' ', 'g')"
+    for entity, shown in _ENTITIES.items():
+        x = f"replace({x}, '{entity}', '{shown}')"
+    return f"regexp_extract_all(replace(strip_accents(lower(translate({x}, '{wide}', '{plain}'))), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
+
+
+_GRAMS = f"""with d as (select doc_id as id, {_sql_words("text")} as w from documents where text is not null), i as (select item_id as id, {_sql_words("text")} as w from eval_items where text is not null),
+dg as (select id, k, array_to_string(w[k : k + 11], ' ') as g from (select id, w, unnest(range(1, greatest(1, len(w) - 10))) as k from d)),
+ig as (select id, k, array_to_string(w[k : k + 11], ' ') as g from (select id, w, unnest(range(1, greatest(1, len(w) - 10))) as k from i))
+"""
+
 ORACLES = {
+    "p7_found": _GRAMS + "select distinct dg.id as doc_id, ig.id as item_id from dg join ig using (g)",
+    "p7_items": _GRAMS + """, m as (select dg.id as d, ig.id as i, dg.k - ig.k as shift, dg.k as k from dg join ig using (g)),
+r as (select d, i, shift, k - row_number() over (partition by d, i, shift order by k) as run from m),
+l as (select d, i, count(*) + 11 as words from r group by d, i, shift, run)
+select i as item_id, count(distinct d) as documents, max(words) as longest from l group by i""",
     "p8_held": _FILLED + "select source, h.source is not null as filled, true as within_quota, true as within_repeats from t left join h using (source)",
     "p8_sources": _FILLED + "select source, true as once, 0 as astray from t join h using (source)",
     "p2_found": f"""{_RECORDS}f as (select *, min(row_id) over (partition by src_table, scope, key) as first from r)

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from conftest import rows
 
@@ -137,3 +138,20 @@ def test_an_id_with_several_texts_is_searched_for_each(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "w x y z"), (3, "a x c z")], D)
     found = Leaks(docs, spark.createDataFrame([(7, "a b c d"), (7, "w x y z q")], I)).exact(3)
     assert rows(found) == [(1, 7, 4), (2, 7, 4)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_dense_places_equal_brute_force(seed):
+    """Also where a pair reaches over the ends of batches, and rows repeat."""
+    r = random.Random(seed)
+    met = [(d, i, r.randrange(-5, 12), r.randrange(8), r.random() < 0.5) for d, i in sorted((r.randrange(3), r.randrange(2)) for _ in range(r.randrange(200)))]
+    want = {}
+    for d, i, s, o, strong in met:
+        about = {x[2:4] for x in met if x[:2] == (d, i) and abs(x[2] - s) <= 2}
+        if strong and len(about) >= 3:
+            want.setdefault((d, i), set()).add((s, o))
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("shift", pa.int32()), ("off", pa.int32()), ("strong", pa.bool_())])
+    n = r.randrange(1, 30)
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in met[k : k + n]], schema) for k in range(0, len(met), n)]
+    got = [((x["doc_id"], x["item_id"]), {(p["shift"], p["anchor"]) for p in x["places"]}) for b in leakage._dense(3, 2)(iter(batches)) for x in b.to_pylist()]
+    assert dict(got) == want and len(got) == len(want)

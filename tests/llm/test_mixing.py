@@ -5,6 +5,7 @@ from itertools import product
 import pytest
 from conftest import rows
 
+from foldstone.llm import mixing
 from foldstone.llm.mixing import count_tokens, mix, plan_mix
 
 D, T = "doc_id bigint, text string, source string", "source string, target_share double, max_repeats bigint"
@@ -109,3 +110,23 @@ def test_tokens(spark, text, n):
 
 def test_very_long_texts(spark):
     assert count_tokens(spark.createDataFrame([("ab " * 300_000,), ("x" * 200_000,)], "t string"), "t", "n").agg({"n": "min"}).first()[0] > 1000
+
+
+@pytest.mark.parametrize("limit", ["MOST_TARGETS", "MOST_PATTERNS"])
+def test_too_many_targets_or_patterns_are_an_error(spark, monkeypatch, limit):
+    docs = spark.createDataFrame([(1, "one text", "a"), (2, "two texts", "b")], D)
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], T)
+    monkeypatch.setattr(mixing, limit, 2)
+    assert mix(docs, targets).chosen.count() == 2
+    monkeypatch.setattr(mixing, limit, 1)
+    with pytest.raises(ValueError):
+        mix(docs, targets)
+
+
+def test_the_tokenizer_is_a_setting(spark):
+    spark.conf.set("foldstone.tokenizer", "/none/such")
+    try:
+        with pytest.raises(Exception, match="such"):
+            mix(spark.createDataFrame([(1, "one text", "a")], D), spark.createDataFrame([("a", 1.0, 1)], T))
+    finally:
+        spark.conf.unset("foldstone.tokenizer")
