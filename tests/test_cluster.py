@@ -7,9 +7,10 @@ from conftest import rows
 
 from foldstone import config
 from foldstone.functions import lz4
+from foldstone.functions.blake3 import digest
 from foldstone.operators import integrity, metering, placement, reads
 from foldstone.plans import cluster
-from foldstone.session import broadcast_if_small, qualified, scratch
+from foldstone.session import broadcast_if_small, qualified, scratch, spread
 from foldstone.sources import formats
 from foldstone.store import Store
 
@@ -191,3 +192,24 @@ def test_sides_beyond_either_limit_are_not_broadcast(spark, limits):
     shown = lambda df: df._jdf.queryExecution().analyzed().toString()
     small = spark.range(3)
     assert "ResolvedHint" in shown(broadcast_if_small(small, "side")) and "ResolvedHint" not in shown(broadcast_if_small(small, "side", **limits))
+
+
+def test_too_many_volumes_are_an_error(spark, monkeypatch):
+    volumes = spark.createDataFrame([("a", "alive"), ("b", "alive"), ("c", "alive"), ("d", "dead")], "volume_id string, state string")
+    monkeypatch.setattr(placement, "MOST_VOLUMES", 3)
+    assert placement.alive(volumes) == ["a", "b", "c"]
+    monkeypatch.setattr(placement, "MOST_VOLUMES", 2)
+    with pytest.raises(ValueError):
+        placement.alive(volumes)
+
+
+def test_spread_changes_no_row(spark):
+    df = spark.range(100)
+    assert spread(df, least=0).rdd.getNumPartitions() == df.rdd.getNumPartitions() and rows(spread(df, least=1 << 40)) == rows(df)
+
+
+def test_blake3_ranks_are_their_own(spark):
+    keys, nodes = spark.createDataFrame([("k1",), ("é",), ("",)], "key string"), ["a", "b", "c", "d"]
+    weight = lambda k, v: int.from_bytes(bytes.fromhex(digest((k + v).encode()))[:8], "little")
+    want = sorted((k, v, n) for k in ("k1", "é", "") for n, v in enumerate(sorted(nodes, key=lambda v: -weight(k, v))[:2], 1))
+    assert sorted(map(tuple, placement.replicas(keys, nodes, 2, "blake3").collect())) == want
