@@ -68,11 +68,12 @@ def _plain(text: str) -> list[Stretch]:
     out: list[Stretch] = []
     cut = _END.split(text)
     for piece, end in zip(cut[::2], [*cut[1::2], "\n"], strict=True):
-        if not (tokens := _WORD.findall(piece)):
+        cut_up = [_WORD.findall(x) for x in _SEP.split(piece)]
+        tokens = cut_up[0] if len(cut_up) == 1 else [t for x in cut_up for t in x]
+        if not tokens:
             continue
         now = Stretch()
-        now.tokens, now.lined, now.stopped = tokens, end == "\n", end != "\n"
-        now.parts = [len(_WORD.findall(x)) for x in _SEP.split(piece)] if _SEP.search(piece) else [len(tokens)]
+        now.tokens, now.parts, now.lined, now.stopped = tokens, [len(x) for x in cut_up], end == "\n", end != "\n"
         out.append(now)
     return out
 

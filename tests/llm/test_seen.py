@@ -113,6 +113,12 @@ def test_a_call_that_failed_is_taken_again(spark):
     assert rows(memory.take(df.where("id < 500")).rows.union(memory.take(df.where("id >= 500")).rows)) == brute(records)
 
 
+def test_an_empty_call_between_others(spark):
+    memory = KeyMemory(spark, scratch(spark, "memory"), 4)
+    nothing, one, two = (spark.createDataFrame(x, S) for x in ([], [("a", "x", "k", 1)], [("a", "x", "k", 2)]))
+    assert [rows(memory.take(x).rows) for x in (nothing, one, nothing, two)] == [[], [], [], [("a", 2)]]
+
+
 def test_a_new_source_in_a_later_call(spark):
     memory = KeyMemory(spark, scratch(spark, "memory"), 4)
     assert rows(memory.take(spark.createDataFrame([("b", "x", "k", 1)], S)).rows) == []
