@@ -49,20 +49,20 @@ def tenant_usage_clamped(ops: DataFrame) -> DataFrame:
 def _stretches(requests: DataFrame, reset: int) -> DataFrame:
     """``event_id, k, t`` and ``stretch``, the time at which the stretch began: stretches lie between gaps of ``reset`` or more, after which no state remains.
 
-    Times are cut into pieces: the request before is looked for within a piece, and a piece takes over the last
-    time and the last beginning of those before, so a hot key is spread over its pieces.
+    Times are cut into pieces. Within a piece a window finds where stretches begin; of each piece its first and last time and its last beginning are put in
+    line, which says what its first request goes on with. So a hot key is spread over its pieces, and rows move once.
     """
+    order = Window.partitionBy("k", "cut").orderBy("t", "event_id")
     cut = requests.withColumn("cut", F.floor(F.col("t") / F.lit(PIECES * reset)))
-    ends = cut.groupBy("k", "cut").agg(F.max("t").alias("end"))
+    begun = cut.withColumn("begin", F.when(F.col("t") - F.lag("t").over(order) >= F.lit(reset), F.col("t")))
+    near = begun.withColumn("near", F.last("begin", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     line = Window.partitionBy("k").orderBy("cut")
-    order = Window.partitionBy("k", "cut").orderBy("t", "event_id")
-    timed = cut.join(ends.select("k", "cut", F.lag("end").over(line).alias("carried")), ["k", "cut"])
-    before = F.coalesce(F.lag("t").over(order), "carried")
-    begun = timed.withColumn("begin", F.when(before.isNull() | (F.col("t") - before >= F.lit(reset)), F.col("t")))
-    last = begun.groupBy("k", "cut").agg(F.max("begin").alias("b"))
-    over = last.select("k", "cut", F.last("b", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("open"))
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return begun.withColumn("near", F.last("begin", ignorenulls=True).over(upto)).join(over, ["k", "cut"]).select("event_id", "k", "t", F.coalesce("near", "open").alias("stretch"))
+    pieces = near.groupBy("k", "cut").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.max("begin").alias("inner"))
+    before = F.lag("last").over(line)
+    opened = pieces.withColumn("own", F.when(before.isNull() | (F.col("first") - before >= F.lit(reset)), F.col("first")))
+    earlier = F.last(F.coalesce("inner", "own"), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    opened = opened.select("k", "cut", F.coalesce("own", earlier).alias("open"))
+    return near.join(opened, ["k", "cut"]).select("event_id", "k", "t", F.coalesce("near", "open").alias("stretch"))
 
 
 def _edges(*columns: np.ndarray) -> list[tuple[int, int]]:
