@@ -92,11 +92,13 @@ def broadcast_if_small(df: DataFrame, name: str, rows: int = BROADCAST_ROWS, siz
     return F.broadcast(written) if held <= size and written.count() <= rows else written
 
 
-def spread(df: DataFrame, least: int = 1_000_000) -> DataFrame:
+def spread(df: DataFrame, least: int = 1_000_000, parts: int = 0) -> DataFrame:
     """Before costly work on each row: give every core a part of an input that is too small to be split by files.
 
-    An input of more than ``least`` bytes a core keeps the partitions of its scan.
+    An input of more than ``least`` bytes a core keeps the partitions of its scan, or gets ``parts`` a core.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * least else df
+    if size < cores * least:
+        return df.repartition(cores)
+    return df.repartition(cores * parts) if parts else df

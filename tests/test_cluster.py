@@ -1,12 +1,14 @@
 """Volumes, repair, objects, imports and exports on small tables."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 from conftest import rows
 
 from foldstone import config
-from foldstone.functions import lz4
+from foldstone.functions import blake3, lz4
 from foldstone.functions.blake3 import digest
 from foldstone.operators import integrity, metering, placement, reads
 from foldstone.plans import cluster
@@ -213,3 +215,48 @@ def test_blake3_ranks_are_their_own(spark):
     weight = lambda k, v: int.from_bytes(bytes.fromhex(digest((k + v).encode()))[:8], "little")
     want = sorted((k, v, n) for k in ("k1", "é", "") for n, v in enumerate(sorted(nodes, key=lambda v: -weight(k, v))[:2], 1))
     assert sorted(map(tuple, placement.replicas(keys, nodes, 2, "blake3").collect())) == want
+
+
+@pytest.mark.parametrize("at_once, weights", [(12_288, 1 << 20), (7, 5)])
+def test_blake3_ranks_of_any_lengths(monkeypatch, at_once, weights):
+    monkeypatch.setattr(blake3, "AT_ONCE", at_once)
+    monkeypatch.setattr(placement, "WEIGHTS", weights)
+    r = random.Random(2)
+    keys = ["x" * n for n in (0, 1, 2, 3, 4, 5, 23, 26, 27, 54, 55, 60, 63, 64, 65, 128, 129, 1014, 1015, 1024, 2100)] + [f"doc/{r.random()}" for _ in range(20)] + ["é" * 31, None]
+    nodes = [f"vol-{i:03d}" for i in range(20)] + ["", "é", "v" * 64, "w" * 200, "vol-7", "vol-003"]
+    weights = iter(int.from_bytes(bytes.fromhex(x)[:8], "little") for x in blake3.digests([(k + v).encode() for k in keys if k is not None for v in nodes]))
+    of = {k: {v: next(weights) for v in nodes} for k in keys if k is not None}
+    for n in (1, 3, 30):
+        want = [[nodes.index(v) for v in (nodes if k is None else sorted(nodes, key=lambda v: -of[k][v]))[:n]] for k in keys]  # noqa: B023
+        got = placement._ranked_blake3(keys, [v.encode() for v in nodes], min(n, len(nodes)))
+        assert [[nodes.index(nodes[i]) for i in x] for x in got.tolist()] == want
+
+
+def test_blake3_weights_that_tie_in_their_upper_half():
+    keys, named = [b"k1", b"k2"], [b"a", b"b", b"c", b"d"]
+    weights = [[int.from_bytes(bytes.fromhex(digest(k + v))[:8], "little") for v in named] for k in keys]
+    got = placement._heaviest(keys, named, np.full((2, 4), 7, dtype=np.uint32), 3)
+    assert got.tolist() == [sorted(range(4), key=lambda i: -w[i])[:3] for w in weights]
+    high = np.array([[1, 9, 9, 9], [5, 4, 5, 3]], dtype=np.uint32)
+    want = [sorted(range(4), key=lambda i: (-int(h[i]), -w[i]))[:2] for h, w in zip(high, weights, strict=True)]
+    assert placement._heaviest(keys, named, high, 2).tolist() == want
+
+
+def test_blake3_placement_costs_about_what_sha256_does(spark):
+    keys, nodes = spark.range(1000).selectExpr("concat('doc/', lpad(id, 10, '0'), '/v1.txt') as key"), [f"vol-{i:06d}" for i in range(2000)]
+
+    def seconds(digest):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            placement.replicas(keys, nodes, 3, digest).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds("blake3") < 2 * seconds("sha256")
+
+
+def test_placement_by_blake3_has_parts_for_every_core(spark):
+    keys = spark.range(3).selectExpr("cast(id as string) as key")
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(keys, least=0, parts=8).rdd.getNumPartitions() == 8 * cores and spread(keys, parts=8).rdd.getNumPartitions() == cores
