@@ -217,7 +217,7 @@ def test_blake3_ranks_are_their_own(spark):
     assert sorted(map(tuple, placement.replicas(keys, nodes, 2, "blake3").collect())) == want
 
 
-@pytest.mark.parametrize("at_once, weights", [(12_288, 1 << 20), (7, 5)])
+@pytest.mark.parametrize("at_once, weights", [(32_768, 1 << 20), (7, 5)])
 def test_blake3_ranks_of_any_lengths(monkeypatch, at_once, weights):
     monkeypatch.setattr(blake3, "AT_ONCE", at_once)
     monkeypatch.setattr(placement, "WEIGHTS", weights)
